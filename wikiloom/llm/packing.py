@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.llm.pieces import PieceEncoder
+from wikiloom.llm.pieces import piece_encoder
 from wikiloom.llm.token_counts import slices
 
 SEQUENCE = 2048
@@ -43,7 +43,7 @@ def document_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     end = np.asarray([END_OF_TEXT], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = piece_encoder(path)
         row = TaskContext.get().partitionId() * 0x9E3779B1
         for whole in batches:
             for batch in slices(whole, 1):
@@ -69,8 +69,10 @@ def fill_bins(sizes: np.ndarray, caps: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(sizes)
     relative = sizes / caps
     bins, place = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    left = np.arange(n)
-    current = 0
+    full = (sizes[:, :-1] >= caps[:-1]).any(axis=1)  # nothing can join these
+    bins[full] = np.arange(full.sum())
+    left = np.flatnonzero(~full)
+    current = int(full.sum())
     while len(left):
         room, at = np.ones(len(caps)), 0
         inside = sizes[left]

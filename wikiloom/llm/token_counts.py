@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.llm.pieces import PieceEncoder
+from wikiloom.llm.pieces import piece_encoder
 
 #: A slice of an Arrow batch holds about so many bytes of text.
 SLICE_BYTES = 4 << 20
@@ -39,7 +39,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     source = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = piece_encoder(path)
         for whole in batches:
             for batch in slices(whole, 1):
                 n = [len(ids) // 4 for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
