@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
-
 #: Pieces: a run of white space, then a word that ends before white space or punctuation, or else the whole visible run.
 PIECE = re.compile(r"[ \t\n\r]*(?:[0-9A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \t\n\r!-&(-/:-@\[-`{-~]|\Z)|[^ \t\n\r]+)|[ \t\n\r]+")
 #: White space (in any reading of Unicode) other than blank, tab, line feed and carriage return.
@@ -43,7 +42,7 @@ class PieceEncoder:
         for text in [*texts, None]:
             if batch and (text is None or held + len(text) > self.batch_bytes):
                 for t, e in zip(batch, self.library.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                    yield t, np.asarray(e.ids, dtype="<u4").tobytes()
+                    yield t, array("I", e.ids).tobytes()
                 batch, held = [], 0
             if text is not None:
                 batch.append(text)
@@ -53,25 +52,26 @@ class PieceEncoder:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         if len(self.cache) > self.cache_size:
             self.cache.clear()
-        group: list[list[str]] = []
+        waiting: list[tuple[list[str], list[bytes | None]]] = []
+        missing: set[str] = set()
         held = 0
         for text in texts:
-            group.append([text] if OTHER_SPACE.search(text) else PIECE.findall(text))
+            pieces = [text] if OTHER_SPACE.search(text) else PIECE.findall(text)
+            ids = list(map(self.cache.get, pieces))
+            if None in ids:
+                missing.update(p for p, x in zip(pieces, ids, strict=True) if x is None)
+            waiting.append((pieces, ids))
             held += len(text)
             if held > 4 * self.batch_bytes:
-                yield from self._encode(group)
-                group, held = [], 0
-        yield from self._encode(group)
+                yield from self._finish(waiting, missing)
+                waiting, missing, held = [], set(), 0
+        yield from self._finish(waiting, missing)
 
-    def _encode(self, group: list[list[str]]) -> Iterator[bytes]:
-        cache = self.cache
-        missing = {p for pieces in group for p in pieces if p not in cache}
-        cache.update(self._library(missing))
-        for pieces in group:
-            yield b"".join(map(cache.__getitem__, pieces))
-        for p in missing:
-            if len(p) > LONGEST_CACHED:
-                del cache[p]
+    def _finish(self, waiting: list[tuple[list[str], list[bytes | None]]], missing: set[str]) -> Iterator[bytes]:
+        new = dict(self._library(missing))
+        for pieces, ids in waiting:
+            yield b"".join([new[p] if x is None else x for p, x in zip(pieces, ids, strict=True)] if None in ids else ids)
+        self.cache.update((p, x) for p, x in new.items() if len(p) <= LONGEST_CACHED)
 
 
 @lru_cache(maxsize=2)
