@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from wikiloom.llm.ann import nearest
+from wikiloom.llm.mixing import mix
 from wikiloom.llm.packing import pack_documents
 from wikiloom.llm.token_counts import token_counts
+from wikiloom.llm.topk import exact_top_k
 from wikiloom.sources.tables import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,9 +25,24 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
+    "op3_nearest": op3_nearest,
+    "op8_mixing": op8_mixing,
+    "op10_top_k": op10_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {}
