@@ -19,6 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wikiloom.llm.token_counts import slices
 
@@ -206,11 +207,13 @@ def pseudonymous(df: DataFrame, key: str, text_col: str = "text", spans: bool =
 
     source = df.select(*kept)
     at = kept.index(text_col)
-    schema = source.schema.add("pii_spans", "array<struct<kind: string, start: int, stop: int>>") if spans else source.schema
+    span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+    schema = T.StructType([*source.schema, T.StructField("pii_spans", T.ArrayType(span))]) if spans else source.schema
     return source.mapInArrow(run, schema)
 
 
 def pii_counts(found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, the pseudonymous text, and how many values of each kind were replaced."""
-    counts = [F.size(F.filter("pii_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
     return found.select(id_col, text_col, *counts)

@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wikiloom.llm.ann import nearest
 from wikiloom.llm.mixing import mix
 from wikiloom.llm.packing import pack_documents
+from wikiloom.llm.pii import KINDS as PII_KINDS
+from wikiloom.llm.pii import pii_counts, pseudonymous
+from wikiloom.llm.quality import score_quality
+from wikiloom.llm.secret_scan import BASE_KINDS, listed, scan_secrets
 from wikiloom.llm.token_counts import token_counts
 from wikiloom.llm.topk import exact_top_k
 from wikiloom.sources.tables import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
+#: The key of the registered query; real runs bring their own.
+PII_KEY = "wikiloom-demonstration-key"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +36,23 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
+    spans = listed(F.concat("base", "live"))
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), "base_live", F.size("shared").cast("long").alias("n_shared"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_counts(pseudonymous(read_table(spark, sf_dir, "documents"), PII_KEY))
+    return found.withColumn("n_found", sum(F.col(f"n_{k}") for k in PII_KINDS))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
@@ -41,7 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_nearest": op3_nearest,
+    "op5_quality": op5_quality,
+    "op6_secrets": op6_secrets,
     "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_top_k": op10_top_k,
 }
 
