@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wikiloom.llm.ann import nearest
 from wikiloom.llm.mixing import mix
+from wikiloom.llm.near_dup import near_duplicates
 from wikiloom.llm.packing import pack_documents
 from wikiloom.llm.pii import KINDS as PII_KINDS
 from wikiloom.llm.pii import pii_counts, pseudonymous
@@ -53,6 +54,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_found", sum(F.col(f"n_{k}") for k in PII_KINDS))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest": op3_nearest,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_top_k": op10_top_k,
