@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.llm.ann import nearest
+from wikiloom.llm.html_main import extract_main
 from wikiloom.llm.mixing import mix
 from wikiloom.llm.near_dup import near_duplicates
 from wikiloom.llm.packing import pack_documents
@@ -37,6 +38,10 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(read_table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_nearest": op3_nearest,
+    "op4_main_text": op4_main_text,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_near_duplicates": op7_near_duplicates,
