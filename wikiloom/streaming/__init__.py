@@ -1 +1 @@
-
+"""Incremental ingestion and metrics with Structured Streaming."""
