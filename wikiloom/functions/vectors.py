@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 DUMMY_DIMS, DUMMY_STEP, DUMMY_SCALE = 768, 7919, 10000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with ``value`` computed once, where the body is a lambda that would compute it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sum(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0).cast("double"), lambda a, x: a + x)
 
@@ -41,8 +48,7 @@ def sql_cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """The unit vector; a zero vector stays."""
-    n = norm(a)
-    return F.when(n == 0, a).otherwise(F.transform(a, lambda x: x / n))
+    return let(a, lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
 
 
 def l2_distance(a: Column, b: Column) -> Column:
@@ -66,10 +72,5 @@ def string_hash(c: Column) -> Column:
 
 def dummy_embedding(c: Column, dims: int = DUMMY_DIMS) -> Column:
     """A deterministic stand-in for a model's embedding: unit vector of fractions of sines of the text's hash."""
-    h = string_hash(c)
-
-    def component(i: Column) -> Column:
-        x = F.sin((h + i * DUMMY_STEP).cast("double")) * DUMMY_SCALE
-        return (x - F.floor(x)) * 2 - 1
-
-    return l2_normalize(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), component))
+    waves = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.sin((h + i * DUMMY_STEP).cast("double")) * DUMMY_SCALE)
+    return l2_normalize(F.transform(let(string_hash(c), waves), lambda x: (x - F.floor(x)) * 2 - 1))

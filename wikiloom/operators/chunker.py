@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wikiloom.functions.text import WORD_TOKENS, hard_pieces, paragraphs, sentences, strip, token_estimate, words
+from wikiloom.functions.vectors import let
 from wikiloom.operators.blocks import blocks
 
 GAP = "\n\n"
@@ -52,7 +53,6 @@ def fits(c: Column, o: ChunkOptions) -> Column:
 
 def overlap_tail(c: Column, tokens: int) -> Column:
     """The last sentences within the budget (one at least, if there are several), else the last words."""
-    own = sentences(c)
     start = F.struct(F.array().cast("array<string>").alias("buf"), F.lit(0).alias("tokens"), F.lit(False).alias("stop"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -60,11 +60,10 @@ def overlap_tail(c: Column, tokens: int) -> Column:
         stop = acc["stop"] | ((acc["tokens"] + t > tokens) & (F.size(acc["buf"]) > 0))
         return F.struct(F.when(stop, acc["buf"]).otherwise(F.array_prepend(acc["buf"], s)).alias("buf"), F.when(stop, acc["tokens"]).otherwise(acc["tokens"] + t).alias("tokens"), stop.alias("stop"))
 
-    several = F.aggregate(F.reverse(own), start, step, lambda acc: F.array_join(acc["buf"], " "))
-    spare = words(c)
-    take = F.least(F.size(spare), F.lit(max(1, int(tokens / WORD_TOKENS + 0.5))))
-    last = F.when(F.size(spare) > 0, F.array_join(F.slice(spare, F.size(spare) - take + 1, take), " ")).otherwise("")
-    return F.when(F.size(own) > 1, several).otherwise(last)
+    several = lambda own: F.aggregate(F.reverse(own), start, step, lambda acc: F.array_join(acc["buf"], " "))
+    most = max(1, int(tokens / WORD_TOKENS + 0.5))
+    last = lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - most, F.lit(0)) + 1, most), " ")
+    return let(sentences(c), lambda own: F.when(F.size(own) > 1, several(own)).otherwise(let(words(c), last)))
 
 
 def sections(found: DataFrame) -> DataFrame:

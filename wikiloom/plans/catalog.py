@@ -232,12 +232,15 @@ def tx7_paragraphs(spark, d):
 
 _MASK = "text"
 for _i, _a in enumerate(tx.ABBREVIATIONS):
-    _MASK = f"replace({_MASK}, '{_a}.', '{_a}' || chr(2))"
+    _MASK = f"replace({_MASK}, '{_a}.', chr(2) || chr({57344 + _i}))"
 _SENT = r"list_filter(list_transform(string_split(regexp_replace(" + _MASK + r", '([.!?])\s+([A-ZÅÄÖ0-9\"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 _SENT = _SENT.replace('\\"', '"')
+_PLAIN = "s"
+for _i, _a in enumerate(tx.ABBREVIATIONS):
+    _PLAIN = f"replace({_PLAIN}, chr(2) || chr({57344 + _i}), '{_a}.')"
 
 
-@query(f"SELECT doc_id, len({_SENT})::INT AS sentences, coalesce(list_sum(list_transform({_SENT}, lambda s: length(s))), 0)::BIGINT AS n_chars FROM documents")
+@query(f"SELECT doc_id, len({_SENT})::INT AS sentences, coalesce(list_sum(list_transform({_SENT}, lambda s: length({_PLAIN}))), 0)::BIGINT AS n_chars FROM documents")
 def tx8_sentences(spark, d):
     own = read_table(spark, d, "documents").select("doc_id", tx.sentences(F.col("text")).alias("s"))
     return own.select("doc_id", F.size("s").alias("sentences"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
