@@ -5,8 +5,7 @@ class's signature comes from one pass over its shingles: a shingle's hash picks
 value, an empty bin borrows from the full bin that a universal hash of (bin, attempt) hits first. Bands of the
 signature are buckets; in each, every member is compared with the bucket's least member only, so pairs grow with the
 members. All links are confirmed on full shingle sets. Where a bucket still holds members of different components,
-further rounds compare them with the next centres, the ones of the rarest components first, until every such pair has
-been compared: no pair that shares a bucket goes unseen.
+these meet in blocks inside tasks: no pair that shares a bucket goes unseen, and no pairs are emitted but links.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wikiloom.llm.components import components
@@ -26,8 +25,8 @@ from wikiloom.plans.shared import drop_shared, shared_table
 #: At a similarity of 0.85 a pair shares no bucket with probability (1 - 0.85**5)**24 < 1e-6; above, far less.
 BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
-#: Centres for each bucket in a round after the first.
-CENTRES = 16
+#: A block of a bucket's members has about so many bytes of shingles, and members, at most.
+BLOCK_BYTES, BLOCK_MEMBERS = 1 << 20, 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
 
@@ -162,6 +161,64 @@ def confirmed(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def block_links(open_: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
+    """Links between members (key, id, component) of a bucket that are of different components.
+
+    A bucket's most frequent component needs no comparison within itself: its members and the others are dealt into
+    blocks by hash, and blocks of the others meet all blocks of the bucket. A task counts the intersections of all
+    pairs of two blocks at once and returns no more links than join what it found.
+    """
+    held = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = shared_table(held.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "near-main")
+    sized = open_.join(main, "key").withColumn("rest", F.col("component") != F.col("main")).drop("main").join(sets, "id")
+    members = shared_table(sized, "near-members")
+    many = members.groupBy("key", "rest").agg(F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("blocks"))
+    dealt = members.join(shared_table(many, "near-many"), ["key", "rest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    grouped = dealt.groupBy("key", "rest", "block").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("m"))
+    blocks = shared_table(grouped.select("key", "rest", "block", F.col("m.id").alias("ids"), F.col("m.component").alias("own"), F.col("m.shingles").alias("sets")), "near-blocks")
+    left = blocks.where("rest").select("key", F.col("block").alias("b"), F.col("ids").alias("ids_a"), F.col("own").alias("own_a"), F.col("sets").alias("sets_a"))
+    pairs = left.join(blocks, "key").where("NOT rest OR b <= block").select("ids_a", "own_a", "sets_a", "ids", "own", "sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids_a, own_a, sets_a, ids_b, own_b, sets_b = (batch.column(c)[row].as_py() for c in range(6))
+                found = links_between(ids_a, own_a, [np.frombuffer(x, np.uint64) for x in sets_a], ids_b, own_b, [np.frombuffer(x, np.uint64) for x in sets_b], numerator)
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+
+    return shared_table(pairs.mapInArrow(run, "u long, v long").distinct(), "near-links")
+
+
+def links_between(ids_a: list[int], own_a: list[int], sets_a: list[np.ndarray], ids_b: list[int], own_b: list[int], sets_b: list[np.ndarray], numerator: int) -> list[tuple[int, int]]:
+    """Links between documents of two blocks that are of different components, as a forest over the components."""
+    size_a = np.array([len(x) for x in sets_a])
+    values = np.concatenate(sets_a)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(sets_a)), size_a)[order]
+    own = np.asarray(own_a)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for doc, component, shingled in zip(ids_b, own_b, sets_b, strict=True):
+        first, last = np.searchsorted(values, shingled), np.searchsorted(values, shingled, side="right")
+        n = last - first
+        at = np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(sets_a))
+        near = (100 * common >= numerator * (size_a + len(shingled) - common)) & (own != component)
+        for a in np.flatnonzero(near):
+            x, y = top(int(own[a])), top(component)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                out.append((ids_a[a], doc))
+    return out
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id_col, n_shingles, component_id and kept for every row of ``df``.
 
@@ -189,27 +246,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = shared_table(shingle_sets(texts.join(members, "id", "left_semi")).distinct(), "near-sets")
     links = shared_table(confirmed(pairs, sets, numerator), "near-links")
     found = shared_table(components(copies.union(links)), "near-components")
-    active = buckets.select("key", "id")
-    seen = pairs
-    while True:
-        # Buckets that still hold members of different components: every pair across them is compared, centre by centre.
-        placed = active.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-        open_ = shared_table(placed.join(mixed, "key"), "near-open")
-        if open_.isEmpty():
-            break
-        held = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
-        ranked = open_.join(held, ["key", "component"])
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("held", "component", "id"))
-        centres = shared_table(ranked.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("key", F.col("id").alias("centre"), F.col("component").alias("own")), "near-centres")
-        across = open_.join(centres, "key").where("component != own").select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
-        new = shared_table(across.join(seen, ["u", "v"], "left_anti"), "near-pairs")
-        more = shared_table(confirmed(new, sets, numerator), "near-links")
-        if not more.isEmpty():
-            links = links.union(more)
-            found = shared_table(components(copies.union(links)), "near-components")
-        seen = seen.union(new)
-        active = shared_table(open_.join(centres.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "near-active")
+    # The centre has met its whole bucket. Where the others still are of different components, they meet in blocks.
+    placed = buckets.where("id != centre").select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    open_ = shared_table(placed.join(mixed, "key"), "near-open")
+    if not open_.isEmpty():
+        links = links.union(block_links(open_, sets, numerator))
+        found = shared_table(components(copies.union(links)), "near-components")
     out = sketched.select("id", "n_shingles").join(found.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
     kept = F.coalesce(F.col("id") == component, F.lit(True))
