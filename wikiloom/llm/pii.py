@@ -33,7 +33,7 @@ CARD = r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 SSN = r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
 DATE = r"(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d))"
 IP = r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
-PHONE = r"(?P<phone>(?<![\w+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?<=[\d .-])\d{2,4}(?:[ .-]\d{2,4}){2,4})(?![\w-]))"
+PHONE = r"(?P<phone>(?<![\w+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-]))"
 INTERNATIONAL = r"(?P<abroad>(?<![\w+])\+\d{1,3}(?:[ .-]?\d){7,12}(?![\w-]))"
 #: One pass over a text; where two could start, the one listed first.
 ALL = re.compile("|".join((MAIL, IBAN, SSN, DATE, IP, INTERNATIONAL, CARD, PHONE)))

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,9 +51,17 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def further_spans(text: str) -> list[tuple[int, int, int, str]]:
-    """Candidates of the further kinds."""
-    return [(m.start(), KINDS.index(kind), m.end(), m[0]) for kind, pattern in FURTHER.items() if HINTS.get(kind, "") in text for m in pattern.finditer(text)]
+def further_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Candidates of the further kinds that overlap neither a base span nor one of a kind listed before."""
+    out: list[tuple[int, int, int, str]] = []
+    for kind, pattern in FURTHER.items():
+        if HINTS.get(kind, "") in text:
+            new = [(m.start(), KINDS.index(kind), m.end(), m[0]) for m in pattern.finditer(text)]
+            ends = sorted((a, b) for a, _, b, _ in [*taken, *out])
+            starts = [a for a, _ in ends]
+            upto = list(accumulate((b for _, b in ends), max))
+            out += [x for x in new if (i := bisect_left(starts, x[2])) == 0 or upto[i - 1] <= x[0]]
+    return sorted(out)
 
 
 def digest(secret: str) -> str:
@@ -69,8 +79,9 @@ def candidates(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
         for whole in batches:
             for batch in slices(whole, len(keep)):
                 texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+                base = [base_spans(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array([rows(base_spans(t)) for t in texts], kind), pa.array([rows(further_spans(t)) for t in texts], kind)],
+                    [*batch.columns[:-1], pa.array(map(rows, base), kind), pa.array([rows(further_spans(t, b)) for t, b in zip(texts, base, strict=True)], kind)],
                     names=[*(f"k{i}" for i in range(len(keep))), "base", "further"],
                 )
 
