@@ -101,3 +101,42 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, title string, last_synced timestamp_ntz")
     row = pages.agg(F.count(F.lit(1)).alias("n"), F.max("last_synced").alias("m")).first()
     assert row["n"] == 0 and row["m"] is None
+
+
+def test_embedding_batches_and_failures(spark):
+    from wikiloom.operators.embedding import embed_chunks, run_counters
+
+    chunks = spark.createDataFrame([(i, None if i == 3 else f"text {i}") for i in range(250)], "chunk_id int, content string").coalesce(1)
+
+    def flaky(texts):
+        if "text 120" in texts:
+            raise RuntimeError("refused")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    got = embed_chunks(chunks, flaky, "m").collect()
+    assert sum(r["status"] == "failed" for r in got) == 100 and len(got) == 250
+    assert {r["chunk_id"]: r["embedding"] for r in got}[3] == [0.0, 1.0]
+    counted = {r["status"]: r["chunks"] for r in run_counters(embed_chunks(chunks, flaky, "m", fall_back=True)).collect()}
+    assert counted == {"ok": 150, "dummy": 100}
+    assert len(embed_chunks(chunks.limit(1)).first()["embedding"]) == 768
+
+
+def test_answers_fall_back(spark):
+    import pytest
+
+    pages = spark.createDataFrame([(1, "Löner", "Allt om lönen.")], "page_id int, title string, content string")
+    chunks = spark.createDataFrame([(1, 1, "Lönen betalas den 25.")], "chunk_id int, page_id int, content string")
+    none = spark.createDataFrame([], "chunk_id int, embedding array<double>")
+    first = retrieval.answer(chunks, none, pages, "När kommer lönen?", None).first()
+    assert first["answer"] == "Baserat på dokumentationen: Lönen betalas den 25...." and first["grounded"] and first["confidence"] == 0.4
+    assert "Allt om lönen" in retrieval.answer(chunks.where("false"), none, pages, "När kommer lönen?", None).first()["answer"]
+    assert not retrieval.answer(chunks, none, pages, "zzz qqq", None).first()["grounded"]
+    with pytest.raises(ValueError):
+        retrieval.answer(chunks, none, pages, "  ", None)
+
+
+def test_plain_text(spark):
+    from wikiloom.operators.blocks import plain_text
+
+    df = spark.createDataFrame([(1, "<title>T</title><script>x</script><p>a&nbsp;b\n <b>c</b></p>"), (2, None)], "id int, text string")
+    assert sorted(map(tuple, plain_text(df).collect())) == [(1, "Ta b c"), (2, None)]

@@ -46,6 +46,12 @@ def related_pages(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return edges.join(pages.select(F.col("page_id").alias("target_page_id"), "title"), "target_page_id").select("source_page_id", "relationship_type", "target_page_id", "title")
 
 
+def linked_context(edges: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each page's linked pages with what they hold: titles and numbers of chunks and tokens, one hop away."""
+    held = chunks.groupBy(F.col("page_id").alias("target_page_id")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"))
+    return related_pages(edges, pages).join(held, "target_page_id", "left").select("source_page_id", "target_page_id", "title", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
 def ai_statistics(pages: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """One row: pages, chunks, tokens, embeddings. Each table gives one row, and these are put side by side."""
     one = pages.agg(F.count(F.lit(1)).alias("pages"))

@@ -16,6 +16,7 @@ from wikiloom.functions.vectors import cosine
 CANDIDATES, RRF_K, VECTOR_WEIGHT, LEXICAL_WEIGHT = 20, 60, 1.0, 0.8
 FINAL_CHUNKS, FINAL_PAGES, SEARCH_PAGES, FOOTER_LINKS = 8, 3, 10, 3
 TITLE_BONUS, CONTENT_BONUS, FALLBACK_SCORE = 0.50, 0.20, 0.1
+NO_ANSWER = ("Jag hittar inget om det i dokumentationen.", "Det finns inget svar i dokumentationen.", "Dokumentationen säger inget om det.")
 ANSWER_PREFIX, ANSWER_LENGTH, ANSWER_CONFIDENCE = "Baserat på dokumentationen: ", 400, 0.4
 
 
@@ -130,6 +131,27 @@ def answer_without_model(found: DataFrame) -> DataFrame:
     return gathered.select(F.concat(F.lit(ANSWER_PREFIX), F.substring("context", 1, ANSWER_LENGTH), F.lit("...")).alias("answer"), F.lit(True).alias("grounded"), F.lit(ANSWER_CONFIDENCE).alias("confidence"), F.least(F.lit(1.0), "top").alias("relevance"))
 
 
+def usable_question(question: str | None) -> str:
+    """The question, trimmed; an empty one is refused before any plan is made."""
+    if not isinstance(question, str) or not question.strip():
+        raise ValueError("a question is needed")
+    return question.strip()
+
+
+def answer(chunks: DataFrame, embeddings: DataFrame, pages: DataFrame, question: str, query: list[float] | None, no_answer: tuple[str, ...] = NO_ANSWER) -> DataFrame:
+    """One row (answer, grounded, confidence, relevance): from chunks, else from pages, else a phrase that says so, which
+    the question's hash picks."""
+    question = usable_question(question)
+    found = hybrid_chunks(chunks, embeddings, pages, question, query)
+    if not found.isEmpty():
+        return answer_without_model(found)
+    by_page = hybrid_pages(pages, question, query).select(F.col("page_id").alias("chunk_id"), "page_id", "title", "content", "rrf")
+    if not by_page.isEmpty():
+        return answer_without_model(by_page)
+    phrase = F.get(F.array(*map(F.lit, no_answer)), F.pmod(F.xxhash64(F.lit(question)), F.lit(len(no_answer))).cast("int"))
+    return pages.sparkSession.range(1).select(phrase.alias("answer"), F.lit(False).alias("grounded"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("relevance"))
+
+
 def prompt(found: DataFrame) -> DataFrame:
     """One row: the numbered context of a model's prompt, which is built here and never sent."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("rrf")).alias("o"), F.col("chunk_id").alias("i"), F.col("title").alias("t"), F.col("content").alias("c"))))

@@ -24,6 +24,13 @@ def replace_children(old: DataFrame, new: DataFrame, parent: str, order: str) ->
     return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(renumbered)
 
 
+def upsert_attachments(old: DataFrame, new: DataFrame, pages: DataFrame) -> DataFrame:
+    """Attachments by external_id, the new version wins; their page's id is looked up by its key, null without a page."""
+    known = pages.select(F.col("external_id").alias("page_external_id"), "page_id").dropDuplicates(["page_external_id"])
+    placed = new.drop("page_id").join(known, "page_external_id", "left")
+    return upsert_latest(old, placed, ["external_id"], F.col("version"), ("id",) if "id" in old.columns else ())
+
+
 def delete_stale(existing: DataFrame, keep: DataFrame, parent: str, key: str) -> DataFrame:
     """What stays of each parent's children: those in the keep list; an empty list keeps none."""
     return existing.join(keep.select(parent, key).distinct(), [parent, key], "left_semi")

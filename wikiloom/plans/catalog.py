@@ -14,6 +14,7 @@ from wikiloom.functions import text as tx
 from wikiloom.functions.lexemes import cover_rank, frequency_rank, ilike_any, lexemes, query_prefixes
 from wikiloom.functions.vectors import cosine, dummy_embedding, l2_distance, l2_normalize, norm, sql_cosine, string_hash
 from wikiloom.operators import context, links, retrieval, tables
+from wikiloom.operators.blocks import plain_text
 from wikiloom.operators.chunker import chunks as cut_chunks
 from wikiloom.sources import canonical, wiki
 from wikiloom.sources.tables import read_table
@@ -190,6 +191,16 @@ def hy14_pending_embeddings(spark, d):
     return tables.pending_embeddings(canonical.chunks(spark, d), canonical.embeddings(spark, d)).select("chunk_id")
 
 
+@query("SELECT 'att:' || doc_id AS external_id, doc_id // 4 AS page_id, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS version FROM documents")
+def sk6_upsert_attachments(spark, d):
+    docs = read_table(spark, d, "documents")
+    keyed = docs.select(F.concat(F.lit("att:"), F.col("doc_id")).alias("external_id"), F.floor(F.col("doc_id") / 4).cast("string").alias("page_external_id"), F.lit(1).alias("version"), "lang")
+    pages = docs.select(F.floor(F.col("doc_id") / 4).alias("page_id")).distinct().withColumn("external_id", F.col("page_id").cast("string"))
+    old = tables.upsert_attachments(keyed.where("false").withColumn("page_id", F.lit(None).cast("long")), keyed, pages)
+    again = tables.upsert_attachments(old, keyed.where("lang = 'en'").withColumn("version", F.lit(2)), pages)
+    return again.select("external_id", "page_id", "version")
+
+
 # Links
 
 
@@ -217,9 +228,19 @@ def jn10_page_attachments(spark, d):
     return docs.groupBy("page_id").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("bytes"), langs.alias("langs"))
 
 
+@query(f"WITH {P}, {C}, {G}, h AS (SELECT page_id, count(*) AS chunks, sum(token_count)::BIGINT AS tokens FROM c GROUP BY 1) SELECT source_page_id, target_page_id, title, coalesce(chunks, 0) AS chunks, coalesce(tokens, 0) AS tokens FROM g JOIN p ON p.page_id = target_page_id LEFT JOIN h ON h.page_id = target_page_id")
+def hy16_linked_context(spark, d):
+    return context.linked_context(canonical.edges(spark, d), canonical.pages(spark, d), canonical.chunks(spark, d))
+
+
 # Text
 
 
+@query()
+def tx1_plain_text(spark, d):
+    return plain_text(read_table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")))
+
+
 @query(f"SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents")
 def tx6_token_estimate(spark, d):
     return read_table(spark, d, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
