@@ -28,6 +28,8 @@ BINS = BANDS * ROWS
 #: A block of a bucket's members has about so many bytes of shingles, and members, at most.
 BLOCK_BYTES, BLOCK_MEMBERS = 1 << 20, 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose hashes a Python worker keeps; workers serve the tasks of all stages.
+WORD_CACHE = 200_000
 _words: dict[bytes, int] = {}
 
 
@@ -47,7 +49,7 @@ def shingles(text: str, size: int = 5) -> np.ndarray:
         return np.zeros(0, np.uint64)
     hashes = list(map(_words.get, words))
     if None in hashes:
-        if len(_words) > 1_000_000:
+        if len(_words) > WORD_CACHE:
             _words.clear()
         for i, w in enumerate(words):
             if hashes[i] is None:

@@ -26,7 +26,7 @@ LONGEST_CACHED = 48
 class PieceEncoder:
     """Encodes texts with one tokenizer file. ``cache_size`` bounds the cached pieces, ``batch_bytes`` a library call."""
 
-    def __init__(self, path: str, cache_size: int = 700_000, batch_bytes: int = 1 << 20):
+    def __init__(self, path: str, cache_size: int = 400_000, batch_bytes: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -35,6 +35,8 @@ TRAIN_ROWS = 20_000
 #: Words at once in the statistics; longer documents go in parts, with the words around a cut in both.
 CHUNK = 1 << 18
 WORDS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+#: Words whose hashes a Python worker keeps; workers serve the tasks of all stages.
+WORD_CACHE = 200_000
 _slots: dict[str, int] = {}
 
 
@@ -43,7 +45,7 @@ def slots(text: str) -> np.ndarray:
     words = WORDS.findall(text)
     out = list(map(_slots.get, words))
     if None in out:
-        if len(_slots) > 1_000_000:
+        if len(_slots) > WORD_CACHE:
             _slots.clear()
         for i, w in enumerate(words):
             if out[i] is None:
