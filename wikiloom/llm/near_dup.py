@@ -25,6 +25,8 @@ from wikiloom.plans.shared import drop_shared, shared_table
 #: At a similarity of 0.85 a pair shares no bucket with probability (1 - 0.85**5)**24 < 1e-6; above, far less.
 BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
+#: Bits of the filter of ids (1 MB), in maps of the size that Spark's bitmap functions have.
+FILTER_BITS, MAP_BITS = 1 << 23, 1 << 15
 #: A block of a bucket's members has about so many bytes of shingles, and members, at most.
 BLOCK_BYTES, BLOCK_MEMBERS = 1 << 20, 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -142,6 +144,17 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles binary")
 
 
+def likely_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id may be among ``ids``, by a bitmap of id hashes: FILTER_BITS bits, whatever the corpus,
+    so that it can be broadcast. It spares the shuffle of most texts; the exact join follows."""
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    maps = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / MAP_BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % MAP_BITS).alias("map"))
+    placed = docs.withColumn("at", at).withColumn("part", F.floor(F.col("at") / MAP_BITS))
+    tested = placed.join(F.broadcast(shared_table(maps, "near-filter")), "part")
+    byte = F.conv(F.hex(F.substring(F.col("map"), (F.col("at") % MAP_BITS / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return tested.withColumn("byte", byte).where("shiftright(byte, cast(at % 8 as int)) & 1 = 1").select(*docs.columns)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= numerator * union, on full sets."""
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
@@ -243,9 +256,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = shared_table(posted.join(shared, "key"), "near-buckets")
     pairs = shared_table(buckets.where("id != centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "near-pairs")
     drop_shared(posted)
-    members = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id")
+    members = shared_table(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id"), "near-members")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    sets = shared_table(shingle_sets(texts.join(members, "id", "left_semi")).distinct(), "near-sets")
+    sets = shared_table(shingle_sets(likely_among(texts, members).join(members, "id", "left_semi")).distinct(), "near-sets")
     links = shared_table(confirmed(pairs, sets, numerator), "near-links")
     found = shared_table(components(copies.union(links)), "near-components")
     # The centre has met its whole bucket. Where the others still are of different components, they meet in blocks.
