@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from wikiloom.llm import near_dup
 from wikiloom.llm.components import components
 from wikiloom.llm.near_dup import BINS, links_between, near_duplicates, shingles, signature
 
@@ -61,6 +62,14 @@ def test_equals_brute_force(spark):
         assert got == brute(rows, numerator)
 
 
+def test_large_mixed_buckets_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 2)
+    monkeypatch.setattr(near_dup, "BLOCKS_A_PART", 1)
+    rows = corpus(9)  # buckets of one value each: those of the common passage hold many components
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), bands=60, rows=1).collect()}
+    assert got == brute(rows, 85)
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "a b c d e f", "", ""), (7, "x y", "", ""), (7, "x y", "", ""), (6, "x y", "", ""), (8, None, "", "")]
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wikiloom.llm.components import components
@@ -29,6 +29,8 @@ BINS = BANDS * ROWS
 FILTER_BITS, MAP_BITS = 1 << 23, 1 << 15
 #: A block of a bucket's members has about so many bytes of shingles, and members, at most.
 BLOCK_BYTES, BLOCK_MEMBERS = 1 << 20, 512
+#: So many of a bucket's blocks meet all its blocks in one task; a bucket with more is dealt over several.
+BLOCKS_A_PART = 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a Python worker keeps; workers serve the tasks of all stages.
 WORD_CACHE = 200_000
@@ -180,19 +182,23 @@ def block_links(open_: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     """Links between members (key, id, component) of a bucket that are of different components.
 
     A bucket's most frequent component needs no comparison within itself: its members and the others are dealt into
-    blocks by hash, and blocks of the others meet all blocks of the bucket. A task counts the intersections of all
-    pairs of two blocks at once and returns no more links than join what it found.
+    blocks by hash, and blocks of the others meet all blocks of the bucket. A large bucket's comparisons are dealt over
+    parts, BLOCKS_A_PART blocks of the others in each. A task counts the intersections of all pairs of two blocks at
+    once and returns no more links than join what it found.
     """
     held = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = shared_table(held.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "near-main")
     sized = open_.join(main, "key").withColumn("rest", F.col("component") != F.col("main")).drop("main").join(sets, "id")
     members = shared_table(sized, "near-members")
     many = members.groupBy("key", "rest").agg(F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("blocks"))
-    dealt = members.join(shared_table(many, "near-many"), ["key", "rest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    grouped = dealt.groupBy("key", "rest", "block").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("m"))
-    blocks = shared_table(grouped.select("key", "rest", "block", F.col("m.id").alias("ids"), F.col("m.component").alias("own"), F.col("m.shingles").alias("sets")), "near-blocks")
-    left = blocks.where("rest").select("key", F.col("block").alias("b"), F.col("ids").alias("ids_a"), F.col("own").alias("own_a"), F.col("sets").alias("sets_a"))
-    pairs = left.join(blocks, "key").where("NOT rest OR b <= block").select("ids_a", "own_a", "sets_a", "ids", "own", "sets")
+    others = F.max(F.when(F.col("rest"), F.col("blocks"))).over(Window.partitionBy("key"))  # two rows a key at most
+    sizes = shared_table(many.withColumn("parts", F.ceil(others / BLOCKS_A_PART)), "near-many")
+    dealt = members.join(sizes, ["key", "rest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    grouped = dealt.groupBy("key", "rest", "block", "parts").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("m"))
+    blocks = shared_table(grouped.select("key", "rest", "block", "parts", F.col("m.id").alias("ids"), F.col("m.component").alias("own"), F.col("m.shingles").alias("sets")), "near-blocks")
+    left = blocks.where("rest").select("key", F.pmod("block", "parts").alias("part"), F.col("block").alias("b"), F.col("ids").alias("ids_a"), F.col("own").alias("own_a"), F.col("sets").alias("sets_a"))
+    right = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pairs = left.join(right, ["key", "part"]).where("NOT rest OR b <= block").select("ids_a", "own_a", "sets_a", "ids", "own", "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +258,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Buckets of more than one class.
     single = prints.select("id", "fp", "keys").join(classes, "fp", "left").where("rep IS NULL OR rep = id").select("id", F.explode("keys").alias("key"))
     posted = shared_table(single, "near-posted")
-    shared = posted.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last")
+    # A table of its own has one row a bucket, so that the join with it can split a large bucket.
+    shared = shared_table(posted.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last"), "near-shared")
     buckets = shared_table(posted.join(shared, "key"), "near-buckets")
     pairs = shared_table(buckets.where("id != centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "near-pairs")
     drop_shared(posted)
@@ -263,7 +270,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = shared_table(components(copies.union(links)), "near-components")
     # The centre has met its whole bucket. Where the others still are of different components, they meet in blocks.
     placed = buckets.where("id != centre").select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    mixed = shared_table(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"), "near-mixed")
     open_ = shared_table(placed.join(mixed, "key"), "near-open")
     if not open_.isEmpty():
         links = links.union(block_links(open_, sets, numerator))
