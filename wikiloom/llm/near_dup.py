@@ -188,13 +188,14 @@ def block_links(open_: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     """
     held = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = shared_table(held.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "near-main")
-    sized = open_.join(main, "key").withColumn("rest", F.col("component") != F.col("main")).drop("main").join(sets, "id")
-    members = shared_table(sized, "near-members")
-    many = members.groupBy("key", "rest").agg(F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("blocks"))
+    lengths = sets.select("id", F.octet_length("shingles").alias("bytes"))
+    members = shared_table(open_.join(main, "key").withColumn("rest", F.col("component") != F.col("main")).drop("main").join(lengths, "id"), "near-members")
+    many = members.groupBy("key", "rest").agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("blocks"))
     others = F.max(F.when(F.col("rest"), F.col("blocks"))).over(Window.partitionBy("key"))  # two rows a key at most
     sizes = shared_table(many.withColumn("parts", F.ceil(others / BLOCKS_A_PART)), "near-many")
-    dealt = members.join(sizes, ["key", "rest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    grouped = dealt.groupBy("key", "rest", "block", "parts").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("m"))
+    dealt = members.join(sizes, ["key", "rest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sets, "id")
+    # Dealt by block: the joins before may have left a whole bucket together.
+    grouped = dealt.repartition("key", "rest", "block").groupBy("key", "rest", "block", "parts").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("m"))
     blocks = shared_table(grouped.select("key", "rest", "block", "parts", F.col("m.id").alias("ids"), F.col("m.component").alias("own"), F.col("m.shingles").alias("sets")), "near-blocks")
     left = blocks.where("rest").select("key", F.pmod("block", "parts").alias("part"), F.col("block").alias("b"), F.col("ids").alias("ids_a"), F.col("own").alias("own_a"), F.col("sets").alias("sets_a"))
     right = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
