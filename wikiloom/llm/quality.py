@@ -211,14 +211,17 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     added = ("held_out", "score", "predicted")
     columns = [c for c in df.columns if c not in added] if keep else [id_col]
-    source = df.select(*(F.col(c) for c in columns), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([*source.drop("__text").schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    own = text_col in columns and isinstance(df.schema[text_col].dataType, T.StringType)  # kept texts go to Python once
+    at = columns.index(text_col) if own else len(columns) + 1
+    text = [] if own else [F.col(text_col).cast("string").alias("__text")]
+    source = df.select(*(F.col(c) for c in columns), held_out(F.col(id_col)).alias("held_out"), *text)
+    schema = T.StructType([*source.schema.fields[: len(columns) + 1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, len(columns) + 1):
-                x = np.stack([pool(t or "", vectors) for t in batch.column(len(columns) + 1).to_pylist()]).astype(float)
+            for batch in slices(whole, at):
+                x = np.stack([pool(t or "", vectors) for t in batch.column(at).to_pylist()]).astype(float)
                 p = np.round(network.probabilities(x), 9)  # sums may differ in the last digits with the size of a batch
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=schema.names)
 
     return source.mapInArrow(score, schema)
