@@ -178,6 +178,35 @@ def test_invalid_values_stay():
     assert pseudonymise(text, KEY) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("value", "kind", "after", "next_kinds"),
+    [
+        ("4111111111111111", "card", " 192.168.0.1", ["ip"]),
+        ("4111 1111 1111 1111", "card", " 123", []),
+        ("4111-1111-1111-1111", "card", "-123", []),
+        ("3782 822463 10005", "card", " 12/25", []),
+        ("4111111111111111", "card", " 7 8", []),
+        ("BE68539007547034", "iban", " 2024", []),
+        ("BE68 5390 0754 7034", "iban", " IN 2024", []),
+        ("AT611904300234573201", "iban", " 2024 ABCD", []),
+        ("ES91 2100 0418 4502 0005 1332", "iban", " 2024", []),
+        ("555-123-4567", "phone", " 1234", []),
+    ],
+)
+def test_values_before_another_number(value, kind, after, next_kinds):
+    text = f"see {value}{after} there"
+    new, found = pseudonymise(text, KEY)
+    assert [k for k, *_ in found] == [kind, *next_kinds] and found[0] == (kind, 4, 4 + len(value))
+    assert new[4 : 4 + len(value)] == pseudonymise(value, KEY)[0] != value
+    assert next_kinds or new[4 + len(value) :] == f"{after} there"
+
+
+def test_card_before_any_address():
+    for first in range(1, 256):
+        found = pseudonymise(f"{CARD} {first}.168.0.1", KEY)[1]
+        assert [(k, b - a) for k, a, b in found] == [("card", 16), ("ip", len(f"{first}.168.0.1"))]
+
+
 def test_documents(spark):
     rows = [(1, f"a {CARD}", "x", None), (2, f"{CARD} b", "x", None), (3, None, "x", None), (None, "", None, None), (3, "clean text.", "x", None), (4, "é@x " + "w " * 50_000 + CARD, "x", None), (5, "zoé.k@mail1.example.com", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, pii_spans string")

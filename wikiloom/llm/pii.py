@@ -35,8 +35,14 @@ DATE = r"(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d
 IP = r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
 PHONE = r"(?P<phone>(?<![\w+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-]))"
 INTERNATIONAL = r"(?P<abroad>(?<![\w+])\+\d{1,3}(?:[ .-]?\d){7,12}(?![\w-]))"
+PATTERNS = (MAIL, IBAN, SSN, DATE, IP, INTERNATIONAL, CARD, PHONE)
 #: One pass over a text; where two could start, the one listed first.
-ALL = re.compile("|".join((MAIL, IBAN, SSN, DATE, IP, INTERNATIONAL, CARD, PHONE)))
+ALL = re.compile("|".join(PATTERNS))
+EACH = tuple(map(re.compile, PATTERNS))
+#: Characters of an account number by country.
+_SIZES = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+IBAN_SIZES = {x[:2]: int(x[2:]) for x in _SIZES.split()}
+DECIMALS = re.compile(r"\.\d")
 
 
 def permute(value: int, size: int, key: bytes, name: str, back: bool = False) -> int:
@@ -161,6 +167,36 @@ def _date(value: str, key: bytes) -> str | None:
     return f"{first:02d}{sign}{second:02d}{sign}{new.year:04d}"
 
 
+def stops(kind: str, text: str, start: int, stop: int) -> list[int]:
+    """Where a value that was matched from start to stop may end, the likeliest first.
+
+    Blanks and hyphens inside card and account numbers let a match run on into the number or word after the value, so
+    that these may end at each of them: a card at the last that validates (one before a point and a digit last, as an
+    address or amount begins there), an account where its country's length is reached.
+    """
+    if kind not in ("card", "iban"):
+        return [stop]
+    inner = [i for i in range(stop - 1, start, -1) if text[i] in " -"]
+    if kind == "card":
+        return [*inner, stop] if DECIMALS.match(text, stop) else [stop, *inner]
+    size = IBAN_SIZES.get(text[start : start + 2])
+    if size is None:
+        return [stop, *inner]
+    return [*(i for i in (stop, *inner) if i - start - text.count(" ", start, i) == size), stop]
+
+
+def value_at(text: str, start: int, key: bytes) -> tuple[str, int, str] | None:
+    """(kind, end, replacement) of the first valid value that starts there."""
+    for pattern in EACH:
+        if m := pattern.match(text, start):
+            kind = {"abroad": "phone"}.get(m.lastgroup, m.lastgroup)
+            for stop in stops(kind, text, start, m.end()):
+                new = pseudonym(kind, text[start:stop], key)
+                if new is not None:
+                    return kind, stop, new
+    return None
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its values replaced, and (kind, start, end) of each in the old text."""
     if not re.search(r"[0-9@]", text):
@@ -168,16 +204,16 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     found: list[tuple[str, int, int]] = []
     out, at, search = [], 0, 0
     while m := ALL.search(text, search):
-        kind = {"abroad": "phone"}.get(m.lastgroup, m.lastgroup)
-        new = pseudonym(kind, m[0], key)
-        if new is None:
+        value = value_at(text, m.start(), key)
+        if value is None:
             search = m.start() + 1
             while search < m.end() and text[search - 1].isalnum():
                 search += 1  # on to the next part of an invalid value
             continue
+        kind, stop, new = value
         out += [text[at : m.start()], new]
-        found.append((kind, m.start(), m.end()))
-        at = search = m.end()
+        found.append((kind, m.start(), stop))
+        at = search = stop
     return "".join([*out, text[at:]]), found
 
 
@@ -186,8 +222,8 @@ def pseudonymous(df: DataFrame, key: str, text_col: str = "text", spans: bool =
 
     key: any string; the same key gives the same pseudonyms. A null text stays null and has no spans, an empty one
     stays empty; nulls in other columns, repeated rows and empty tables pass as they are. A column named pii_spans is
-    replaced. Values that fail validation (a card number with a wrong check digit, the 31st of June) stay. Every match
-    is taken from the whole text.
+    replaced. Values that fail validation (a card number with a wrong check digit, the 31st of June) stay; a value that
+    another number or word follows is found by its shorter matches. Every match is taken from the whole text.
     """
     secret = hmac.new(b"wikiloom-pii", key.encode(), "sha256").digest()
     at = df.columns.index(text_col)
