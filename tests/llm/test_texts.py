@@ -11,7 +11,7 @@ import pytest
 from wikiloom.llm.html_main import blocks, extract_main, main_text, min_cut
 from wikiloom.llm.pii import ALL, luhn, permute, pii_counts, pseudonymise, pseudonymous
 from wikiloom.llm.quality import HIDDEN, Network, score_quality
-from wikiloom.llm.secret_scan import scan_secrets
+from wikiloom.llm.secret_scan import WIDE_REPOSITORIES, reported, scan_secrets
 
 KEY = b"k" * 32
 
@@ -143,6 +143,22 @@ def test_secrets(spark):
     assert hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_by_repositories_and_owners(spark):
+    weak = lambda c: f"{c}1a/" * 8 + "Zq"
+    private = "-----BEGIN PRIVATE KEY-----\nMIIEvQ==\n-----END PRIVATE KEY-----"
+    rows = [(i, f"{weak('A')} and {LIVE}", "hot") for i in range(WIDE_REPOSITORIES)]  # many repositories of one owner
+    rows += [(100 + i, weak("B"), f"s{i % 2}") for i in range(WIDE_REPOSITORIES)]  # many of several
+    rows += [(200 + i, f"{weak('C')} {private}", f"s{i}") for i in range(2)]  # two of two
+    rows += [(300 + i, weak("D"), "s") for i in range(WIDE_REPOSITORIES - 1)]  # not so many of one
+    found = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = found.withColumn("reported", reported()).collect()
+    kinds = lambda r, c: sorted(s["kind"] for s in r[c])
+    assert len(got) == len(rows)
+    for r in got:
+        want = {0: ([], [], [5, 6], [5]), 1: ([], [6], [], []), 2: ([6], [3], [], [3, 6]), 3: ([6], [], [], [6])}[r["doc_id"] // 100]
+        assert tuple(kinds(r, c) for c in ("live", "shared", "repeated", "reported")) == want, r
+
+
 # Personal values
 
 

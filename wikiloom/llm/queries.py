@@ -16,7 +16,7 @@ from wikiloom.llm.packing import pack_documents
 from wikiloom.llm.pii import KINDS as PII_KINDS
 from wikiloom.llm.pii import pii_counts, pseudonymous
 from wikiloom.llm.quality import score_quality
-from wikiloom.llm.secret_scan import BASE_KINDS, listed, scan_secrets
+from wikiloom.llm.secret_scan import BASE_KINDS, listed, reported, scan_secrets
 from wikiloom.llm.token_counts import token_counts
 from wikiloom.llm.topk import exact_top_k
 from wikiloom.sources.tables import read_table
@@ -50,8 +50,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
-    spans = listed(F.concat("base", "live"))
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), "base_live", F.size("shared").cast("long").alias("n_shared"))
+    sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("shared", "repeated")]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(reported()).alias("spans"), listed(F.col("repeated")).alias("repeated"), "base_live", *sizes)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secret scans (operator 6) with corpus-wide ownership frequency.
 
 Candidates are spans of whole texts: the base kinds, and further kinds that alone are too weak a sign. For the hash of
-every further candidate the corpus is asked how many distinct repositories and owners hold it: a string that several
-owners share is a copied example, one that only its owner has and that looks random is a live credential.
+every further candidate the corpus is asked how many distinct repositories and owners hold it: a string that many
+repositories of several owners share is a copied example, one that many repositories of one owner repeat is its own
+case, and any other is a live credential.
 """
 
 from __future__ import annotations
@@ -35,8 +36,11 @@ FURTHER = {
 }
 KINDS = (*BASE_KINDS, *FURTHER)
 HINTS = {"private_key": "PRIVATE KEY", "web_token": "eyJ"}
-#: A further candidate with at least so many owners is a copied example.
+#: Kinds whose format alone is a strong sign: several owners are enough to share one, but it stays listed.
+STRONG = ("private_key", "web_token", "issued")
+#: A further candidate with at least so many owners, and if not strong so many repositories, is a copied example.
 SHARED_OWNERS = 2
+WIDE_REPOSITORIES = 10
 SPAN = "array<struct<start: int, kind: int, stop: int, hash: string>>"
 
 
@@ -107,11 +111,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """One row for each row of ``df``: id_col, base, live, shared (arrays of spans), owner-specific and shared counts.
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, shared_owners: int = SHARED_OWNERS, wide_repositories: int = WIDE_REPOSITORIES) -> DataFrame:
+    """One row for each row of ``df``: id_col, base, live, shared, repeated (arrays of spans), base_live (a count).
 
-    base: the base kinds. live: further candidates that fewer than ``shared_owners`` owners hold. shared: the others,
-    copied examples. base_live counts the base spans whose secret is owner-specific. repository_col: default id_col.
+    base: the base kinds. Further candidates are in one of three arrays. shared: ``shared_owners`` or more hold it, in
+    ``wide_repositories`` or more (strong kinds: in any number), a copied example. repeated: fewer owners hold it, in
+    ``wide_repositories`` or more, a template or a credential that its owner copied. live: all others. Strong kinds may
+    be real wherever they are; ``reported`` lists them with live ones. base_live counts the base spans whose secret is
+    held by fewer owners and repositories than both limits. repository_col: default id_col.
     A null text counts as empty and has no spans; a null owner is an owner of its own; repeated rows each get their
     row; an empty table gives no rows; other columns are not read.
     """
@@ -125,11 +132,25 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none = F.array().cast("array<struct<s: struct<start: int, kind: int, stop: int, hash: string>, owners: bigint, repositories: bigint>>")
     out = found.join(judged, "__row", "left").withColumn("all", F.coalesce("all", none))
     pick = lambda test: F.transform(F.filter("all", test), lambda x: x["s"])
-    weak = len(BASE_KINDS)
+    further = lambda x: x["s"]["kind"] >= len(BASE_KINDS)
+    several = lambda x: x["owners"] >= shared_owners
+    wide = lambda x: x["repositories"] >= wide_repositories
+    shared = lambda x: several(x) & (wide(x) | strong(x["s"]))
+    repeated = lambda x: ~several(x) & wide(x)
     return out.select(
         id_col,
         "base",
-        pick(lambda x: (x["s"]["kind"] >= weak) & (x["owners"] < shared_owners)).alias("live"),
-        pick(lambda x: (x["s"]["kind"] >= weak) & (x["owners"] >= shared_owners)).alias("shared"),
-        F.size(F.filter("all", lambda x: (x["s"]["kind"] < weak) & (x["owners"] < shared_owners))).cast("long").alias("base_live"),
+        pick(lambda x: further(x) & ~shared(x) & ~repeated(x)).alias("live"),
+        pick(lambda x: further(x) & shared(x)).alias("shared"),
+        pick(lambda x: further(x) & repeated(x)).alias("repeated"),
+        F.size(F.filter("all", lambda x: ~further(x) & ~several(x) & ~wide(x))).cast("long").alias("base_live"),
     )
+
+
+def strong(span: Column) -> Column:
+    return span["kind"].isin([KINDS.index(k) for k in STRONG])
+
+
+def reported() -> Column:
+    """The spans of a row of scan_secrets that may be secrets: base and live ones, and strong ones whatever the count."""
+    return F.concat("base", "live", F.filter(F.concat("shared", "repeated"), strong))
