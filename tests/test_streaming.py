@@ -1,3 +1,6 @@
+import os
+from glob import glob
+
 from pyspark.sql import functions as F
 
 from wikiloom.streaming.ingest import hourly, start_ingest
@@ -16,6 +19,38 @@ def test_ingest_replaces_and_is_incremental(spark, tmp_path):
     assert sorted(r["content"] for r in spark.read.parquet(sink).collect()) == ["[A]\nnew text", "[B]\nkept text"]
 
 
+def test_ingest_of_several_versions_in_a_batch(spark, tmp_path):
+    source, sink, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
+    schema = "id long, title string, text string"
+    for name, second in (("c", 1000), ("a", 3000), ("b", 2000)):
+        rows = [(i, "P", f"{name} {k} of {i}") for k in range(2) for i in range(20)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/made_{name}")
+        (file,) = glob(f"{tmp_path}/made_{name}/*.parquet")
+        os.makedirs(source, exist_ok=True)
+        os.rename(file, f"{source}/{name}.parquet")
+        os.utime(f"{source}/{name}.parquet", (1_700_000_000 + second,) * 2)
+    start_ingest(spark, source, schema, sink, state).awaitTermination()
+    assert sorted(r["content"] for r in spark.read.parquet(sink).collect()) == sorted(f"[P]\na 1 of {i}" for i in range(20))
+
+
+def test_ingest_by_version(spark, tmp_path):
+    source, sink, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
+    schema = "id long, title string, text string, v int"
+    run = lambda: start_ingest(spark, source, schema, sink, state, version="v").awaitTermination()
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    got = lambda: sorted((r["id"], r["content"], r["v"]) for r in spark.read.parquet(sink).collect())
+    add([(1, "A", "second", 2), (2, "B", "only", None)])
+    add([(1, "A", "first", 1)])
+    run()
+    assert got() == [(1, "[A]\nsecond", 2), (2, "[B]\nonly", None)]
+    add([(1, "A", "late first", 1), (2, "B", "next", 1)])
+    run()
+    assert got() == [(1, "[A]\nsecond", 2), (2, "[B]\nnext", 1)]
+    add([(1, "A", "third", 3)])
+    run()
+    assert got() == [(1, "[A]\nthird", 3), (2, "[B]\nnext", 1)]
+
+
 def test_hourly_stream_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(f"2024-01-01 0{h}:10:00", k, float(h)) for h in range(6) for k in ("a", "b")], "t string, event_type string, value double").select(F.to_timestamp("t").alias("ts"), "event_type", "value")
     events.coalesce(1).write.parquet(f"{tmp_path}/events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,20 +23,35 @@ def latest_in_stream(changes: DataFrame, key: str, time: str = "ts", late: str =
     return changes.withWatermark(time, late).dropDuplicatesWithinWatermark([key, time])
 
 
-def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, options: ChunkOptions | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, options: ChunkOptions | None = None, after: Callable[[DataFrame, int], None] | None = None, version: str | None = None) -> StreamingQuery:
     """Chunk the pages (id, title, text) of files that weren't seen before and replace these pages' chunks in ``sink``.
 
     The sink is partitioned by a bucket of page ids; a batch rewrites the buckets it touches, so a page's chunks change
     together. ``checkpoint`` makes each file count once; ``after(chunks, batch)`` is a hook for embedding.
+
+    Of several rows of a page in a batch the last written counts: that of the latest file (by modification time, then
+    path), and in it the last row. With ``version``, a column of ``schema``, that of the greatest version counts, null
+    being the least; the chunks keep that column, and a page older than its chunks in the sink is left out. A page
+    whose text gives no chunks leaves no version there.
     """
     buckets = 64
+    order = [F.col(c).desc_nulls_last() for c in ([version] if version else []) + ["__written"]]
 
     def replace(batch: DataFrame, number: int) -> None:
-        pages = batch.dropDuplicates(["id"])
-        new = chunks(pages, options).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+        numbered = batch.withColumn("__number", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+        pages = numbered.where("__number = 1").drop("__number", "__written")
+        there = _exists(spark, sink)
+        if version and there:
+            held = spark.read.schema(f"id {pages.schema['id'].dataType.simpleString()}, {version} {pages.schema[version].dataType.simpleString()}").parquet(sink)
+            held = held.groupBy("id").agg(F.max(version).alias("__held"))
+            pages = pages.join(held, "id", "left").where(F.col("__held").isNull() | (F.col(version) >= F.col("__held"))).drop("__held")
+        new = chunks(pages, options)
+        if version:
+            new = new.join(pages.select("id", version), "id")
+        new = new.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
         touched = pages.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")).distinct()
         out = new
-        if _exists(spark, sink):
+        if there:
             old = spark.read.schema(new.schema).parquet(sink)
             kept = old.join(touched, "bucket", "left_semi").join(pages.select("id"), "id", "left_anti")
             out = new.unionByName(kept)
@@ -45,7 +60,8 @@ def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, check
         if after:
             after(staged.drop("bucket"), number)
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    written = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index").alias("__written")
+    stream = spark.readStream.schema(schema).parquet(source).select("*", written)
     return stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
