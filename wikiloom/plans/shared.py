@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A task that writes holds a row group in memory.
+ROW_GROUP_BYTES = 32 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -31,7 +33,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back; removed when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wikiloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
