@@ -6,12 +6,17 @@ nearest pivots and adds up the footrule: the differences of places, where a pivo
 the place after the last. The vectors with the least footrule are reranked by exact distance. The index is kept in
 blocks, each with its own inverted files and all its vectors; equal vectors of a block are posted once, with the
 smallest ids that any query could need.
+
+How far the order by footrule can be trusted depends on the vectors: little where they have many dimensions and no
+clusters. So the share of a block that is reranked is fitted on a bounded sample, against brute force, for a wanted
+recall; at worst it is all of the block.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Callable
+import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,12 +24,16 @@ from pyspark.sql import functions as F
 
 from wikiloom.llm.blocks import best_of_pairs, index_blocks, query_blocks, usable
 
-#: Pivots: so many vectors with the smallest hashes of their ids.
+#: Vectors, and bytes of their components, of the sample: those with the smallest hashes.
+SAMPLE, SAMPLE_BYTES = 4096, 16 << 20
+#: Pivots: so many vectors of the sample, the first ones.
 PIVOTS = 256
 #: Places kept of a permutation.
-PREFIX = 32
-#: Of a block's distinct vectors, the share reranked for each query, and the least number.
-RERANK_SHARE, RERANK_LEAST = 0.3, 128
+PREFIX = 64
+#: The share reranked is the least at which so many of the sample's queries' neighbours are found, and a tenth more.
+RECALL, PROBES = 0.97, 128
+#: Of a block's distinct vectors, the least number reranked for each query.
+RERANK_LEAST = 128
 
 
 def permutations(matrix: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -33,74 +42,128 @@ def permutations(matrix: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndar
     return np.argsort(distance, axis=1, kind="stable")[:, : min(prefix, len(pivots))].astype(np.int16)
 
 
-def pivot_sample(vectors: DataFrame, count: int, seed: int = 3) -> dict[int, np.ndarray]:
-    """Up to ``count`` pivots for each length of vectors that the sample holds, by hash of the vector (equal ones count once)."""
-    chosen = vectors.select("vector", F.xxhash64("vector", F.lit(seed)).alias("h")).groupBy("h").agg(F.min("vector").alias("vector")).orderBy("h").limit(count)
+@dataclass(frozen=True)
+class Plan:
+    """What the index needs to know for vectors of one length."""
+
+    pivots: np.ndarray
+    share: float
+
+
+def vector_sample(vectors: DataFrame, count: int = SAMPLE, limit: int = SAMPLE_BYTES, seed: int = 3) -> dict[int, np.ndarray]:
+    """Vectors by length: those with the smallest hashes (equal ones count once), ``count`` or ``limit`` bytes at most."""
+    longest = vectors.agg(F.max(F.size("vector"))).first()[0] or 1
+    some = vectors.select("vector", F.xxhash64("vector", F.lit(seed)).alias("h")).groupBy("h").agg(F.min("vector").alias("vector")).orderBy("h").limit(max(2, min(count, limit // (8 * longest))))
     found: dict[int, list[list[float]]] = {}
-    for row in chosen.collect():
+    for row in some.collect():
         found.setdefault(len(row["vector"]), []).append(row["vector"])
     return {n: np.asarray(v, float) for n, v in found.items()}
 
 
-def build_block(pivots: dict[int, np.ndarray], prefix: int, k: int) -> Callable[[np.ndarray, np.ndarray], bytes]:
-    """A function that makes a block's inverted files."""
+def footrules(asked: np.ndarray, posted: np.ndarray, place: np.ndarray, files: np.ndarray, rows: int) -> np.ndarray:
+    """The footrule of one query's permutation to those of all rows: everything missing at first, then what each posting saves."""
+    length = len(asked)
+    out = np.zeros(rows, np.int32)
+    for at, pivot in enumerate(asked):
+        own = place[files[pivot] : files[pivot + 1]]
+        out[posted[files[pivot] : files[pivot + 1]]] += np.abs(own - at) - (length - at) - (length - own)
+    return out
+
 
-    def build(ids: np.ndarray, matrix: np.ndarray) -> bytes:
-        distinct, which = np.unique(matrix, axis=0, return_inverse=True)
-        order = np.argsort(which.ravel(), kind="stable")
-        starts = np.searchsorted(which.ravel()[order], np.arange(len(distinct) + 1))
-        keep = [order[a : min(b, a + k + 1)] for a, b in zip(starts[:-1], starts[1:], strict=True)]  # ids are in order
-        own = pivots.get(matrix.shape[1], distinct[:1])
-        places = permutations(distinct, own, prefix)
-        rows = np.repeat(np.arange(len(distinct)), places.shape[1])
-        at = np.tile(np.arange(places.shape[1]), len(distinct))
-        by_pivot = np.argsort(places.ravel(), kind="stable")
-        files = np.searchsorted(places.ravel()[by_pivot], np.arange(len(own) + 1))
-        out = io.BytesIO()
-        np.savez(out, vectors=distinct, ids=ids[np.concatenate(keep)], ends=np.cumsum([len(x) for x in keep]), posted=rows[by_pivot].astype(np.int32), place=at[by_pivot].astype(np.int16), files=files)
-        return out.getvalue()
+def inverted_files(places: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pivot the rows that have it, and at which place: (rows, places, where each pivot's file starts)."""
+    rows = np.repeat(np.arange(len(places), dtype=np.int32), places.shape[1])
+    at = np.tile(np.arange(places.shape[1], dtype=np.int16), len(places))
+    order = np.argsort(places.ravel(), kind="stable")
+    return rows[order], at[order], np.searchsorted(places.ravel()[order], np.arange(pivots + 1))
 
-    return build
 
+def fitted_share(sample: np.ndarray, pivots: np.ndarray, prefix: int, k: int, recall: float) -> float:
+    """The share of the nearest by footrule that must be reranked for ``recall`` of the k nearest of the sample's probes.
 
-def search_block(body: bytes, ids: np.ndarray, matrix: np.ndarray, pivots: dict[int, np.ndarray], prefix: int, k: int, share: float, least: int) -> list[tuple[int, int, float]]:
+    A block of an index holds fewer of a query's nearest than a sample of its size that is searched alone, and the
+    nearer ones of them: so the fit errs to the safe side.
+    """
+    probes = min(PROBES, len(sample) // 4)
+    if not probes or len(sample) - probes <= RERANK_LEAST:
+        return 1.0
+    queries, rows = sample[-probes:], sample[:-probes]
+    posted, place, files = inverted_files(permutations(rows, pivots, prefix), len(pivots))
+    worst = []
+    for query, asked in zip(queries, permutations(queries, pivots, prefix), strict=True):
+        found = footrules(asked, posted, place, files, len(rows))
+        order = np.sort(found)
+        near = np.argsort(((rows - query) ** 2).sum(axis=1), kind="stable")[:k]
+        worst += np.searchsorted(order, found[near], side="right").tolist()  # how many must be reranked to reach each
+    return min(1.0, 1.1 * float(np.quantile(worst, recall)) / len(rows))
+
+
+def plans(vectors: DataFrame, pivots: int, prefix: int, k: int, recall: float) -> dict[int, Plan]:
+    """The plan for each length of vectors that the sample holds."""
+    found = {}
+    for n, sample in vector_sample(vectors).items():
+        own = sample[:pivots]
+        found[n] = Plan(own, fitted_share(sample, own, prefix, k, recall))
+    return found
+
+
+def plan_of(known: dict[int, Plan], distinct: np.ndarray) -> Plan:
+    """The plan of a block's vectors; lengths that the sample lacks are searched in full."""
+    return known.get(distinct.shape[1]) or Plan(distinct[:1], 1.0)
+
+
+def build_block(ids: np.ndarray, matrix: np.ndarray, known: dict[int, Plan], prefix: int, k: int) -> bytes:
+    """A block's distinct vectors, the smallest ids of each, and its inverted files.
+
+    A query never finds its own id: of equal vectors the k smallest other ids are kept beside all rows of the least.
+    """
+    distinct, which = np.unique(matrix, axis=0, return_inverse=True)
+    order = np.argsort(which.ravel(), kind="stable")  # ids are in order
+    starts = np.searchsorted(which.ravel()[order], np.arange(len(distinct) + 1))
+    keep = []
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        own = order[a:b]
+        first = int(np.searchsorted(ids[own], ids[own[0]], side="right"))
+        keep.append(own[: first + k])
+    pivots = plan_of(known, distinct).pivots
+    posted, place, files = inverted_files(permutations(distinct, pivots, prefix), len(pivots))
+    out = io.BytesIO()
+    np.savez(out, vectors=distinct, ids=ids[np.concatenate(keep)], ends=np.cumsum([len(x) for x in keep]), posted=posted, place=place, files=files)
+    return out.getvalue()
+
+
+def search_block(body: bytes, ids: np.ndarray, matrix: np.ndarray, known: dict[int, Plan], prefix: int, k: int, least: int) -> list[tuple[int, int, float]]:
     """The k nearest of the block's candidates for each query."""
     held = np.load(io.BytesIO(body))
     vectors, own_ids, ends, posted, place, files = (held[x] for x in ("vectors", "ids", "ends", "posted", "place", "files"))
-    own = pivots.get(matrix.shape[1], vectors[:1])
-    asked = permutations(matrix, own, prefix)
-    length = asked.shape[1]
-    wanted = min(len(vectors), max(least, int(share * len(vectors))))
+    plan = plan_of(known, vectors)
+    wanted = min(len(vectors), max(least, math.ceil(plan.share * len(vectors))))
     starts = np.r_[0, ends[:-1]]
+    asked = permutations(matrix, plan.pivots, prefix) if wanted < len(vectors) else [None] * len(matrix)
     out = []
-    for q, query in enumerate(matrix):
-        # Footrule over the union: everything missing at first, then what each posting saves.
-        footrule = np.zeros(len(vectors), np.int32)
-        for at, pivot in enumerate(asked[q]):
-            a, b = files[pivot], files[pivot + 1]
-            footrule[posted[a:b]] += np.abs(place[a:b] - at) - (length - at) - (length - place[a:b])
-        if wanted < len(vectors):
-            bound = np.partition(footrule, wanted - 1)[wanted - 1]
-            near = np.flatnonzero(footrule <= bound)
-        else:
-            near = np.arange(len(vectors))
+    for own, query, order in zip(ids, matrix, asked, strict=True):
+        near = np.arange(len(vectors))
+        if order is not None:
+            footrule = footrules(order, posted, place, files, len(vectors))
+            near = np.flatnonzero(footrule <= np.partition(footrule, wanted - 1)[wanted - 1])
         distance = np.sqrt(((vectors[near] - query) ** 2).sum(axis=1))
         closest = np.lexsort((own_ids[starts[near]], distance))[: k + 1]
-        found = [(float(distance[c]), int(i)) for c in closest for i in own_ids[starts[near[c]] : ends[near[c]]] if i != ids[q]]
-        out += [(int(ids[q]), i, d) for d, i in sorted(found)[:k]]
+        found = [(float(distance[c]), int(i)) for c in closest for i in own_ids[starts[near[c]] : ends[near[c]]] if i != own]
+        out += [(int(own), i, d) for d, i in sorted(found)[:k]]
     return out
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = RERANK_SHARE, least: int = RERANK_LEAST) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, recall: float = RECALL, least: int = RERANK_LEAST) -> DataFrame:
     """The k nearest found for each query by Euclidean distance: query_id, rank, vec_id, score (the distance).
 
     Queries: rows whose id is divisible by ``every``; candidates: all rows with another id. Rows with a null id, or a
     vector that is null, empty, zero or holds null or non-finite components, take no part; vectors meet only those of
     their own length. Ties go to smaller ids. Repeated rows are candidates each; of queries with one id the least
-    vector asks. An empty table gives no rows. ``pivots`` bounds the only sample that is taken; every row is indexed.
+    vector asks. An empty table gives no rows. Pivots and the share reranked come from a sample of SAMPLE vectors at
+    most; every row is indexed.
     """
     vectors = usable(df, id_col, vector_col).where(F.exists("vector", lambda x: x != 0))
-    own = pivot_sample(vectors, pivots)
-    index = index_blocks(vectors, build_block(own, prefix, k), "permutations")
+    known = plans(vectors, pivots, prefix, k, recall)
+    index = index_blocks(vectors, lambda ids, m: build_block(ids, m, known, prefix, k), "permutations")
     asked = query_blocks(vectors.where(F.col("vec_id") % every == 0), "ann-queries")
-    return best_of_pairs(index, asked, lambda body, ids, m: search_block(body, ids, m, own, prefix, k, share, least), "double", k, ascending=True)
+    return best_of_pairs(index, asked, lambda body, ids, m: search_block(body, ids, m, known, prefix, k, least), "double", k, ascending=True)

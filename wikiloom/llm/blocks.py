@@ -18,20 +18,28 @@ from pyspark.sql import functions as F
 
 from wikiloom.plans.shared import shared_table
 
-BLOCK_ROWS = 4096
-QUERY_ROWS = 256
+#: A block has so many vectors, and their components so many bytes, at most (one vector at least).
+BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
+QUERY_ROWS, QUERY_BYTES = 256, 2 << 20
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector) of rows with an id and a vector without null, NaN or infinite components; none is empty."""
+def rows_of(dims: int, rows: int, limit: int) -> int:
+    """How many vectors of a length make a block."""
+    return max(1, min(rows, limit // (8 * dims)))
+
+
+def usable(df: DataFrame, id_col: str, vector_col: str, scale: float = 1.0) -> DataFrame:
+    """(vec_id, vector) of rows with an id and a vector without components that are null, NaN or infinite (or become so
+    when multiplied by ``scale``); none is empty."""
     vector = F.col(vector_col).cast("array<double>")
     found = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"))
-    finite = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    finite = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x * F.lit(float(scale))) == float("inf")))
     return found.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & finite)
 
 
 def index_blocks(vectors: DataFrame, build: Callable[[np.ndarray, np.ndarray], bytes], name: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row (block, dims, body) for each run of up to ``rows`` vectors of equal length; body: build(ids, matrix)."""
+    """One row (dims, first, body) for each run of vectors of equal length, ``rows`` of them or BLOCK_BYTES at most; body:
+    build(ids, matrix)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -45,7 +53,7 @@ def index_blocks(vectors: DataFrame, build: Callable[[np.ndarray, np.ndarray], b
             for i, v in zip(pdf["vec_id"], pdf["vector"], strict=True):
                 block = held.setdefault(len(v), [])
                 block.append((i, np.asarray(v, float)))
-                if len(block) == rows:
+                if len(block) >= rows_of(len(v), rows, BLOCK_BYTES):
                     yield close(len(v))
         for dims in list(held):
             yield close(dims)
@@ -54,9 +62,11 @@ def index_blocks(vectors: DataFrame, build: Callable[[np.ndarray, np.ndarray], b
 
 
 def query_blocks(queries: DataFrame, name: str, rows: int = QUERY_ROWS) -> DataFrame:
-    """One row (dims, ids, vectors) for about ``rows`` queries of equal length; of repeated ids the least vector asks."""
+    """One row (dims, ids, flat) for about ``rows`` queries of equal length, fewer of long ones; of repeated ids the least
+    vector asks."""
     once = shared_table(queries.groupBy("vec_id").agg(F.min("vector").alias("vector")), name)
-    blocks = max(1, math.ceil(once.count() / rows))
+    count, longest = once.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks = max(1, math.ceil(count / rows_of(longest or 1, rows, QUERY_BYTES)))
     keyed = once.groupBy(F.size("vector").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
     both = keyed.agg(F.collect_list(F.struct("vec_id", "vector")).alias("q"))
     return both.select("dims", F.col("q.vec_id").alias("ids"), F.flatten("q.vector").alias("flat"))
