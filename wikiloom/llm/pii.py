@@ -3,7 +3,8 @@
 Validated values (card numbers with a right check digit, account numbers with right IBAN check digits, telephone
 numbers, addresses of machines, social security numbers, dates, mail addresses) are replaced by values of the same
 format: a keyed Feistel network permutes the value within the numbers of its format. So the replacement is valid again,
-equal values stay linked across documents, different ones stay different, and who holds the key can turn them back.
+equal values stay linked across documents, different ones stay different, and who holds the key can turn them back
+(``pseudonym`` with back=True).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import hashlib
 import hmac
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -45,8 +46,11 @@ IBAN_SIZES = {x[:2]: int(x[2:]) for x in _SIZES.split()}
 DECIMALS = re.compile(r"\.\d")
 
 
-def permute(value: int, size: int, key: bytes, name: str, back: bool = False) -> int:
-    """A keyed permutation of 0 .. size-1: a balanced Feistel network on the next larger square, walked until inside."""
+def permute(value: int, size: int, key: bytes, name: str, back: bool = False, inside: Callable[[int], bool] | None = None) -> int:
+    """A keyed permutation of 0 .. size-1: a balanced Feistel network on the next larger square, walked until below size.
+
+    ``inside``: a part of these numbers that ``value`` is of; the walk goes on until it is back in it, which permutes it.
+    """
     if size < 2:
         return value
     half = math.isqrt(size - 1) + 1
@@ -58,7 +62,7 @@ def permute(value: int, size: int, key: bytes, name: str, back: bool = False) ->
             else:
                 left, right = right, (left + _mask(right, r, key, name, size)) % half
         value = left * half + right
-        if value < size:
+        if value < size and (inside is None or inside(value)):
             return value
 
 
@@ -82,13 +86,13 @@ def spread(form: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in form)
 
 
-def mixed(value: str, key: bytes, name: str) -> str:
+def mixed(value: str, key: bytes, name: str, back: bool) -> str:
     """Permute a string within its classes of characters: digits, small and capital letters; others (as letters) small."""
     sets = ["0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() and c.isascii() else "abcdefghijklmnopqrstuvwxyz" if c.isascii() else sorted_other(c) for c in value if c.isalnum()]
     number, size = 0, 1
     for c, s in zip((c for c in value if c.isalnum()), sets, strict=True):
         number, size = number * len(s) + s.index(c), size * len(s)
-    number = permute(number, size, key, name)
+    number = permute(number, size, key, name, back)
     out = []
     for s in reversed(sets):
         number, at = divmod(number, len(s))
@@ -104,67 +108,103 @@ def sorted_other(c: str) -> str:
     return same if c in same else c
 
 
-def pseudonym(kind: str, value: str, key: bytes) -> str | None:
-    """The replacement of a value, or None where it isn't valid."""
+def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | None:
+    """The replacement of a value, or None where it isn't valid; ``back``: the value of a replacement."""
     digits = "".join(c for c in value if c.isdigit())
     if not digits.isascii():
         return None
     if kind == "email":
         user, _, host = value.rpartition("@")
         labels = host.split(".")
-        return ".".join([f"{mixed(user, key, 'mail')}@{mixed(labels[0], key, 'host')}", *labels[1:]])
+        return ".".join([f"{mixed(user, key, 'mail', back)}@{mixed(labels[0], key, 'host', back)}", *labels[1:]])
     if kind == "card":
         if luhn(digits[:-1]) != int(digits[-1]) or not 13 <= len(digits) <= 19 or not int(digits):
             return None
-        body = f"{permute(int(digits[:-1]), 10 ** (len(digits) - 1), key, 'card'):0{len(digits) - 1}d}"
+        size = 10 ** (len(digits) - 1)
+        body = f"{permute(int(digits[:-1]), size, key, 'card', back, bool):0{len(digits) - 1}d}"
         return spread(value, body + str(luhn(body)))
     if kind == "iban":
         bare = value.replace(" ", "")
         if not 15 <= len(bare) <= 34 or int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 != 1:
             return None
-        account = mixed(bare[4:], key, "iban")
+        account = mixed(bare[4:], key, "iban", back)
         return spread(value, bare[:2] + iban_check(bare[:2], account) + account)
     if kind == "ssn":
         area, group, serial = (int(x) for x in value.split("-"))
         if not 0 < area < 900 or area == 666 or not group or not serial:
             return None
-        number = permute(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key, "ssn")
+        number = permute(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key, "ssn", back)
         rest, serial = divmod(number, 9999)
         area, group = divmod(rest, 99)
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind == "ip":
-        parts = [int(x) for x in value.split(".")]
-        if max(parts) > 255:
-            return None
-        number = permute(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ip")
-        return ".".join(map(str, number.to_bytes(4, "big")))
+        return _address(value, key, back)
     if kind == "date":
-        return _date(value, key)
+        return _date(value, key, back)
     if not 7 <= len(digits) <= 15:
         return None
     country = re.match(r"\+\d{1,3}(?=[ .(-])", value)
     fixed = len(country[0]) - 1 if country else 0
     own = digits[fixed:]
-    return spread(value, digits[:fixed] + f"{permute(int(own), 10 ** len(own), key, 'phone'):0{len(own)}d}")
+    return spread(value, digits[:fixed] + f"{permute(int(own), 10 ** len(own), key, 'phone', back):0{len(own)}d}")
+
 
+def _octets(part: str) -> range:
+    """The numbers that are written like a part of an address: as many digits, zeros in front or not."""
+    if part[0] == "0" and len(part) > 1:
+        return range(10 ** (len(part) - 1))
+    return range(10 ** (len(part) - 1) if len(part) > 1 else 0, min(10 ** len(part), 256))
 
-def _date(value: str, key: bytes) -> str | None:
+
+def _address(value: str, key: bytes, back: bool) -> str | None:
+    parts = value.split(".")
+    if max(map(int, parts)) > 255:
+        return None
+    likes = [_octets(p) for p in parts]
+    number, size = 0, 1
+    for p, like in zip(parts, likes, strict=True):
+        number, size = number * len(like) + int(p) - like[0], size * len(like)
+    number = permute(number, size, key, "ip" + "".join(str(len(p)) for p in parts), back)
+    out = []
+    for p, like in zip(reversed(parts), reversed(likes), strict=True):
+        number, at = divmod(number, len(like))
+        out.append(f"{like[at]:0{len(p)}d}")
+    return ".".join(reversed(out))
+
+
+def _date(value: str, key: bytes, back: bool) -> str | None:
+    """Dates are permuted among those that can be written the same way: day or month of one digit or two, and, where
+    the month comes first because no month is above 12, days above 12."""
     sign = next(c for c in value if not c.isdigit())
     parts = value.split(sign)
     year_first = len(parts[0]) == 4
-    year, b, c = (int(x) for x in (parts if year_first else (parts[2], parts[1], parts[0])))
-    month, day, swapped = (b, c, False) if b <= 12 else (c, b, True)  # with slashes the month may come first
+    if year_first:
+        year, month, day = map(int, parts)
+        swapped = False
+    else:
+        day, month, year = map(int, parts)
+        swapped = sign == "/" and month > 12
+        if swapped:
+            day, month = month, day
     try:
         number = datetime.date(year, month, day).toordinal() - DAY_ZERO
     except ValueError:
         return None
     if not 0 <= number < DAYS:
         return None
-    new = datetime.date.fromordinal(DAY_ZERO + permute(number, DAYS, key, "date"))
+    date = lambda n: datetime.date.fromordinal(DAY_ZERO + n)
     if year_first:
+        new = date(permute(number, DAYS, key, "date", back))
         return f"{new.year:04d}{sign}{new.month:02d}{sign}{new.day:02d}"
-    first, second = (new.month, new.day) if swapped else (new.day, new.month)
-    return f"{first:02d}{sign}{second:02d}{sign}{new.year:04d}"
+    order = lambda d: (d.month, d.day) if swapped else (d.day, d.month)
+    padded = len(parts[0]) == len(parts[1]) == 2  # 05.03 and 13.11 are one way of writing, 5.3 and 13.3 are others
+
+    def alike(n: int) -> bool:
+        d = date(n)
+        return (not swapped or d.day > 12) and (padded or all((x < 10) == (int(p) < 10) for x, p in zip(order(d), parts, strict=False)))
+
+    new = date(permute(number, DAYS, key, "date", back, alike))
+    return sign.join([*(f"{x:0{len(p)}d}" for x, p in zip(order(new), parts, strict=False)), f"{new.year:04d}"])
 
 
 def stops(kind: str, text: str, start: int, stop: int) -> list[int]:
@@ -221,13 +261,13 @@ def pseudonymous(df: DataFrame, key: str, text_col: str = "text", spans: bool =
     """``df`` with personal values in text_col replaced; with ``spans`` also pii_spans, an array of (kind, start, stop).
 
     key: any string; the same key gives the same pseudonyms. A null text stays null and has no spans, an empty one
-    stays empty; nulls in other columns, repeated rows and empty tables pass as they are. A column named pii_spans is
-    replaced. Values that fail validation (a card number with a wrong check digit, the 31st of June) stay; a value that
+    stays empty; nulls in other columns, repeated rows and empty tables pass as they are. With ``spans`` a column named
+    pii_spans is replaced; without, it stays like all others. Values that fail validation (a card number with a wrong check digit, the 31st of June) stay; a value that
     another number or word follows is found by its shorter matches. Every match is taken from the whole text.
     """
     secret = hmac.new(b"wikiloom-pii", key.encode(), "sha256").digest()
     at = df.columns.index(text_col)
-    kept = [c for c in df.columns if c != "pii_spans"]
+    kept = [c for c in df.columns if not spans or c != "pii_spans"]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,10 @@ case, and any other is a live credential.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -41,7 +43,10 @@ STRONG = ("private_key", "web_token", "issued")
 #: A further candidate with at least so many owners, and if not strong so many repositories, is a copied example.
 SHARED_OWNERS = 2
 WIDE_REPOSITORIES = 10
-SPAN = "array<struct<start: int, kind: int, stop: int, hash: string>>"
+#: A secret of at least so many bits for each character looks random (prose has less in short strings of few signs).
+RANDOM_BITS = 3.0
+SPAN_FIELDS = "struct<start: int, kind: int, stop: int, hash: string, bits: double>"
+SPAN = f"array<{SPAN_FIELDS}>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -73,13 +78,18 @@ def digest(secret: str) -> str:
     return hashlib.sha256(secret.encode("utf-8", "surrogatepass")).hexdigest()[:32]
 
 
+def entropy(secret: str) -> float:
+    """Bits for each character, by the frequencies of the secret's own characters."""
+    return sum(-n / len(secret) * math.log2(n / len(secret)) for n in Counter(secret).values())
+
+
 def candidates(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """The columns ``keep`` and two arrays of (start, kind, stop, hash): base and further, for every row."""
+    """The columns ``keep`` and two arrays of (start, kind, stop, hash, bits): base and further, for every row."""
     fields = ", ".join(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("hash", pa.string())]))
-        rows = lambda spans: [{"start": a, "kind": k, "stop": b, "hash": digest(s)} for a, k, b, s in spans]
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("hash", pa.string()), ("bits", pa.float64())]))
+        rows = lambda spans: [{"start": a, "kind": k, "stop": b, "hash": digest(s), "bits": round(entropy(s), 6)} for a, k, b, s in spans]
         for whole in batches:
             for batch in slices(whole, len(keep)):
                 texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
@@ -96,8 +106,8 @@ def candidates(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
 def ownership(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """hash, repositories, owners: over the whole corpus, how many distinct ones hold each candidate.
 
-    Counted in two steps (distinct triples, then per hash), so that a string which a third of all documents hold is
-    summed up before it is shuffled. A null repository or owner counts as one of its own.
+    Counted in steps (distinct triples, then per owner, then per hash), so that a string which a third of all documents
+    hold is summed up before it is shuffled. An empty table gives no rows. A null repository or owner counts as one of its own.
     """
     each = found.select(F.explode(F.concat("base", "further")).alias("s"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"))
     once = each.select(F.col("s.hash").alias("hash"), F.coalesce("repository", F.lit("\0")).alias("repository"), F.coalesce("owner", F.lit("\0")).alias("owner")).distinct()
@@ -112,13 +122,14 @@ def listed(spans: Column) -> Column:
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, shared_owners: int = SHARED_OWNERS, wide_repositories: int = WIDE_REPOSITORIES) -> DataFrame:
-    """One row for each row of ``df``: id_col, base, live, shared, repeated (arrays of spans), base_live (a count).
+    """One row for each row of ``df``: id_col, base, live, shared, repeated (arrays of spans), base_live, base_random (counts).
 
     base: the base kinds. Further candidates are in one of three arrays. shared: ``shared_owners`` or more hold it, in
     ``wide_repositories`` or more (strong kinds: in any number), a copied example. repeated: fewer owners hold it, in
     ``wide_repositories`` or more, a template or a credential that its owner copied. live: all others. Strong kinds may
     be real wherever they are; ``reported`` lists them with live ones. base_live counts the base spans whose secret is
-    held by fewer owners and repositories than both limits. repository_col: default id_col.
+    held by fewer owners and repositories than both limits, base_random those of them that look random (RANDOM_BITS for
+    each character or more); every span has its bits. repository_col: default id_col.
     A null text counts as empty and has no spans; a null owner is an owner of its own; repeated rows each get their
     row; an empty table gives no rows; other columns are not read.
     """
@@ -129,7 +140,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = shared_table(ownership(found, F.col(repository_col), F.col(owner_col)), "secret-owners")
     spans = found.select("__row", F.explode(F.concat("base", "further")).alias("s")).withColumn("hash", F.col("s.hash"))
     judged = spans.join(counted, "hash").groupBy("__row").agg(F.collect_list(F.struct("s", "owners", "repositories")).alias("all"))
-    none = F.array().cast("array<struct<s: struct<start: int, kind: int, stop: int, hash: string>, owners: bigint, repositories: bigint>>")
+    none = F.array().cast(f"array<struct<s: {SPAN_FIELDS}, owners: bigint, repositories: bigint>>")
     out = found.join(judged, "__row", "left").withColumn("all", F.coalesce("all", none))
     pick = lambda test: F.transform(F.filter("all", test), lambda x: x["s"])
     further = lambda x: x["s"]["kind"] >= len(BASE_KINDS)
@@ -137,13 +148,15 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = lambda x: x["repositories"] >= wide_repositories
     shared = lambda x: several(x) & (wide(x) | strong(x["s"]))
     repeated = lambda x: ~several(x) & wide(x)
+    own = lambda x: ~further(x) & ~several(x) & ~wide(x)
     return out.select(
         id_col,
         "base",
         pick(lambda x: further(x) & ~shared(x) & ~repeated(x)).alias("live"),
         pick(lambda x: further(x) & shared(x)).alias("shared"),
         pick(lambda x: further(x) & repeated(x)).alias("repeated"),
-        F.size(F.filter("all", lambda x: ~further(x) & ~several(x) & ~wide(x))).cast("long").alias("base_live"),
+        F.size(F.filter("all", own)).cast("long").alias("base_live"),
+        F.size(F.filter("all", lambda x: own(x) & (x["s"]["bits"] >= RANDOM_BITS))).cast("long").alias("base_random"),
     )
 
 
