@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.llm.mixing import mixed_documents
-from wikiloom.llm.near_dup import near_duplicates
+from wikiloom.llm.near_dup import without_near_duplicates
 from wikiloom.llm.packing import pack_documents
 from wikiloom.llm.pii import pseudonymous
-from wikiloom.llm.quality import score_quality
+from wikiloom.llm.quality import of_quality
 from wikiloom.plans.shared import shared_table
 from wikiloom.sources.tables import read_table
 
@@ -33,34 +33,35 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of quality 1; a row's other columns, nulls too, stay as they are."""
-    scored = score_quality(docs, read_table(spark, sf_dir, "labels"), keep=True)
-    return scored.where("predicted = 1").select(*docs.columns)
+    """Documents that the classifier predicts to be of quality 1, as they are: nulls, extra columns and repeated rows stay.
+
+    Null and empty texts have the score of a text without words; an empty table gives no rows.
+    """
+    return of_quality(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates; one row of repeated ones.
+    """One document, that of the least id, of each group of near duplicates; one row of those with equal id and text.
 
-    Documents without a doc_id, or without words, have no duplicates and stay.
+    Documents without a doc_id, or without words, have no duplicates and stay; different texts under one doc_id count
+    as documents of their own; extra columns stay; an empty table gives no rows.
     """
-    kept = near_duplicates(docs, numerator=NUMERATOR, bands=BANDS, rows=ROWS).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    once = named.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__row = 1").drop("__row")
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    return without_near_duplicates(docs, numerator=NUMERATOR, bands=BANDS, rows=ROWS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal values replaced by pseudonyms."""
+    """Every document, personal values replaced by pseudonyms; null texts, repeated rows and extra columns stay."""
     return _measured(pseudonymous(docs, PII_KEY, spans=False)).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the mix: each document as often as its source's target asks."""
-    return _measured(mixed_documents(docs)).select(*docs.columns)
+    """The rows of the mix: each document, whole, as often as its source's target asks; those without words are in it
+    by their source's rate. A null source is a source; repeated rows share their copies; extra columns stay."""
+    return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of 2048 tokens, a row for each piece of a document."""
+    """Training sequences of 2048 tokens, a row for each piece of a document; a null or empty text has one token."""
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -69,17 +71,25 @@ def test_settle_keeps_mass_and_expectation():
 
 def test_documents_carry_their_copies(spark):
     rows = corpus(120)
-    df = spark.createDataFrame(rows, SCHEMA)
-    out = mixed_documents(df)
+    rows += [(9003, "same words here", "b", "x", ""), (9003, "same words here", "b", "y", "")]  # equal but for another column
+    schema = "doc_id long, text string, source string, `__key` string, `row` string"
+    df = spark.createDataFrame(rows, schema)
+    out = mixed_documents(df.repartition(3))
     assert out.columns == df.columns
-    words = lambda t: len((t or "").split())
-    taken = {}
-    for r in out.collect():
-        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + words(r["text"])
-    want = {}
-    for r in mix(df, fingerprint=True).collect():
-        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["taken"]
-    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in want.items() if v}
+    count = lambda found: Counter(map(tuple, found))
+    taken = count(out.collect())
+    assert taken == count(mixed_documents(df.repartition(7)).collect()) and set(taken) <= set(rows)
+    given, words = count(rows), lambda t: len((t or "").split())
+    sizes, mass, longest = {}, {}, {}
+    for row in rows:
+        sizes[row[2]] = sizes.get(row[2], 0) + words(row[1])
+        longest[row[2]] = max(longest.get(row[2], 0), words(row[1]))
+    want = targets(sizes)
+    for row, n in given.items():
+        rate = want[row[2]] / sizes[row[2]] if sizes[row[2]] else 0
+        assert math.floor(rate * n) <= taken[row] <= math.ceil(rate * n) + 1 and taken[row] <= 2 * n
+        mass[row[2]] = mass.get(row[2], 0) + taken[row] * words(row[1])
+    assert all(abs(mass[s] - want[s]) <= longest[s] for s in sizes)
 
 
 def test_empty(spark):

@@ -34,7 +34,8 @@ def test_stages(spark):
     mixed = stages["mixing"](spark, private, FOLDER).cache()
     assert mixed.columns == COLUMNS
     words = lambda t: sum(len((r["text"] or "").split()) for r in t.collect())
-    assert abs(words(mixed) - 1.5 * words(private)) <= 20
+    longest = private.groupBy("source").agg({"text": "max"}).count() * max(len(t.split()) for t in new.values())
+    assert abs(words(mixed) - 1.5 * words(private)) <= longest and {r["text"] for r in mixed.collect()} <= set(new.values())
 
     packed = stages["packing"](spark, mixed, FOLDER)
     library = Tokenizer.from_file(public_tokenizers.path(cp.TOKENIZER))
@@ -52,5 +53,27 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"] or -1) for r in once) == [-1, 1, 2, 3]
 
 
+CLASHING = "score double, predicted int, held_out string, pii_spans string, `__row` int, `__key` string, row string, id int, mark string"
+
+
+def test_extra_columns_pass(spark):
+    extra = (0.5, 7, "h", "p", 1, "k", "r", 3, "m")
+    rows = [(i, f"the river number {i} runs under the old bridge, call 555-123-45{i:02d} for more.", "en", "s", 1, *extra) for i in range(12)]
+    rows += [(20, "w " * 300_000 + "end.", "en", "s", 1, *extra), (21, None, None, None, None, *[None] * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING)
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, FOLDER)
+        assert got.columns == docs.columns, name
+        assert {tuple(r)[5:] for r in got.collect()} <= {extra, (None,) * 9}, name
+    assert cp.packing(spark, docs, FOLDER).agg({"doc_id": "max"}).first()[0] == 21
+
+
+def test_texts_that_share_an_id(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, None), (4, ""), (5, "o p q r s"), (5, "o p q r s")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, docs.repartition(4), FOLDER).collect() if r["text"])
+    assert got == [(1, "a b c d e f g"), (1, "h i j k l m n"), (5, "o p q r s")]
+
+
 def test_run(spark):
     assert cp.run(spark, FOLDER).columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] and cp.ORACLE_SQL is None

@@ -9,9 +9,11 @@ import numpy as np
 import pytest
 
 from wikiloom.llm.html_main import blocks, extract_main, main_text, min_cut
-from wikiloom.llm.pii import ALL, luhn, permute, pii_counts, pseudonymise, pseudonymous
-from wikiloom.llm.quality import HIDDEN, Network, score_quality
-from wikiloom.llm.secret_scan import WIDE_REPOSITORIES, reported, scan_secrets
+from wikiloom.llm.pii import ALL, luhn, permute, pii_counts, pseudonym, pseudonymise, pseudonymous
+from wikiloom.llm import quality
+from wikiloom.llm.quality import DIMS, HIDDEN, SLOTS, Network, context_sums, of_quality, pool, score_quality, slots, sparse_index
+from wikiloom.llm.queries import QUERIES
+from wikiloom.llm.secret_scan import RANDOM_BITS, WIDE_REPOSITORIES, entropy, reported, scan_secrets
 
 KEY = b"k" * 32
 
@@ -84,8 +86,9 @@ def test_quality_on_held_out_rows(spark):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
     same = {r["score"] for r in got if r["doc_id"] in (9001, 9002)}
     assert len(same) == 1
-    kept = score_quality(df, labels, keep=True)
-    assert kept.columns == ["doc_id", "text", "lang", "source", "held_out", "score", "predicted"]
+    kept = of_quality(df, labels)
+    assert kept.columns == df.columns and {r["score"] for r in kept.collect()} <= {"clash", ""}
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in got if r["predicted"])
     flipped = spark.createDataFrame([(i, 1 - y) if zlib.crc32(str(i).encode()) % 5 == 0 else (i, y) for i, y in marks], "doc_id long, quality int")
     key = lambda rows: sorted((str(r["doc_id"]), round(r["score"], 6)) for r in rows)
     assert key(score_quality(df, flipped).collect()) == key(score_quality(df, labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")).collect())
@@ -98,6 +101,34 @@ def test_quality_without_rows_or_labels(spark):
     assert score_quality(df.where("false"), none).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [quality.CHUNK, 7])
+def test_context_sums_equal_plain_sums(spark, chunk):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(GOOD + JUNK, k=rng.choice([0, 1, 2, 40, 900]))) for _ in range(30)] + [None, "", "one"]
+    at, sign = sparse_index(5)
+    want = {}
+    for t in texts:
+        own = slots(t or "").tolist()
+        for i, a in enumerate(own):
+            n, c = want.setdefault(a, (0, np.zeros(DIMS, int)))
+            for b in own[max(0, i - 2) : i] + own[i + 1 : i + 3]:
+                for p, s in zip(at[b], sign[b], strict=True):
+                    c[p] += int(s)
+            want[a] = (n + 1, c)
+    got = context_sums(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), "text", 5, chunk).collect()
+    assert {r["slot"]: (r["seen"], r["context"]) for r in got} == {k: (n, c.tolist()) for k, (n, c) in want.items()}
+
+
+def test_pool_equals_plain_sums():
+    vectors = np.random.default_rng(1).normal(size=(SLOTS, DIMS)).astype(np.float32)
+    own = slots("the river and the tree , the the tree")
+    got = pool("the river and the tree , the the tree", vectors)
+    v = [vectors[i].astype(float) for i in own]
+    assert np.allclose(got[:DIMS], sum(v) / len(v), atol=1e-5)
+    assert np.allclose(got[DIMS : 2 * DIMS], sum(a * b for a, b in zip(v, v[1:])) / (len(v) - 1), atol=1e-5)  # noqa: B905
+    assert np.isclose(got[-3], 1 / 8) and np.isclose(got[-1], np.log(10) / 10) and not pool("", vectors).any()
+
+
 def test_network_learns_and_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
@@ -159,6 +190,25 @@ def test_secrets_by_repositories_and_owners(spark):
         assert tuple(kinds(r, c) for c in ("live", "shared", "repeated", "reported")) == want, r
 
 
+def test_secrets_query_columns(spark, tmp_path):
+    rng = random.Random(8)
+    bits = ["Password = ", "api_key:", "token=\"", "AKIA" + "Z9" * 8, "0123456789abcdef" * 2, "é", " ", "x", "abcdef", LIVE, "hunter22 "]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randint(0, 12))), f"s{i % 3}") for i in range(200)] + [(900, None, None), (None, "", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ("assign", "access", "hex")
+    for r in QUERIES["op6_secrets"](spark, str(tmp_path)).collect():
+        want = base(dict((i, t) for i, t, _ in rows)[r["doc_id"]])
+        listed = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in want)
+        assert [r[f"n_{n}"] for n in names] == [sum(k == i for _, k, _ in want) for i in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x.split(":")[0] in names] == listed.split(",") if listed else not set(r["spans"].split(",")[0].split(":")[:1]) & set(names)
+        assert 0 <= r["base_random"] <= r["base_live"] <= len(want)
+
+
+def test_entropy():
+    assert entropy("aaaa") == 0 and entropy("abab") == 1 and entropy("hunter22") < RANDOM_BITS < entropy("k3J9xQ2mV8bT")
+
+
 # Personal values
 
 
@@ -223,6 +273,29 @@ def test_card_before_any_address():
         assert [(k, b - a) for k, a, b in found] == [("card", 16), ("ip", len(f"{first}.168.0.1"))]
 
 
+@pytest.mark.parametrize(
+    ("kind", "values"),
+    [
+        ("date", [f"{d:02d}/{m:02d}/{y}" for y in (1951, 2020) for m in range(1, 32) for d in range(1, 32) if min(d, m) <= 12 and max(d, m) <= 28]),
+        ("date", [f"{d}.{m}.1999" for m in range(1, 13) for d in range(1, 29)] + ["1.02.1999", "01.2.1999"]),
+        ("date", [f"1999-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]),
+        ("ip", [f"{a}.0.{b}.{c}" for a in (1, 10, 199, 255) for b in (0, 9, 77) for c in (5, 100)] + ["010.1.1.1", "10.1.1.1", "00.1.1.1"]),
+        ("card", ["4539578763621486", "4539-5787-6362-1486", "378282246310005", "4000000000000002"]),
+        ("iban", ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]),
+        ("ssn", ["123-45-6789", "665-01-0001", "667-01-0001", "899-99-9999"]),
+        ("phone", ["+1 (555) 123-4567", "+46701234567", "555-123-4567"]),
+        ("email", ["ann.b+c@mail.example.com", "zoé.K9@x1.org"]),
+    ],
+)
+def test_values_keep_their_form_and_turn_back(kind, values):
+    form = lambda v: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "0", v)))
+    new = [pseudonym(kind, v, KEY) for v in values]
+    assert len(set(new)) == len(set(values))
+    for v, n in zip(values, new, strict=True):
+        assert kind == "email" or kind == "iban" or form(v) == form(n), (v, n)
+        assert len(v) == len(n) and pseudonym(kind, n, KEY, back=True) == v, (v, n)
+
+
 def test_documents(spark):
     rows = [(1, f"a {CARD}", "x", None), (2, f"{CARD} b", "x", None), (3, None, "x", None), (None, "", None, None), (3, "clean text.", "x", None), (4, "é@x " + "w " * 50_000 + CARD, "x", None), (5, "zoé.k@mail1.example.com", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, pii_spans string")
@@ -236,4 +309,4 @@ def test_documents(spark):
     counted = pii_counts(pseudonymous(df, "key")).collect()
     assert sum(r["n_card"] for r in counted) == 3 and sum(r["n_email"] for r in counted) == 1
     assert pseudonymous(df.where("false"), "key").count() == 0
-    assert pseudonymous(df.drop("pii_spans"), "key", spans=False).columns == ["doc_id", "text", "lang"]
+    assert pseudonymous(df, "key", spans=False).columns == df.columns

@@ -98,14 +98,21 @@ def _round(items: DataFrame, by: list[Column]) -> DataFrame:
     return items.groupBy(*by).applyInPandas(run, items.withColumn("extra", F.lit(0).cast("long")).schema)
 
 
+def row_mark(df: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+    own = [F.col(f"`{c}`") for c in df.columns]
+    plain = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(own, df.schema, strict=True)]
+    return F.xxhash64(*plain, *(c.isNull() for c in own))
+
+
 def _counted(df: DataFrame, id_col: str, text_col: str, source_col: str, fingerprint: bool) -> DataFrame:
     text = F.col(text_col).cast("string")
-    mark = F.xxhash64(text) if fingerprint else F.lit(0).cast("long")
+    mark = row_mark(df) if fingerprint else F.lit(0).cast("long")
     return df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), mark.alias("fingerprint"))
 
 
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), max_repeat: float = 2.0, seed: int = 8, fingerprint: bool = False) -> DataFrame:
-    """For each set of rows with equal (id, source, size): n rows, whole copies for all, ``more`` of them get one more,
+    """For each set of rows with equal (id, source, size), with ``fingerprint`` equal in all columns: n rows, whole copies for all, ``more`` of them get one more,
     and the next one ``partial`` words; with the source's size and target."""
     spark = df.sparkSession
     rows = shared_table(_counted(df, id_col, text_col, source_col, fingerprint).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
@@ -148,32 +155,23 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return each.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", number.alias("copies"), rest.alias("partial_words"), (number * F.col("size") + rest).alias("taken"))
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The rows of the mix, with the columns of ``df``: each row as often as it is taken, a partial copy cut to its words."""
-    sets = copies(df, id_col, text_col, source_col, fingerprint=True, **settings)
-    sets = sets.select(F.struct("id", "source", "size", "fingerprint").alias("__key"), F.col("whole").alias("__whole"), F.col("more").alias("__more"), F.col("partial").alias("__partial"))
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 8, **settings) -> DataFrame:
+    """The rows of the mix, with the columns of ``df``: each row, whole, as often as it is taken.
+
+    The one document of a source that is left with a part of a copy is taken once more, or not, by a draw of that
+    probability: so a source's words miss its target by less than that document's. Rows that are equal in all columns
+    share their copies; nulls and repeats count as in ``mix``; an empty table gives no rows. Columns of any name pass as
+    they are.
+    """
+    sets = copies(df, id_col, text_col, source_col, seed=seed, fingerprint=True, **settings)
+    draw = F.shiftrightunsigned(F.xxhash64(*KEYS, F.lit(seed + 1)), 11) * F.lit(2.0**-53)
+    last = (draw * F.col("size") < F.col("partial")).cast("long")
+    taken = sets.select(F.struct(*KEYS).alias("key"), "n", (F.col("n") * F.col("whole") + F.col("more") + last).cast("int").alias("taken")).where("taken > 0")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
     text = F.col(text_col).cast("string")
-    key = F.struct(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("fingerprint"))
-    numbered = df.withColumn("__key", key).withColumn("__row", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))) - 1)
-    joined = numbered.join(sets, "__key")
-    whole = F.col("__whole") + (F.col("__row") < F.col("__more")).cast("long")
-    words = F.when(F.col("__row") == F.col("__more"), F.col("__partial")).otherwise(0)
-    takes = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(words > 0, F.array(words.cast("long"))).otherwise(F.array().cast("array<long>")))
-    taken = joined.withColumn("__take", F.explode(takes))
-
-    @F.pandas_udf("string")
-    def first_words(texts: pd.Series, limit: pd.Series) -> pd.Series:
-        import re
-
-        def cut(text: str, n: int) -> str:
-            if n < 0:
-                return text
-            for k, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", text), 1):
-                if k == n:
-                    return text[: m.end()]
-            return text
-
-        return pd.Series([t if t is None else cut(t, n) for t, n in zip(texts, limit, strict=True)])
-
-    rest = first_words(F.when(F.col("__take") >= 0, text), F.col("__take"))
-    return taken.withColumn(text_col, F.when(F.col("__take") < 0, text).otherwise(rest)).select(*df.columns)
+    key = F.struct(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), row_mark(df).alias("fingerprint"))
+    joined = df.select(row.alias("row"), key.alias("key")).join(taken, "key")
+    out = joined.where("n = 1").select("row", "taken")
+    if not sets.where("n > 1").isEmpty():  # of equal rows one stands for all
+        out = out.unionByName(joined.where("n > 1").groupBy("key").agg(F.first("row").alias("row"), F.first("taken").alias("taken")).select("row", "taken"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), "taken"))).select("row.*")

@@ -11,16 +11,17 @@ these meet in blocks inside tasks: no pair that shares a bucket goes unseen, and
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wikiloom.llm.caches import own_cache
 from wikiloom.llm.components import components
 from wikiloom.llm.token_counts import slices
+from wikiloom.plans.session import bound_arrow_batches
 from wikiloom.plans.shared import drop_shared, shared_table
 
 #: At a similarity of 0.85 a pair shares no bucket with probability (1 - 0.85**5)**24 < 1e-6; above, far less.
@@ -32,11 +33,9 @@ FILTER_BITS, MAP_BITS = 1 << 23, 1 << 15
 BLOCK_BYTES, BLOCK_MEMBERS = 1 << 20, 512
 #: So many of a bucket's blocks meet all its blocks in one task; a bucket with more is dealt over several.
 BLOCKS_A_PART = 4
-#: Arrow batches of texts and shingle sets have about so many bytes: each running task holds some in the JVM and in Python.
-BATCH_BYTES = 8 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Words whose hashes a Python worker keeps; workers serve the tasks of all stages.
-WORD_CACHE = 200_000
+#: Words whose hashes a Python worker keeps.
+WORD_CACHE = 100_000
 _words: dict[bytes, int] = {}
 
 
@@ -54,13 +53,12 @@ def shingles(text: str, size: int = 5) -> np.ndarray:
     words = text.encode().lower().split()  # bytes: A-Z alone are lowered, and blank and 9 to 13 alone separate
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = list(map(_words.get, words))
+    known = own_cache(_words, WORD_CACHE)
+    hashes = list(map(known.get, words))
     if None in hashes:
-        if len(_words) > WORD_CACHE:
-            _words.clear()
         for i, w in enumerate(words):
             if hashes[i] is None:
-                hashes[i] = _words[w] = xxhash.xxh64_intdigest(w)
+                hashes[i] = known[w] = xxhash.xxh64_intdigest(w)
     h = np.asarray(hashes, np.uint64)
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
@@ -114,18 +112,6 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key.view(np.int64)
 
 
-@contextmanager
-def arrow_batches(spark: SparkSession, limit: int) -> Iterator[None]:
-    """Jobs that run inside exchange Arrow batches of about ``limit`` bytes with Python; the setting is put back after."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(limit))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def sketches(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
     """(id, n_shingles, fp, keys) of every row; fp is null and keys empty for an empty set or a null id."""
     names = ["id", "n_shingles", "fp", "keys"]
@@ -265,34 +251,60 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id are one document: they share what any of them links with. Repeated rows each get their row, of which all or
     none are kept. Other columns are not read; an empty table gives no rows.
     """
-    with arrow_batches(df.sparkSession, BATCH_BYTES):
-        sketched = shared_table(sketches(df, id_col, text_col, bands, rows), "near-sketches")
-        prints = sketched.where("fp IS NOT NULL")
-        # Equal sets: classes of more than one row, by the least id.
-        classes = shared_table(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "near-classes")
-        known = prints.select("id", "fp").join(classes, "fp", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-        copies = shared_table(known.where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), "near-copies")
-        # Buckets of more than one class.
-        single = prints.select("id", "fp", "keys").join(classes, "fp", "left").where("rep IS NULL OR rep = id").select("id", F.explode("keys").alias("key"))
-        posted = shared_table(single, "near-posted")
-        # A table of its own has one row a bucket, so that the join with it can split a large bucket.
-        shared = shared_table(posted.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last"), "near-shared")
-        buckets = shared_table(posted.join(shared, "key"), "near-buckets")
-        pairs = shared_table(buckets.where("id != centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "near-pairs")
-        drop_shared(posted)
-        members = shared_table(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id"), "near-members")
-        texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-        sets = shared_table(shingle_sets(likely_among(texts, members).join(members, "id", "left_semi")).distinct(), "near-sets")
-        links = shared_table(confirmed(pairs, sets, numerator), "near-links")
+    bound_arrow_batches(df.sparkSession)
+    sketched = shared_table(sketches(df, id_col, text_col, bands, rows), "near-sketches")
+    prints = sketched.where("fp IS NOT NULL")
+    # Equal sets: classes of more than one row, by the least id.
+    classes = shared_table(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "near-classes")
+    known = prints.select("id", "fp").join(classes, "fp", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    copies = shared_table(known.where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), "near-copies")
+    # Buckets of more than one class.
+    single = prints.select("id", "fp", "keys").join(classes, "fp", "left").where("rep IS NULL OR rep = id").select("id", F.explode("keys").alias("key"))
+    posted = shared_table(single, "near-posted")
+    # A table of its own has one row a bucket, so that the join with it can split a large bucket.
+    shared = shared_table(posted.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last"), "near-shared")
+    buckets = shared_table(posted.join(shared, "key"), "near-buckets")
+    pairs = shared_table(buckets.where("id != centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "near-pairs")
+    drop_shared(posted)
+    members = shared_table(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id"), "near-members")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    sets = shared_table(shingle_sets(likely_among(texts, members).join(members, "id", "left_semi")).distinct(), "near-sets")
+    links = shared_table(confirmed(pairs, sets, numerator), "near-links")
+    found = shared_table(components(copies.union(links)), "near-components")
+    # The centre has met its whole bucket. Where the others still are of different components, they meet in blocks.
+    placed = buckets.where("id != centre").select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = shared_table(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"), "near-mixed")
+    open_ = shared_table(placed.join(mixed, "key"), "near-open")
+    if not open_.isEmpty():
+        links = links.union(block_links(open_, sets, numerator))
         found = shared_table(components(copies.union(links)), "near-components")
-        # The centre has met its whole bucket. Where the others still are of different components, they meet in blocks.
-        placed = buckets.where("id != centre").select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = shared_table(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"), "near-mixed")
-        open_ = shared_table(placed.join(mixed, "key"), "near-open")
-        if not open_.isEmpty():
-            links = links.union(block_links(open_, sets, numerator))
-            found = shared_table(components(copies.union(links)), "near-components")
     out = sketched.select("id", "n_shingles").join(found.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
     kept = F.coalesce(F.col("id") == component, F.lit(True))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``df``, one of each group of near duplicates, with all their columns.
+
+    The row of a group that stays is that of the least id; but the texts of an id that stands for several different
+    texts count as documents of their own, and one of these goes first. Of rows with equal id and text one stays, that
+    whose columns come first as JSON. Rows with a null id, or without words, have no duplicates and stay, repeated rows
+    but one excepted where the id isn't null. An empty table gives no rows. Columns of any name pass as they are.
+    """
+    text, mark = F.col(text_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"), mark.alias("mark"))
+    named = rows.where("id IS NOT NULL")
+    held = named.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high")).where("n > 1")
+    repeated = shared_table(held.select("id", (F.col("low") != F.col("high")).alias("clash")), "near-repeated")
+    if not repeated.isEmpty():
+        # One row of each id and text, and for texts that share an id new ids below all others.
+        known = named.join(repeated, "id", "left")
+        several = known.where("clash IS NOT NULL").groupBy("id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"), F.first("clash").alias("clash"))
+        below = named.agg(F.min("id")).first()[0] - 1
+        renamed = several.select("row", F.when(F.col("clash"), F.lit(below) - F.monotonically_increasing_id()).otherwise(F.col("id")).alias("id"))
+        once = known.where("clash IS NULL").select("row", "id").unionByName(shared_table(renamed, "near-renamed"))
+        named = once.withColumn("text", F.col("row").getField(text_col).cast("string"))
+    kept = near_duplicates(named.select("id", "text"), "id", "text", **settings).where("kept").select("id")
+    stay = named.join(kept, "id", "left_semi").select("row.*")
+    return stay.unionByName(rows.where("id IS NULL").select("row.*"))

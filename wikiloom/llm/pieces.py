@@ -15,6 +15,8 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+from wikiloom.llm.caches import own_cache
+
 #: Pieces: a run of white space, then a word that ends before white space or punctuation, or else the whole visible run.
 PIECE = re.compile(r"[ \t\n\r]*(?:[0-9A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \t\n\r!-&(-/:-@\[-`{-~]|\Z)|[^ \t\n\r]+)|[ \t\n\r]+")
 #: White space (in any reading of Unicode) other than blank, tab, line feed and carriage return.
@@ -26,7 +28,7 @@ LONGEST_CACHED = 48
 class PieceEncoder:
     """Encodes texts with one tokenizer file. ``cache_size`` bounds the cached pieces, ``batch_bytes`` a library call."""
 
-    def __init__(self, path: str, cache_size: int = 400_000, batch_bytes: int = 1 << 20):
+    def __init__(self, path: str, cache_size: int = 100_000, batch_bytes: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,8 +52,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        if len(self.cache) > self.cache_size:
-            self.cache.clear()
+        own_cache(self.cache, self.cache_size)
         waiting: list[tuple[list[str], list[bytes | None]]] = []
         missing: set[str] = set()
         held = 0

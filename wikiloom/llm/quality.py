@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from wikiloom.llm.caches import own_cache
 from wikiloom.llm.token_counts import slices
+from wikiloom.plans.session import bound_arrow_batches
 from wikiloom.plans.shared import shared_table
 
 SLOTS = 1 << 14
@@ -32,75 +32,78 @@ WINDOW = 2
 HIDDEN = 32
 #: The network learns from so many labelled documents at most, those with the smallest hashes.
 TRAIN_ROWS = 20_000
-#: Words at once in the statistics; longer documents go in parts, with the words around a cut in both.
-CHUNK = 1 << 18
+#: Documents of this score or more are predicted to be of quality 1.
+THRESHOLD = 0.3
+#: Words at once in the statistics. A longer document goes in parts; pairs of words on both sides of a cut count too.
+CHUNK = 1 << 17
 WORDS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-#: Words whose hashes a Python worker keeps; workers serve the tasks of all stages.
-WORD_CACHE = 200_000
+#: Words whose slots a Python worker keeps.
+WORD_CACHE = 100_000
 _slots: dict[str, int] = {}
 
 
 def slots(text: str) -> np.ndarray:
     """The slots of a text's words, in order."""
     words = WORDS.findall(text)
-    out = list(map(_slots.get, words))
+    known = own_cache(_slots, WORD_CACHE)
+    out = list(map(known.get, words))
     if None in out:
-        if len(_slots) > WORD_CACHE:
-            _slots.clear()
         for i, w in enumerate(words):
             if out[i] is None:
-                out[i] = _slots[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS
+                out[i] = known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS
     return np.asarray(out, np.int64)
 
 
-def index_vectors(seed: int) -> np.ndarray:
-    """SLOTS x DIMS: SPARSE components of +1 or -1 in each row."""
+def sparse_index(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index vectors of all slots: the places of their SPARSE components, and these, +1 or -1."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((SLOTS, DIMS), np.int32)
     at = rng.random((SLOTS, DIMS)).argsort(axis=1)[:, :SPARSE]
-    np.put_along_axis(out, at, rng.choice([-1, 1], (SLOTS, SPARSE)), axis=1)
-    return out
+    return at, rng.choice([-1.0, 1.0], (SLOTS, SPARSE))
 
 
-def context_sums(df: DataFrame, text_col: str, seed: int) -> DataFrame:
+def context_sums(df: DataFrame, text_col: str, seed: int, chunk: int = CHUNK) -> DataFrame:
     """(slot, seen, context): over all documents, how often each slot occurs and the sum of its neighbours' index vectors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors(seed)
-        total, seen = np.zeros((SLOTS, DIMS), np.int64), np.zeros(SLOTS, np.int64)
+        at, sign = sparse_index(seed)
+        apart = np.full(WINDOW, -1, np.int64)
+        total, seen = np.zeros(SLOTS * DIMS), np.zeros(SLOTS, np.int64)  # sums of +-1: whole numbers, exact
+        parts, held = [], 0
 
-        def add(parts: list[np.ndarray]) -> None:
-            if not parts:
-                return
-            flat = np.concatenate([np.append(p, [-1] * WINDOW) for p in parts])
+        def add() -> None:
+            flat = np.concatenate(parts)
             np.add(seen, np.bincount(flat[flat >= 0], minlength=SLOTS), out=seen)
             for gap in range(1, WINDOW + 1):
-                a, b = flat[:-gap], flat[gap:]
-                ok = (a >= 0) & (b >= 0)
-                pair, n = np.unique(a[ok] * SLOTS + b[ok], return_counts=True)
-                a, b = pair // SLOTS, pair % SLOTS
-                for to, of in ((a, b), (b, a)):
-                    order = np.argsort(to, kind="stable")
-                    to, value = to[order], index[of[order]] * n[order, None].astype(np.int32)
-                    first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, int)
-                    if len(first):
-                        total[to[first]] += np.add.reduceat(value, first, axis=0)
+                ok = (flat[:-gap] >= 0) & (flat[gap:] >= 0)
+                a, b = flat[:-gap][ok], flat[gap:][ok]
+                to, of = np.concatenate([a, b]) * DIMS, np.concatenate([b, a])
+                for k in range(SPARSE):
+                    np.add(total, np.bincount(to + at[of, k], weights=sign[of, k], minlength=SLOTS * DIMS), out=total)
+
+        def bridge(own: np.ndarray, cut: int) -> None:
+            """The pairs across a cut of a document."""
+            for i in range(max(0, cut - WINDOW), cut):
+                for j in range(cut, min(len(own), i + WINDOW + 1)):
+                    for a, b in ((own[i], own[j]), (own[j], own[i])):
+                        np.add.at(total, a * DIMS + at[b], sign[b])
 
-        parts, held = [], 0
         for whole in batches:
             for batch in slices(whole, 0):
                 for text in batch.column(0).to_pylist():
                     own = slots(text or "")
-                    for start in range(0, len(own), CHUNK):
-                        parts.append(own[start : start + CHUNK])
-                        held += len(parts[-1])
-                        if held >= CHUNK:
-                            add(parts)
+                    for start in range(0, len(own), chunk):
+                        if start:
+                            bridge(own, start)
+                        parts += [own[start : start + chunk], apart]
+                        held += min(chunk, len(own) - start)
+                        if held >= chunk:
+                            add()
                             parts, held = [], 0
-        add(parts)
+        if parts:
+            add()
         used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used]), pa.array(list(total[used]), pa.list_(pa.int64()))], names=["slot", "seen", "context"])
-
+        sums = total.reshape(SLOTS, DIMS)[used].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used]), pa.FixedSizeListArray.from_arrays(sums.ravel(), DIMS).cast(pa.list_(pa.int64()))], names=["slot", "seen", "context"])
     partial = df.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(count, "slot long, seen long, context array<long>")
     sums = [F.sum(F.col("context")[d]).alias(f"c{d}") for d in range(DIMS)]
     return partial.groupBy("slot").agg(F.sum("seen").alias("seen"), *sums).select("slot", "seen", F.array(*(f"c{d}" for d in range(DIMS))).alias("context"))
@@ -184,15 +187,15 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(True))
 
 
-def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, seed: int = 5, train_rows: int = TRAIN_ROWS, keep: bool = False) -> DataFrame:
-    """id_col, held_out, score (0 to 1) and predicted (1 from ``threshold`` up) for every row; ``keep``: all columns of df first.
+def quality_scorer(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 5, train_rows: int = TRAIN_ROWS) -> Callable[[Column], Column]:
+    """Learn from ``df`` and its labels; the result gives the score (0 to 1) of a column of texts.
 
     Word vectors come from all texts. Labels are learnt from rows outside the held-out fold only, up to ``train_rows``
     of them by hash; null labels don't count, of several labels of a document the smallest counts. Neither labels nor
-    columns other than the text enter a score. A null text counts as empty; both get the score of the empty pool.
-    Without labels all scores are 0.5 or so (an untrained network). Repeated rows each get their row and equal scores;
-    columns of df named like the new ones are replaced; an empty table gives no rows.
+    columns other than the text enter a score. A null text counts as empty and has the score of the empty pool. Without
+    labels, or over an empty table, all scores are those of an untrained network.
     """
+    bound_arrow_batches(df.sparkSession)
     vectors = word_vectors(df, text_col, seed)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,27 +204,39 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 pooled = [pool(t or "", vectors) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pooled, pa.list_(pa.float32()))], names=["y", "x"])
 
-    marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
-    marks = marks.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.min("__y").alias("__y"))
-    chosen = shared_table(marks.orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(train_rows), "quality-labels")
-    learning = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), "__id").select("__y", "__text")
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    marks = marks.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"))
+    chosen = shared_table(marks.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(train_rows), "quality-labels")
+    learning = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
     taught = learning.mapInArrow(features, "y int, x array<float>").orderBy(F.xxhash64("x")).limit(train_rows).toPandas()  # bounded by train_rows
     network = Network(2 * DIMS + 3, seed)
-    network.fit(np.stack(taught["x"]).astype(float) if len(taught) else np.zeros((0, 2 * DIMS + 3)), taught["y"].to_numpy(float) if len(taught) else np.zeros(0), seed)
+    if len(taught):
+        network.fit(np.stack(taught["x"]).astype(float), taught["y"].to_numpy(float), seed)
 
-    added = ("held_out", "score", "predicted")
-    columns = [c for c in df.columns if c not in added] if keep else [id_col]
-    own = text_col in columns and isinstance(df.schema[text_col].dataType, T.StringType)  # kept texts go to Python once
-    at = columns.index(text_col) if own else len(columns) + 1
-    text = [] if own else [F.col(text_col).cast("string").alias("__text")]
-    source = df.select(*(F.col(c) for c in columns), held_out(F.col(id_col)).alias("held_out"), *text)
-    schema = T.StructType([*source.schema.fields[: len(columns) + 1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in texts:
+            found = [np.zeros(0)]
+            for batch in slices(pa.RecordBatch.from_arrays([whole], names=["text"]), 0):
+                x = np.stack([pool(t or "", vectors) for t in batch.column(0).to_pylist()]).astype(float)
+                found.append(np.round(network.probabilities(x), 9))  # sums may differ in the last digits with the size of a batch
+            yield pa.array(np.concatenate(found))
+
+    return lambda text: score(text.cast("string"))
+
+
+def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **settings) -> DataFrame:
+    """id_col, held_out, score (0 to 1) and predicted (1 from ``threshold`` up) for every row; see ``quality_scorer``.
+
+    Repeated rows each get their row and equal scores; a null id is held out; columns of ``df`` other than the two named
+    are not read, whatever their names; an empty table gives no rows.
+    """
+    scorer = quality_scorer(df, labels, id_col, text_col, **settings)
+    scored = df.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), scorer(F.col(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, at):
-                x = np.stack([pool(t or "", vectors) for t in batch.column(at).to_pylist()]).astype(float)
-                p = np.round(network.probabilities(x), 9)  # sums may differ in the last digits with the size of a batch
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=schema.names)
 
-    return source.mapInArrow(score, schema)
+def of_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **settings) -> DataFrame:
+    """The rows of ``df`` that score ``threshold`` or more, with all their columns as they are."""
+    scorer = quality_scorer(df, labels, id_col, text_col, **settings)
+    return df.where(scorer(F.col(text_col)) >= threshold)

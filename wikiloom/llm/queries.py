@@ -51,7 +51,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
     sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("shared", "repeated")]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(reported()).alias("spans"), listed(F.col("repeated")).alias("repeated"), "base_live", *sizes)
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(reported()).alias("spans"), listed(F.col("repeated")).alias("repeated"), "base_live", "base_random", *sizes)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
