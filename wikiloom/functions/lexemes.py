@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wikiloom.functions.vectors import let
+
 # Results depend on them.
 STOPWORDS = ("och", "att", "det", "som", "för", "med", "till", "från", "den", "detta", "har", "kan", "vi", "ni", "om")
 SYNONYMS = {
@@ -61,6 +63,19 @@ def hits(tokens: Column, prefixes: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda t: starts_with_any(t, prefixes)))
 
 
+def text_hits(c: Column, prefixes: list[str]) -> Column:
+    """``hits`` of a text's lexemes, counted in the text: starts of lexemes at which one of the prefixes stands."""
+    if not prefixes:
+        return F.lit(0)
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.regexp_count(low, F.lit(f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(map(re.escape, prefixes))})"))
+
+
+def term_count(c: Column, term: str) -> Column:
+    """How many of a text's lexemes are ``term``."""
+    return F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"(?<![\\p{{L}}\\p{{N}}]){re.escape(term)}(?![\\p{{L}}\\p{{N}}])"))
+
+
 def cover_rank(tokens: Column, prefixes: list[str], weight: float = WEIGHT_D) -> Column:
     """Cover-density rank of an OR query: every matching place is a cover of its own."""
     return hits(tokens, prefixes) * F.lit(weight)
@@ -68,9 +83,13 @@ def cover_rank(tokens: Column, prefixes: list[str], weight: float = WEIGHT_D) ->
 
 def frequency_rank(tokens: Column, term: str, weight: float = WEIGHT_D) -> Column:
     """Frequency rank of one term: the places' weights, each over the square of its number, scaled."""
-    n = F.size(F.filter(tokens, lambda t: t == term))
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(0.0).cast("double"), lambda a, j: a + F.lit(weight) / (j * j)) / RANK_SCALE
+    return rank_of_count(F.size(F.filter(tokens, lambda t: t == term)), weight)
+
+
+def rank_of_count(count: Column, weight: float = WEIGHT_D) -> Column:
+    """Frequency rank of a term that occurs so often."""
+    places = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(let(count, places), F.lit(0.0).cast("double"), lambda a, j: a + F.lit(weight) / (j * j)) / RANK_SCALE
 
 
 def ilike_any(c: Column, patterns: list[str]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wikiloom.functions.vectors import let
+
 # Results depend on them.
 ABBREVIATIONS = ("t.ex", "bl.a", "dvs", "ev", "ca", "fr.o.m", "t.o.m", "Mr", "Mrs", "Dr", "St", "etc", "vs", "No", "fig")
 SENTENCE_END = "(?U)(?<=[.!?])\\s+(?=[A-ZÅÄÖ0-9\"'(])"
@@ -58,9 +60,12 @@ def sentences(c: Column) -> Column:
 def hard_pieces(c: Column, max_tokens: int) -> Column:
     """Runs of words that fill max_tokens at two tokens a word."""
     step = max(1, max_tokens // 2)
-    own = words(c)
-    starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(own, i, step), " "))
+
+    def pieces(own: Column) -> Column:
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, step), " "))
+
+    return let(words(c), pieces)
 
 
 def slugify(c: Column) -> Column:

@@ -30,8 +30,8 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 for a null vector, unequal lengths or a zero vector."""
-    scale = norm(a) * norm(b)
-    return F.when(a.isNull() | b.isNull() | (F.size(a) != F.size(b)) | (scale == 0), 0.0).otherwise(dot(a, b) / scale)
+    bad = a.isNull() | b.isNull() | (F.size(a) != F.size(b))
+    return F.when(bad, 0.0).otherwise(let(norm(a) * norm(b), lambda scale: F.when(scale == 0, 0.0).otherwise(dot(a, b) / scale)))
 
 
 def strict_cosine(a: Column, b: Column) -> Column:
@@ -55,6 +55,11 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
 
+def stored_vector(a: Column) -> Column:
+    """A vector as tables hold it: single precision, half the bytes; computations cast it back."""
+    return a.cast("array<float>")
+
+
 def string_hash(c: Column) -> Column:
     """The absolute value of the 32-bit rolling hash h = 31 h + unit over UTF-16 units, as long.
 

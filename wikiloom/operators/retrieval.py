@@ -5,10 +5,12 @@ Ranks are taken on the few rows that a branch keeps, after its limit; page texts
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wikiloom.functions.lexemes import WEIGHT_A, WEIGHT_B, WEIGHT_D, frequency_rank, hits, ilike_any, lexemes, like_patterns, query_prefixes
+from wikiloom.functions.lexemes import WEIGHT_A, WEIGHT_B, WEIGHT_D, ilike_any, lexemes, like_patterns, query_prefixes, rank_of_count, term_count, text_hits
 from wikiloom.functions.text import excerpt, slugify
 from wikiloom.functions.vectors import cosine
 
@@ -16,6 +18,8 @@ from wikiloom.functions.vectors import cosine
 CANDIDATES, RRF_K, VECTOR_WEIGHT, LEXICAL_WEIGHT = 20, 60, 1.0, 0.8
 FINAL_CHUNKS, FINAL_PAGES, SEARCH_PAGES, FOOTER_LINKS = 8, 3, 10, 3
 TITLE_BONUS, CONTENT_BONUS, FALLBACK_SCORE = 0.50, 0.20, 0.1
+SPEAKERS = {"user": "Användare", "assistant": "Assistent"}
+HISTORY_HEAD, QUESTION_HEAD, CONTEXT_HEAD = "Tidigare konversation (för att förstå följdfrågor):", "Fråga: ", "Underlag:"
 NO_ANSWER = ("Jag hittar inget om det i dokumentationen.", "Det finns inget svar i dokumentationen.", "Dokumentationen säger inget om det.")
 ANSWER_PREFIX, ANSWER_LENGTH, ANSWER_CONFIDENCE = "Baserat på dokumentationen: ", 400, 0.4
 
@@ -25,18 +29,25 @@ def literal_vector(values: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 
 
-def vector_top_k(vectors: DataFrame, query: list[float], id_col: str, vector_col: str = "embedding", k: int = CANDIDATES, least: float | None = None) -> DataFrame:
-    """(id, score): the k rows most like the query by cosine; null vectors take no part."""
+def once(df: DataFrame, keep: tuple[str, ...], **values: Column) -> DataFrame:
+    """The columns ``keep`` and ``values``, each computed once: a filter on one of them doesn't compute it again."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in values.items())))))
+
+
+def vector_top_k(vectors: DataFrame, query: list[float], id_col: str, vector_col: str = "embedding", k: int = CANDIDATES, least: float | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(id, score): the k rows most like the query by cosine; null vectors take no part, nor, with ``known`` (ids, each
+    once), vectors of other ids. Scores are joined with the ids, not vectors."""
     scored = vectors.where(F.col(vector_col).isNotNull()).select(id_col, cosine(F.col(vector_col).cast("array<double>"), literal_vector(query)).alias("score"))
     if least is not None:
         scored = scored.where(F.col("score") >= least)
+    if known is not None:
+        scored = scored.join(known, id_col)
     return scored.orderBy(F.col("score").desc(), id_col).limit(k)
 
 
 def lexical_top_k(texts: DataFrame, question: str, id_col: str, text_col: str = "content", k: int = CANDIDATES) -> DataFrame:
     """(id, score): the k texts of the highest cover rank among those that match."""
-    prefixes = query_prefixes(question)
-    scored = texts.select(id_col, hits(lexemes(F.col(text_col)), prefixes).alias("hits")).where("hits > 0")
+    scored = once(texts, (id_col,), hits=text_hits(F.col(text_col), query_prefixes(question))).where("hits > 0")
     return scored.select(id_col, (F.col("hits") * F.lit(WEIGHT_D)).alias("score")).orderBy(F.col("score").desc(), id_col).limit(k)
 
 
@@ -45,7 +56,7 @@ def weighted_top_k(pages: DataFrame, question: str, id_col: str = "page_id", k:
     prefixes = query_prefixes(question)
     wide, focus = like_patterns(question)
     title, content = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
-    counted = pages.select(id_col, title.alias("title"), content.alias("content"), hits(lexemes(title), prefixes).alias("in_title"), hits(lexemes(content), prefixes).alias("in_content"))
+    counted = once(pages.select(id_col, title.alias("title"), content.alias("content")), (id_col, "title", "content"), in_title=text_hits(F.col("title"), prefixes), in_content=text_hits(F.col("content"), prefixes))
     found = counted.where((F.col("in_title") > 0) | (F.col("in_content") > 0) | ilike_any(F.col("title"), wide) | ilike_any(F.col("content"), wide))
     bonus = F.when(ilike_any(F.col("title"), focus), TITLE_BONUS).otherwise(0.0) + F.when(ilike_any(F.col("content"), focus), CONTENT_BONUS).otherwise(0.0)
     scored = found.select(id_col, (F.col("in_title") * F.lit(WEIGHT_A) + F.col("in_content") * F.lit(WEIGHT_B) + bonus).alias("score"))
@@ -63,13 +74,12 @@ def search_pages(pages: DataFrame, question: str, id_col: str = "page_id") -> Da
     """Pages whose title or content holds every term of the question, by frequency rank; the whole question as a
     substring will do too."""
     terms = question.lower().split()
-    tokens = lexemes(F.concat_ws(" ", "title", "content"))
-    prepared = pages.select(id_col, "title", tokens.alias("tokens"), (F.col("title").ilike(f"%{question}%") | F.col("content").ilike(f"%{question}%")).alias("held"))
-    every = F.lit(bool(terms))
-    for t in terms:
-        every = every & F.array_contains("tokens", t)
-    rank = sum((frequency_rank(F.col("tokens"), t) for t in terms), F.lit(0.0))
-    return prepared.where(every | F.col("held")).select(id_col, "title", rank.alias("rank")).orderBy(F.col("rank").desc(), id_col)
+    both = F.concat_ws(" ", "title", "content")
+    held = F.coalesce(F.col("title").ilike(f"%{question}%"), F.lit(False)) | F.coalesce(F.col("content").ilike(f"%{question}%"), F.lit(False))
+    counted = once(pages, (id_col, "title"), held=held, counts=F.array(*(term_count(both, t) for t in terms)).cast("array<int>"))
+    every = F.lit(bool(terms)) & F.forall("counts", lambda n: n > 0)
+    rank = sum((rank_of_count(F.col("counts")[i]) for i in range(len(terms))), F.lit(0.0))
+    return counted.where(every | F.col("held")).select(id_col, "title", rank.alias("rank")).orderBy(F.col("rank").desc(), id_col)
 
 
 def _ranked(branch: DataFrame, id_col: str, weight: float, name: str) -> DataFrame:
@@ -91,21 +101,37 @@ def fuse(vector: DataFrame | None, lexical: DataFrame | None, id_col: str, k: in
     return fused.orderBy(F.col("rrf").desc(), F.col("vector_rank").asc_nulls_last(), "lexical_rank", id_col).limit(k)
 
 
-def hybrid_chunks(chunks: DataFrame, embeddings: DataFrame, pages: DataFrame, question: str, query: list[float] | None, k: int = FINAL_CHUNKS) -> DataFrame:
-    """The best chunks of both branches, with their pages."""
-    vector = vector_top_k(embeddings, query, "chunk_id") if query else None
-    lexical = lexical_top_k(chunks, question, "chunk_id") if query_prefixes(question) else None
-    best = fuse(vector, lexical, "chunk_id", k)
+def branch(found: DataFrame | None, name: str, isolated: bool) -> DataFrame | None:
+    """A branch of a hybrid search. ``isolated``: its CANDIDATES rows are fetched now, and one that fails is left out with a
+    warning, so that the other branch still answers."""
+    if found is None or not isolated:
+        return found
+    try:
+        return found.sparkSession.createDataFrame(found.collect(), found.schema)
+    except Exception as e:  # whatever the source or the index of this branch raises
+        warnings.warn(f"the {name} branch failed, the other one answers alone: {e}", stacklevel=3)
+        return None
+
+
+def hybrid_chunks(chunks: DataFrame, embeddings: DataFrame, pages: DataFrame, question: str, query: list[float] | None, k: int = FINAL_CHUNKS, isolated: bool = False) -> DataFrame:
+    """The best chunks of both branches, with their pages. Only vectors with a chunk and chunks with a page take part."""
+    placed = chunks.join(pages.select("page_id"), "page_id", "left_semi")
+    vector = vector_top_k(embeddings, query, "chunk_id", known=placed.select("chunk_id")) if query else None
+    lexical = lexical_top_k(placed, question, "chunk_id") if query_prefixes(question) else None
+    best = fuse(branch(vector, "vector", isolated), branch(lexical, "lexical", isolated), "chunk_id", k)
     if best is None:
-        return chunks.limit(0).select("chunk_id", "page_id", F.lit("").alias("title"), "content", F.lit(0.0).alias("rrf"))
+        best = chunks.limit(0).select("chunk_id", F.lit(0.0).alias("rrf"), F.lit(None).cast("int").alias("vector_rank"), F.lit(None).cast("int").alias("lexical_rank"))
     return best.join(chunks.select("chunk_id", "page_id", "content"), "chunk_id").join(pages.select("page_id", "title"), "page_id").select("chunk_id", "page_id", "title", "content", "rrf", "vector_rank", "lexical_rank")
 
 
-def hybrid_pages(pages: DataFrame, question: str, query: list[float] | None, k: int = FINAL_PAGES) -> DataFrame:
+def hybrid_pages(pages: DataFrame, question: str, query: list[float] | None, k: int = FINAL_PAGES, isolated: bool = False) -> DataFrame:
     """The best pages of both branches; pages without vectors are found by their words alone."""
     vector = vector_top_k(pages, query, "page_id") if query and "embedding" in pages.columns else None
     lexical = weighted_top_k(pages, question) if query_prefixes(question) else substring_fallback(pages, question)
-    return fuse(vector, lexical, "page_id", k).join(pages.select("page_id", "title", "content"), "page_id")
+    best = fuse(branch(vector, "vector", isolated), branch(lexical, "lexical", isolated), "page_id", k)
+    if best is None:
+        best = pages.limit(0).select("page_id", F.lit(0.0).alias("rrf"), F.lit(None).cast("int").alias("vector_rank"), F.lit(None).cast("int").alias("lexical_rank"))
+    return best.join(pages.select("page_id", "title", "content"), "page_id")
 
 
 def best_per_page(found: DataFrame) -> DataFrame:
@@ -142,21 +168,31 @@ def answer(chunks: DataFrame, embeddings: DataFrame, pages: DataFrame, question:
     """One row (answer, grounded, confidence, relevance): from chunks, else from pages, else a phrase that says so, which
     the question's hash picks."""
     question = usable_question(question)
-    found = hybrid_chunks(chunks, embeddings, pages, question, query)
+    found = hybrid_chunks(chunks, embeddings, pages, question, query, isolated=True)
     if not found.isEmpty():
         return answer_without_model(found)
-    by_page = hybrid_pages(pages, question, query).select(F.col("page_id").alias("chunk_id"), "page_id", "title", "content", "rrf")
+    by_page = hybrid_pages(pages, question, query, isolated=True).select(F.col("page_id").alias("chunk_id"), "page_id", "title", "content", "rrf")
     if not by_page.isEmpty():
         return answer_without_model(by_page)
     phrase = F.get(F.array(*map(F.lit, no_answer)), F.pmod(F.xxhash64(F.lit(question)), F.lit(len(no_answer))).cast("int"))
     return pages.sparkSession.range(1).select(phrase.alias("answer"), F.lit(False).alias("grounded"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("relevance"))
 
 
-def prompt(found: DataFrame) -> DataFrame:
-    """One row: the numbered context of a model's prompt, which is built here and never sent."""
+def history_section(turns: list[tuple[str, str]]) -> str:
+    """Earlier turns (role, text) for a prompt, those of a person or the assistant that say something."""
+    said = [f"{SPEAKERS[role]}: {text}" for role, text in turns if role in SPEAKERS and text]
+    return f"{HISTORY_HEAD}\n" + "\n".join(said) + "\n\n" if said else ""
+
+
+def prompt(found: DataFrame, question: str | None = None, history: list[tuple[str, str]] = ()) -> DataFrame:
+    """One row: the numbered context of a model's prompt and, with a question, the prompt's sections (history, question,
+    context) without instructions. It is built here and never sent."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("rrf")).alias("o"), F.col("chunk_id").alias("i"), F.col("title").alias("t"), F.col("content").alias("c"))))
     numbered = F.transform(ordered, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["t"], F.lit("\n"), x["c"]))
-    return found.agg(F.array_join(numbered, "\n\n---\n\n").alias("context"))
+    out = found.agg(F.array_join(numbered, "\n\n---\n\n").alias("context"))
+    if question is None:
+        return out
+    return out.withColumn("prompt", F.concat(F.lit(f"{history_section(list(history))}{QUESTION_HEAD}{question}\n\n{CONTEXT_HEAD}\n"), F.col("context")))
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as tx
-from wikiloom.functions.lexemes import cover_rank, frequency_rank, ilike_any, lexemes, query_prefixes
+from wikiloom.functions.lexemes import ilike_any, query_prefixes, rank_of_count, term_count, text_hits
 from wikiloom.functions.vectors import cosine, dummy_embedding, l2_distance, l2_normalize, norm, sql_cosine, string_hash
 from wikiloom.operators import context, links, retrieval, tables
 from wikiloom.operators.blocks import plain_text
@@ -40,6 +40,9 @@ G = r"g AS (SELECT * FROM (SELECT page_id AS source_page_id, lead(page_id) OVER
 _COS = "(SELECT embedding FROM e ORDER BY chunk_id LIMIT 1)"
 V = f"v AS (SELECT chunk_id, coalesce(list_cosine_similarity(embedding, {_COS}), 0) AS score FROM e ORDER BY score DESC, chunk_id LIMIT 20)"
 L = f"l AS (SELECT chunk_id, hits * 0.1::DOUBLE AS score FROM (SELECT chunk_id, {_HITS.format('content')} AS hits FROM c) WHERE hits > 0 ORDER BY score DESC, chunk_id LIMIT 20)"
+# The branches of a hybrid search: vectors with a chunk, chunks with a page.
+HV = V.replace("FROM e ORDER BY score", "FROM e WHERE chunk_id IN (SELECT chunk_id FROM c WHERE page_id IN (SELECT page_id FROM p)) ORDER BY score")
+HL = L.replace("WHERE hits > 0", "WHERE hits > 0 AND chunk_id IN (SELECT chunk_id FROM c WHERE page_id IN (SELECT page_id FROM p))")
 R = "r AS (SELECT chunk_id, sum(part) AS rrf, min(vr) AS vector_rank, min(lr) AS lexical_rank FROM (SELECT chunk_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk_id)) AS part, row_number() OVER (ORDER BY score DESC, chunk_id) AS vr, NULL AS lr FROM v UNION ALL SELECT chunk_id, 0.8::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk_id)), NULL, row_number() OVER (ORDER BY score DESC, chunk_id) FROM l) GROUP BY chunk_id ORDER BY rrf DESC, vector_rank NULLS LAST, lexical_rank, chunk_id LIMIT 8)"
 
 
@@ -299,8 +302,7 @@ def sc6_media_class(spark, d):
 
 @query(f"WITH {C} SELECT chunk_id, hits, round(hits * 0.1::DOUBLE, 6) AS score FROM (SELECT chunk_id, {_HITS.format('content')}::INT AS hits FROM c) WHERE hits > 0")
 def ft7_cover_rank(spark, d):
-    tokens, prefixes = lexemes(F.col("content")), query_prefixes(QUESTION)
-    ranked = canonical.chunks(spark, d).select("chunk_id", cover_rank(tokens, prefixes, 1.0).cast("int").alias("hits")).where("hits > 0")
+    ranked = retrieval.once(canonical.chunks(spark, d), ("chunk_id",), hits=text_hits(F.col("content"), query_prefixes(QUESTION))).where("hits > 0")
     return ranked.select("chunk_id", "hits", F.round(F.col("hits") * 0.1, 6).alias("score"))
 
 
@@ -311,8 +313,8 @@ def ft8_weighted_rank(spark, d):
 
 @query(f"WITH {T}, n AS (SELECT page_id, len(list_filter({_LEX.format('content')}, lambda x: x = 'the')) AS n FROM t) SELECT page_id, round(coalesce(list_sum(list_transform(range(1, n + 1), lambda j: 0.1::DOUBLE / (j * j))), 0) / 1.64493406685::DOUBLE, 6) AS rank FROM n WHERE n > 0")
 def ft9_frequency_rank(spark, d):
-    tokens = canonical.text_pages(spark, d).select("page_id", lexemes(F.col("content")).alias("tokens")).where(F.array_contains("tokens", "the"))
-    return tokens.select("page_id", F.round(frequency_rank(F.col("tokens"), "the"), 6).alias("rank"))
+    counted = retrieval.once(canonical.text_pages(spark, d), ("page_id",), n=term_count(F.col("content"), "the")).where("n > 0")
+    return counted.select("page_id", F.round(rank_of_count(F.col("n")), 6).alias("rank"))
 
 
 @query(f"WITH {T}, s AS (SELECT page_id, title, regexp_extract_all(lower(title || ' ' || content), '[\\p{{L}}\\p{{N}}]+') AS k, (title ILIKE '%the and%' OR content ILIKE '%the and%') AS held FROM t), n AS (SELECT page_id, title, len(list_filter(k, lambda x: x = 'the')) AS a, len(list_filter(k, lambda x: x = 'and')) AS b, held FROM s) SELECT page_id, title, round((coalesce(list_sum(list_transform(range(1, a + 1), lambda j: 0.1::DOUBLE / (j * j))), 0) + coalesce(list_sum(list_transform(range(1, b + 1), lambda j: 0.1::DOUBLE / (j * j))), 0)) / 1.64493406685::DOUBLE, 5) AS rank FROM n WHERE held OR (a > 0 AND b > 0)")
@@ -375,7 +377,7 @@ def _hybrid(spark, d):
     return retrieval.hybrid_chunks(canonical.chunks(spark, d), canonical.embeddings(spark, d), canonical.pages(spark, d), QUESTION, first_vector(spark, d))
 
 
-@query(f"WITH {P}, {C}, {E}, {V}, {L}, {R} SELECT r.chunk_id, c.page_id, title, round(rrf, 9) AS rrf FROM r JOIN c USING (chunk_id) JOIN p ON p.page_id = c.page_id")
+@query(f"WITH {P}, {C}, {E}, {HV}, {HL}, {R} SELECT r.chunk_id, c.page_id, title, round(rrf, 9) AS rrf FROM r JOIN c USING (chunk_id) JOIN p ON p.page_id = c.page_id")
 def hy1_hybrid_chunks(spark, d):
     return _hybrid(spark, d).select("chunk_id", "page_id", "title", F.round("rrf", 9).alias("rrf"))
 
@@ -387,7 +389,7 @@ def hy2_hybrid_pages(spark, d):
     return retrieval.hybrid_pages(pages, QUESTION, first_vector(spark, d), retrieval.SEARCH_PAGES).select("page_id", F.round("rrf", 9).alias("rrf"))
 
 
-_BEST = f"WITH {P}, {C}, {E}, {V}, {L}, {R}, b AS (SELECT c.page_id, title, r.chunk_id, CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS excerpt, rrf FROM r JOIN c USING (chunk_id) JOIN p ON p.page_id = c.page_id QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY rrf DESC, r.chunk_id) = 1)"
+_BEST = f"WITH {P}, {C}, {E}, {HV}, {HL}, {R}, b AS (SELECT c.page_id, title, r.chunk_id, CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS excerpt, rrf FROM r JOIN c USING (chunk_id) JOIN p ON p.page_id = c.page_id QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY rrf DESC, r.chunk_id) = 1)"
 
 
 @query(_BEST + " SELECT page_id, title, chunk_id, excerpt, round(rrf, 9) AS relevance FROM b")
@@ -401,12 +403,12 @@ def tk7_source_links(spark, d):
     return retrieval.source_links(found).select("page_id", "title", "href")
 
 
-@query(f"WITH {P}, {C}, {E}, {V}, {L}, {R}, j AS (SELECT rrf, r.chunk_id, content FROM r JOIN c USING (chunk_id) JOIN p ON p.page_id = c.page_id) SELECT 'Baserat på dokumentationen: ' || substring(string_agg(content, chr(10) || chr(10) ORDER BY rrf DESC, chunk_id), 1, 400) || '...' AS answer, true AS grounded, 0.4::DOUBLE AS confidence, round(least(1.0, max(rrf)), 9) AS relevance FROM j")
+@query(f"WITH {P}, {C}, {E}, {HV}, {HL}, {R}, j AS (SELECT rrf, r.chunk_id, content FROM r JOIN c USING (chunk_id) JOIN p ON p.page_id = c.page_id) SELECT 'Baserat på dokumentationen: ' || substring(string_agg(content, chr(10) || chr(10) ORDER BY rrf DESC, chunk_id), 1, 400) || '...' AS answer, true AS grounded, 0.4::DOUBLE AS confidence, round(least(1.0, max(rrf)), 9) AS relevance FROM j")
 def hy7_answer(spark, d):
     return retrieval.answer_without_model(_hybrid(spark, d)).withColumn("relevance", F.round("relevance", 9))
 
 
-@query(f"WITH {P}, {C}, {E}, {V}, {L}, {R}, j AS (SELECT row_number() OVER (ORDER BY rrf DESC, r.chunk_id) AS i, title, content FROM r JOIN c USING (chunk_id) JOIN p ON p.page_id = c.page_id) SELECT string_agg('[' || i || '] ' || title || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS context FROM j")
+@query(f"WITH {P}, {C}, {E}, {HV}, {HL}, {R}, j AS (SELECT row_number() OVER (ORDER BY rrf DESC, r.chunk_id) AS i, title, content FROM r JOIN c USING (chunk_id) JOIN p ON p.page_id = c.page_id) SELECT string_agg('[' || i || '] ' || title || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS context FROM j")
 def hy8_prompt(spark, d):
     return retrieval.prompt(_hybrid(spark, d))
 
