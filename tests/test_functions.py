@@ -87,3 +87,22 @@ def test_ranks(spark):
     assert [r["n"] for r in df.select(lexemes.hits(tokens, ["the"]).alias("n")).collect()] == [3, 0]
     rank = df.select(lexemes.frequency_rank(tokens, "the").alias("r")).first()["r"]
     assert abs(rank - 0.1 * (1 + 1 / 4) / 1.64493406685) < 1e-12
+
+
+def test_counts_in_the_text_equal_those_of_lexemes(spark):
+    texts = ["The theory; other the_the, l\u00f6nen L\u00d6NER!", "x2the the2", "", None, "the", "\u00f6the the\u00e9"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    tokens = lexemes.lexemes(F.col("x"))
+    for prefixes in (["the"], ["the", "theo", "l\u00f6n"], []):
+        rows = df.select(lexemes.hits(tokens, prefixes).alias("a"), lexemes.text_hits(F.col("x"), prefixes).alias("b")).collect()
+        assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    rows = df.select(lexemes.frequency_rank(tokens, "the").alias("a"), lexemes.rank_of_count(lexemes.term_count(F.col("x"), "the")).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+
+
+def test_hard_split_of_a_long_text(spark):
+    import time
+
+    start = time.time()
+    assert len(one(spark, lambda c: text.hard_pieces(c, 300), "word " * 80_000)) == 534
+    assert time.time() - start < 10

@@ -59,3 +59,24 @@ def test_hourly_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("hourly_out").collect())) == sorted(map(tuple, hourly(events).collect()))
+
+
+def test_ingest_that_breaks_off_is_tried_again(spark, tmp_path):
+    import pytest
+
+    source, sink, state, log = (f"{tmp_path}/{n}" for n in ("in", "out", "state", "log"))
+    schema = "id long, title string, text string"
+    spark.createDataFrame([(i, "P", f"old {i}") for i in range(6)], schema).coalesce(1).write.parquet(source)
+    start_ingest(spark, source, schema, sink, state, buckets=2, log=log).awaitTermination()
+    spark.createDataFrame([(1, "P", "new 1")], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def breaks(chunks, number):
+        raise RuntimeError("the model is down")
+
+    with pytest.raises(Exception, match="the model is down"):
+        start_ingest(spark, source, schema, sink, state, buckets=2, log=log, after=breaks).awaitTermination()
+    start_ingest(spark, source, schema, sink, state, buckets=2, log=log).awaitTermination()
+    assert sorted(r["content"] for r in spark.read.parquet(sink).collect()) == sorted(["[P]\nnew 1"] + [f"[P]\nold {i}" for i in (0, 2, 3, 4, 5)])
+    assert len(glob(f"{sink}/bucket=*")) == 2 and not glob(f"{sink}-pending/*")
+    noted = sorted((r["status"], r["items_processed"], r["items_failed"], r["error_message"] is not None) for r in spark.read.parquet(log).collect())
+    assert noted == [("completed", 1, 0, False), ("completed", 6, 0, False), ("failed", 0, 1, True)]

@@ -92,6 +92,113 @@ def test_wiki_source(spark):
     assert df.count() == 120 and df.where("external_id = '7'").count() == 1
 
 
+def test_wiki_that_grew(spark):
+    assert wiki.read_wiki(spark, "tests.wiki_stub:fetch", total=60, limit=25).count() == 120
+    assert wiki.read_wiki(spark, "tests.wiki_stub:fetch", limit=40).count() == 120
+
+
+def test_attachment_listing(spark):
+    pages = spark.createDataFrame([("1",), ("2",), ("3",), (None,)], "external_id string")
+    got = wiki.list_attachments(pages, "tests.wiki_stub:attachments")
+    assert {r["page_external_id"]: r["count"] for r in got.groupBy("page_external_id").count().collect()} == {"1": 250, "3": 100}
+    assert got.select("external_id").distinct().count() == 350
+
+
+def test_markup_without_a_reader(spark):
+    files = spark.createDataFrame([("text/html", "c", "<p>é <b>x</b></p><script>no</script>".encode()), ("text/html", "n", None), ("application/pdf", "a", b"x")], "media_type string, file_name string, content binary")
+    assert [r["text"] for r in wiki.extract_text(files).collect()] == ["é x", "", ""]
+
+
+def test_embeddings_are_upserted(spark):
+    old = spark.createDataFrame([(1, [1.0], "m"), (2, [2.0], "m")], "chunk_id int, embedding array<double>, model string").withColumn("created_at", F.to_timestamp(F.lit("2020-01-01")))
+    new = spark.createDataFrame([(2, [5.0], "n"), (3, [3.0], "n"), (3, [4.0], "n")], "chunk_id int, embedding array<double>, model string")
+    got = {r["chunk_id"]: r for r in tables.upsert_embeddings(old, new).collect()}
+    assert {k: (r["embedding"], r["model"]) for k, r in got.items()} == {1: ([1.0], "m"), 2: ([5.0], "n"), 3: ([4.0], "n")}
+    assert got[1]["created_at"].year == 2020 and got[2]["created_at"].year > 2020
+    pages = spark.createDataFrame([(1, None), (2, [1.0])], "page_id int, embedding array<float>")
+    set_ = tables.set_page_embeddings(pages, spark.createDataFrame([(1, [7.0])], "page_id int, embedding array<double>"))
+    assert {r["page_id"]: r["embedding"] for r in set_.collect()} == {1: [7.0], 2: [1.0]}
+
+
+def test_reprocessed_pages(spark):
+    from wikiloom.operators.chunker import chunks
+
+    pages = spark.createDataFrame([(1, "A", "new text"), (2, "B", "")], "id int, title string, text string")
+    stored = chunks(spark.createDataFrame([(1, "A", "old"), (2, "B", "gone"), (3, "C", "kept")], "id int, title string, text string"))
+    got = tables.reprocess(pages, stored, chunks).collect()
+    assert sorted((r["id"], r["content"]) for r in got) == [(1, "[A]\nnew text"), (3, "[C]\nkept")]
+
+
+def test_hybrid_search_leaves_orphans_out(spark):
+    vectors = spark.createDataFrame([(i, [1.0, i / 1000]) for i in range(60)], "chunk_id int, embedding array<double>")
+    chunks = spark.createDataFrame([(i, i // 2, "lönen betalas" if i % 5 else "annat") for i in range(40, 60)], "chunk_id int, page_id int, content string")
+    pages = spark.createDataFrame([(i, f"t{i}") for i in range(22, 40)], "page_id int, title string")
+    got = retrieval.hybrid_chunks(chunks, vectors, pages, "lönen", [1.0, 0.0])
+    assert got.count() == 8 and {r["page_id"] for r in got.collect()} <= set(range(22, 30))
+    assert {r["chunk_id"]: r["vector_rank"] for r in got.collect()}[44] == 1
+    none = retrieval.hybrid_chunks(chunks, vectors, pages, "och", None)
+    assert none.columns == got.columns and none.count() == 0
+
+
+def test_a_failing_branch_leaves_the_other(spark):
+    import pytest
+
+    chunks = spark.createDataFrame([(1, 1, "lönen betalas")], "chunk_id int, page_id int, content string")
+    pages = spark.createDataFrame([(1, "t")], "page_id int, title string")
+    broken = spark.createDataFrame([(1, [1.0])], "chunk_id int, embedding array<double>").withColumn("embedding", F.when(F.col("chunk_id") > 0, F.raise_error(F.lit("no index")).cast("array<double>")))
+    with pytest.warns(UserWarning, match="vector branch"):
+        got = retrieval.hybrid_chunks(chunks, broken, pages, "lönen", [1.0], isolated=True).collect()
+    assert [(r["chunk_id"], r["vector_rank"], r["lexical_rank"]) for r in got] == [(1, None, 1)]
+
+
+def test_prompt_with_history(spark):
+    found = spark.createDataFrame([(1, "T", "c one", 0.5), (2, "U", "c two", 0.9)], "chunk_id int, title string, content string, rrf double")
+    context_ = "[1] U\nc two\n\n---\n\n[2] T\nc one"
+    assert retrieval.prompt(found).first().asDict() == {"context": context_}
+    turns = [("system", "s"), ("user", "hej"), ("assistant", ""), ("assistant", "svar")]
+    assert retrieval.prompt(found, "och sen?", turns).first()["prompt"] == f"Tidigare konversation (för att förstå följdfrågor):\nAnvändare: hej\nAssistent: svar\n\nFråga: och sen?\n\nUnderlag:\n{context_}"
+    assert retrieval.prompt(found, "q").first()["prompt"].startswith("Fråga: q\n\nUnderlag:")
+
+
+def test_vector_index(spark):
+    import numpy as np
+
+    from wikiloom.operators import vector_index
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 24))
+    m = centres[rng.integers(0, 20, 3000)] + 0.4 * rng.normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(9000, None), (9001, [1.0, 2.0]), (9002, [0.0] * 24)], "id int, embedding array<double>")
+    index = vector_index.build(df)
+    assert index.cells.count() == 3002
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 10):
+        got = [r["id"] for r in vector_index.top_k(index, m[q].tolist()).collect()]
+        hits += len(set(got) & set(np.argsort(-(unit @ unit[q]))[:20].tolist()))
+    assert hits >= 0.9 * 200
+    every = vector_index.top_k(index, m[0].tolist(), probes=64).collect()
+    assert [r["id"] for r in every] == [r["id"] for r in retrieval.vector_top_k(df, m[0].tolist(), "id").collect()]
+    read = vector_index.top_k(index, m[0].tolist(), probes=2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in read and "cell#" in read.split("PartitionFilters: [")[1].split("]")[0]
+    assert vector_index.top_k(vector_index.build(df.where("false")), [1.0] * 24).count() == 0
+
+
+def test_statistics_tell_the_last_sync(spark):
+    pages = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-02-01")], "page_id int, last_synced string")
+    row = context.ai_statistics(pages, spark.createDataFrame([(5,)], "token_count int"), spark.createDataFrame([([1.0],), (None,)], "embedding array<double>")).first()
+    assert (row["pages"], row["chunks"], row["tokens"], row["embeddings"], row["last_sync"]) == (2, 1, 5, 1, "2024-02-01")
+
+
+def test_small_functions(spark):
+    from wikiloom.functions import text as tx
+
+    row = spark.range(1).select(tx.without_nul(F.lit("a\0b")).alias("nul"), tx.ascii_file_name(F.lit("lön 1.txt")).alias("name"), wiki.is_extractable(F.lit(None).cast("string"), F.lit("a.MD")).alias("md"), wiki.is_extractable(F.lit("image/png"), F.lit("a.png")).alias("png")).first()
+    assert row["nul"] == "ab" and row["name"] == "l_n 1.txt" and row["md"] and not row["png"]
+    files = spark.createDataFrame([("a", b"x", "t", None, "/w"), ("b", None, "t", None, "/w")], "external_id string, file_data binary, media_type string, download_url string, web_url string")
+    assert wiki.stored_bytes(files, "a").first()["redirect"] is None and wiki.stored_bytes(files, "b").first()["redirect"] == "/w"
+
+
 def test_history(spark):
     turns = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate([("system", "s"), ("user", "a"), ("assistant", "b"), ("user", ""), *[("user", str(i)) for i in range(6)]])], "conv_id int, turn int, role string, text string")
     assert sorted(r["turn"] for r in context.last_turns(turns).collect()) == [4, 5, 6, 7, 8, 9]

@@ -1,3 +1,9 @@
 def fetch(offset, limit):
     """A listing of 120 pages."""
     return [(str(i), f"Page {i}", "S", f"/pages/{i}", "<p>x</p>") for i in range(offset, min(offset + limit, 120))]
+
+
+def attachments(page, offset, limit):
+    """Page 1 has 250 attachments, page 2 none, page 3 exactly one listing page."""
+    have = {"1": 250, "2": 0, "3": 100}[page]
+    return [(f"a{page}-{i}", f"f{i}.txt", "text/plain", i, 1, f"/d/{i}") for i in range(offset, min(offset + limit, have))]

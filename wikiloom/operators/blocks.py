@@ -126,13 +126,18 @@ def markup_blocks(df: DataFrame) -> DataFrame:
     return parsed.select("id", F.posexplode("blocks").alias("block", "b")).select("id", "block", "b.type", "b.level", "b.content")
 
 
+def page_text(page: str) -> str:
+    """All text of a page but scripts and styles, white space made plain, no NUL."""
+    return " ".join(Tree(page).root.text().replace("\0", "").split())
+
+
 def plain_text(df: DataFrame) -> DataFrame:
     """(id, content) of (id, text): all text of a page but scripts and styles, white space made plain, no NUL; null of null."""
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else " ".join(Tree(t).root.text().replace("\0", "").split()) for t in batch.column(1).to_pylist()]
+            texts = [None if t is None else page_text(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "content"])
 
     return df.select("id", "text").mapInArrow(run, f"id {kind}, content string")

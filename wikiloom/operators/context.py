@@ -52,9 +52,12 @@ def linked_context(edges: DataFrame, pages: DataFrame, chunks: DataFrame) -> Dat
     return related_pages(edges, pages).join(held, "target_page_id", "left").select("source_page_id", "target_page_id", "title", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
-def ai_statistics(pages: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """One row: pages, chunks, tokens, embeddings. Each table gives one row, and these are put side by side."""
-    one = pages.agg(F.count(F.lit(1)).alias("pages"))
+def ai_statistics(pages: DataFrame, chunks: DataFrame, embeddings: DataFrame, synced: str = "last_synced") -> DataFrame:
+    """One row: pages, chunks, tokens, embeddings and last_sync, the latest of the pages' column ``synced``.
+
+    Each table gives one row, and these are put side by side.
+    """
+    one = pages.agg(F.count(F.lit(1)).alias("pages"), F.max(synced).alias("last_sync"))
     two = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
     three = embeddings.where("embedding IS NOT NULL").agg(F.count(F.lit(1)).alias("embeddings"))
     return one.crossJoin(two).crossJoin(three)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wikiloom.functions.vectors import stored_vector
+
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], version: Column, kept: tuple[str, ...] = ()) -> DataFrame:
     """old and new rows by key, the one of the highest version wins, at a draw the new one; the columns ``kept`` (id,
@@ -24,6 +28,21 @@ def replace_children(old: DataFrame, new: DataFrame, parent: str, order: str) ->
     return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(renumbered)
 
 
+def upsert_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(chunk_id, embedding, model, created_at): the new embedding of a chunk wins, stored in single precision, with the
+    time of this run. Of several new ones of a chunk one counts, the greatest."""
+    once = new.groupBy("chunk_id").agg(F.max(F.struct("embedding", "model")).alias("e")).select("chunk_id", stored_vector(F.col("e.embedding")).alias("embedding"), "e.model")
+    kept = old.join(once.select("chunk_id"), "chunk_id", "left_anti").withColumn("embedding", stored_vector(F.col("embedding")))
+    return kept.unionByName(once.withColumn("created_at", F.current_timestamp().cast(old.schema["created_at"].dataType)))
+
+
+def set_page_embeddings(pages: DataFrame, vectors: DataFrame, key: str = "page_id") -> DataFrame:
+    """Pages with new embeddings (key, embedding), one for each key, where there are some; others keep theirs."""
+    fresh = vectors.select(key, stored_vector(F.col("embedding")).alias("__new"))
+    old = F.col("embedding") if "embedding" in pages.columns else F.lit(None).cast("array<float>")
+    return pages.join(fresh, key, "left").withColumn("embedding", F.coalesce("__new", stored_vector(old))).drop("__new")
+
+
 def upsert_attachments(old: DataFrame, new: DataFrame, pages: DataFrame) -> DataFrame:
     """Attachments by external_id, the new version wins; their page's id is looked up by its key, null without a page."""
     known = pages.select(F.col("external_id").alias("page_external_id"), "page_id").dropDuplicates(["page_external_id"])
@@ -68,6 +87,12 @@ def backfill(chunks: DataFrame, embeddings: DataFrame, embed: Column, model: str
     return pending_embeddings(chunks, embeddings).select("chunk_id", embed.alias("embedding"), F.lit(model).alias("model"))
 
 
+def reprocess(pages: DataFrame, stored: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stored`` chunks (id, chunk_index, ...) with those of ``pages`` (id, title, text) cut anew: ``cut`` is the chunker.
+    A page that gives no chunks any more loses its old ones."""
+    return stored.join(pages.select("id").distinct(), "id", "left_anti").unionByName(cut(pages), allowMissingColumns=True)
+
+
 def sync_log(spark: SparkSession, kind: str, status: str, processed: int, failed: int, error: str | None = None) -> DataFrame:
     """One row for the log of runs."""
     row = spark.createDataFrame([(kind, status, processed, failed, error)], "sync_type string, status string, items_processed int, items_failed int, error_message string")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wikiloom.functions import text as tx
 from wikiloom.functions.lexemes import ilike_any, query_prefixes, rank_of_count, term_count, text_hits
 from wikiloom.functions.vectors import cosine, dummy_embedding, l2_distance, l2_normalize, norm, sql_cosine, string_hash
-from wikiloom.operators import context, links, retrieval, tables
+from wikiloom.operators import context, links, retrieval, tables, vector_index
 from wikiloom.operators.blocks import plain_text
 from wikiloom.operators.chunker import chunks as cut_chunks
 from wikiloom.sources import canonical, wiki
@@ -149,9 +149,9 @@ def ag8_sync_counters(spark, d):
     return read_table(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("items"), F.sum(F.when(F.col("value") > 50, 1).otherwise(0)).alias("large"))
 
 
-@query(f"WITH {C} SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM c) AS chunks, (SELECT sum(token_count)::BIGINT FROM c) AS tokens, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS embeddings")
+@query(f"WITH {C} SELECT (SELECT count(*) FROM pages) AS pages, (SELECT max(page_id) FROM pages) AS last_sync, (SELECT count(*) FROM c) AS chunks, (SELECT sum(token_count)::BIGINT FROM c) AS tokens, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS embeddings")
 def ag10_ai_statistics(spark, d):
-    return context.ai_statistics(canonical.pages(spark, d), canonical.chunks(spark, d), canonical.embeddings(spark, d))
+    return context.ai_statistics(canonical.pages(spark, d), canonical.chunks(spark, d), canonical.embeddings(spark, d), "page_id")
 
 
 # Changes of tables
@@ -363,6 +363,14 @@ def vc7_dummy_embedding(spark, d):
     return own.select("page_id", F.round(norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dims"))
 
 
+@query()
+def vc11_index_top_k(spark, d):
+    """The vector index, written and asked; tests/test_tables.py measures its recall."""
+    own = canonical.embeddings(spark, d)
+    index = vector_index.build(own.withColumnRenamed("chunk_id", "id"))
+    return vector_index.top_k(index, first_vector(spark, d)).select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {E} SELECT chunk_id, round(list_distance(embedding, {_COS}), 6) AS distance FROM e ORDER BY list_distance(embedding, {_COS}), chunk_id LIMIT 20")
 def vc12_l2_top_k(spark, d):
     q = retrieval.literal_vector(first_vector(spark, d))

@@ -29,11 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back; removed when the driver's Python ends."""
+def shared_table(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back; removed when the driver's Python ends. ``by``: columns that
+    partition the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wikiloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy(*(by or [])).parquet(path)
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from wikiloom.operators.blocks import page_text
+
 # Fixed values.
 PAGE_LIMIT, ATTACHMENT_LIMIT, LARGEST_FILE, LEAST_TEXT = 50, 100, 26_214_400, 20
 PDF_TYPES = ("application/pdf",)
@@ -23,8 +25,9 @@ Fetch = Callable[[int, int], list[tuple[str, str, str, str, str]]]
 class WikiPages(DataSource):
     """``spark.read.format("wiki_pages")``: one task for each listing page of a wiki; options total, limit, fetch.
 
-    fetch: "module:function", imported on the executors. A failed request fails its task, which is tried again: no
-    listing is cut short in silence.
+    fetch: "module:function", imported on the executors. ``total``, the size that the wiki tells, deals the listing over
+    tasks; the last one goes on until a listing page isn't full, so pages that were added meanwhile, and wikis that tell
+    no size, are read whole. A failed request fails its task, which is tried again: no listing is cut short in silence.
     """
 
     @classmethod
@@ -38,25 +41,63 @@ class WikiPages(DataSource):
         return WikiReader(self.options)
 
 
+def follow(fetch: Callable[[int, int], list], offset: int, limit: int) -> Iterator[tuple]:
+    """The rows of a listing from ``offset`` on, up to a page of it that isn't full."""
+    while True:
+        rows = fetch(offset, limit)
+        yield from rows
+        if len(rows) < limit:
+            return
+        offset += limit
+
+
+def imported(name: str) -> Callable:
+    import importlib
+
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 class WikiReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.where, self.total, self.limit = options["fetch"], int(options["total"]), int(options.get("limit", PAGE_LIMIT))
+        self.where, self.total, self.limit = options["fetch"], int(options.get("total", 0)), int(options.get("limit", PAGE_LIMIT))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(offset) for offset in range(0, self.total, self.limit)]
+        starts = range(0, max(self.total, 1), self.limit)
+        return [InputPartition((offset, offset == starts[-1])) for offset in starts]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import importlib
-
-        module, _, function = self.where.partition(":")
-        yield from getattr(importlib.import_module(module), function)(partition.value, self.limit)
+        offset, last = partition.value
+        fetch = imported(self.where)
+        yield from follow(fetch, offset, self.limit) if last else fetch(offset, self.limit)
 
 
-def read_wiki(spark: SparkSession, fetch: str, total: int, limit: int = PAGE_LIMIT) -> DataFrame:
+def read_wiki(spark: SparkSession, fetch: str, total: int = 0, limit: int = PAGE_LIMIT) -> DataFrame:
     spark.dataSource.register(WikiPages)
     return spark.read.format("wiki_pages").options(fetch=fetch, total=str(total), limit=str(limit)).load()
 
 
+def list_attachments(pages: DataFrame, fetch: str, limit: int = ATTACHMENT_LIMIT) -> DataFrame:
+    """The attachments of each page (external_id): page_external_id, external_id, file_name, media_type, file_size, version,
+    download_url.
+
+    fetch: "module:function" of (page's id, offset, limit), the rest of these columns for each; a page's listing is read to
+    its end, page by page. A failed request fails its task: a listing cut short would make stale deletion remove the rest.
+    """
+    names = ["external_id", "file_name", "media_type", "file_size", "version", "download_url"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = imported(fetch)
+        for frame in frames:
+            for page in frame["external_id"]:
+                rows = list(follow(lambda offset, n, page=page: get(page, offset, n), 0, limit))
+                if rows:
+                    yield pd.DataFrame({"page_external_id": [page] * len(rows)} | {n: [r[i] for r in rows] for i, n in enumerate(names)})
+
+    schema = "page_external_id string, external_id string, file_name string, media_type string, file_size long, version int, download_url string"
+    return pages.select(F.col("external_id").cast("string").alias("external_id")).where("external_id IS NOT NULL").mapInPandas(run, schema)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files with their bytes, those beyond the largest stored size without."""
     return spark.read.format("binaryFile").load(path).withColumn("content", F.when(F.col("length") <= LARGEST_FILE, F.col("content")))
@@ -82,24 +123,25 @@ def is_extractable(media_type: Column, name: Column) -> Column:
 
 
 def extract_text(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """``files`` (media_type, file_name, content) with text and kind. Text is decoded in the JVM; readers for pdf, docx
-    and html are the caller's, run in batches; a kind without a reader, or a file that its reader can't read, gives ''."""
+    """``files`` (media_type, file_name, content) with text and kind. Text is decoded in the JVM, markup read by the page
+    parser; readers for pdf and docx (or others) are the caller's, run in batches; a kind without a reader, or a file that
+    its reader can't read, gives ''."""
     kind = media_class(F.col("media_type"), F.col("file_name"))
     known = files.withColumn("kind", kind).withColumn("text", F.when(kind == "text", F.decode("content", "UTF-8")).otherwise(""))
-    if not readers:
-        return known
+    own = {"html": lambda data: page_text(data.decode("utf-8", "replace"))} | (readers or {})
 
     @F.pandas_udf("string")
     def read(kinds: pd.Series, contents: pd.Series) -> pd.Series:
         def one(k: str, data: bytes | None) -> str:
             try:
-                return readers[k](bytes(data)) if data is not None else ""
+                return own[k](bytes(data)) if k in own and data is not None else ""
             except Exception:
                 return ""
 
         return pd.Series([one(k, c) for k, c in zip(kinds, contents, strict=True)])
 
-    return known.withColumn("text", F.when(F.col("kind").isin(*readers), read("kind", "content")).otherwise(F.col("text")))
+    wanted = F.col("kind").isin(*own)
+    return known.withColumn("text", F.when(wanted, read("kind", F.when(wanted, F.col("content")))).otherwise(F.col("text")))
 
 
 def attachment_pages(attachments: DataFrame, pages: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wikiloom.operators.chunker import ChunkOptions, chunks
+from wikiloom.operators.tables import sync_log
+
+#: Buckets of a sink unless it is given others.
+BUCKETS = 64
 
 
 def hourly(events: DataFrame, late: str = "2 hours", hours: int = 1) -> DataFrame:
@@ -23,21 +27,24 @@ def latest_in_stream(changes: DataFrame, key: str, time: str = "ts", late: str =
     return changes.withWatermark(time, late).dropDuplicatesWithinWatermark([key, time])
 
 
-def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, options: ChunkOptions | None = None, after: Callable[[DataFrame, int], None] | None = None, version: str | None = None) -> StreamingQuery:
+def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, options: ChunkOptions | None = None, after: Callable[[DataFrame, int], None] | None = None, version: str | None = None, buckets: int = BUCKETS, log: str | None = None) -> StreamingQuery:
     """Chunk the pages (id, title, text) of files that weren't seen before and replace these pages' chunks in ``sink``.
 
     The sink is partitioned by a bucket of page ids; a batch rewrites the buckets it touches, so a page's chunks change
-    together. ``checkpoint`` makes each file count once; ``after(chunks, batch)`` is a hook for embedding.
+    together. A batch's buckets are written beside the sink first: if replacing them breaks off, the batch that is tried
+    again starts from what was written, not from a sink that is half replaced. ``buckets`` stays the same for a sink: so
+    many that one fits a task. ``checkpoint`` makes each file count once; ``after(chunks, batch)`` is a hook for
+    embedding. ``log``: a table to which each batch adds its row of the sync log, one that fails too.
 
     Of several rows of a page in a batch the last written counts: that of the latest file (by modification time, then
     path), and in it the last row. With ``version``, a column of ``schema``, that of the greatest version counts, null
     being the least; the chunks keep that column, and a page older than its chunks in the sink is left out. A page
     whose text gives no chunks leaves no version there.
     """
-    buckets = 64
     order = [F.col(c).desc_nulls_last() for c in ([version] if version else []) + ["__written"]]
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets))
 
-    def replace(batch: DataFrame, number: int) -> None:
+    def prepare(batch: DataFrame, pending: str) -> None:
         numbered = batch.withColumn("__number", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
         pages = numbered.where("__number = 1").drop("__number", "__written")
         there = _exists(spark, sink)
@@ -48,23 +55,47 @@ def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, check
         new = chunks(pages, options)
         if version:
             new = new.join(pages.select("id", version), "id")
-        new = new.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-        touched = pages.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")).distinct()
-        out = new
+        out = new = new.withColumn("bucket", bucket)
         if there:
             old = spark.read.schema(new.schema).parquet(sink)
-            kept = old.join(touched, "bucket", "left_semi").join(pages.select("id"), "id", "left_anti")
-            out = new.unionByName(kept)
-        staged = out.checkpoint()  # the sink is read and written
-        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(sink)
-        if after:
-            after(staged.drop("bucket"), number)
+            touched = pages.select(bucket.alias("bucket")).distinct()
+            out = new.unionByName(old.join(touched, "bucket", "left_semi").join(pages.select("id"), "id", "left_anti"))
+        out.write.mode("overwrite").parquet(pending)
+
+    def replace(batch: DataFrame, number: int) -> None:
+        pending = f"{sink.rstrip('/')}-pending/{number}"
+        try:
+            if not _exists(spark, f"{pending}/_SUCCESS"):
+                prepare(batch, pending)
+            staged = spark.read.parquet(pending)
+            staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(sink)
+            if after:
+                after(staged.drop("bucket"), number)
+            _note("completed", batch.select("id").distinct().count(), 0)
+        except Exception as e:
+            _note("failed", 0, batch.select("id").distinct().count(), str(e)[:1000])
+            raise
+        _delete(spark, pending)
+
+    def _note(status: str, processed: int, failed: int, error: str | None = None) -> None:
+        if log:
+            sync_log(spark, "incremental", status, processed, failed, error).write.mode("append").parquet(log)
 
     written = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index").alias("__written")
     stream = spark.readStream.schema(schema).parquet(source).select("*", written)
     return stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _files(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, where = _files(spark, path)
+    return files.exists(where)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, where = _files(spark, path)
+    files.delete(where, True)
