@@ -52,6 +52,36 @@ def test_markup_that_breaks_off():
     assert [b.text for b in blocks("a < b & c<p>x</p y>z<!-- <p>no</p> -->w<br/>v")] == ["a < b & c", "x", "zw v"]
 
 
+def test_what_an_article_is_about_is_no_name_against_it():
+    page = "<body><nav><a href=/>Home</a></nav><article class='post category-social tag-download register'><p>A whole paragraph about social matters stands here, with sense.</p><div class='share'>Share this with all your friends now.</div></article></body>"
+    assert main_text(page) == ["A whole paragraph about social matters stands here, with sense."]
+
+
+#: Pages by parts: (markup, text of it that belongs to the article or None).
+PARTS = [
+    ("<header><a href=/>Site name</a><ul><li><a href=/a>News</a></li><li><a href=/b>Sport</a></li></ul></header>", None),
+    ("<div class='cookie-banner'><p>We use cookies on this site to make it better for all of you.</p></div>", None),
+    ("<h1>The title of it</h1>", "The title of it"),
+    ("<p>The council met on Monday and decided, after long talks, to keep the old bridge open.</p>", "The council met on Monday and decided, after long talks, to keep the old bridge open."),
+    ("<div class='ad'>Cheap flights, book today and save a lot of money on them.</div>", None),
+    ("<p>Nobody had asked the people who live near it; they were glad all the same.</p>", "Nobody had asked the people who live near it; they were glad all the same."),
+    ("<blockquote>It was high time that somebody did something about it, she said.</blockquote>", "It was high time that somebody did something about it, she said."),
+    ("<ul><li>The bridge was built in the year the mill burned down.</li></ul>", "The bridge was built in the year the mill burned down."),
+    ("<form><label>Your mail</label><p>Send us your mail address and we will write to you.</p><input></form>", None),
+]
+TAILS = [("<aside><h3>Most read</h3><p>Ten things that you did not know about the town hall.</p></aside>", None), ("<div id='comments'><p>I like this article and I have told all my friends about it.</p></div>", None), ("<footer><p>All rights reserved, and all wrongs too, by us.</p></footer>", None)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_labelled_pages(seed):
+    rng = random.Random(seed)
+    head, body = PARTS[:2], [p for p in PARTS[2:] if rng.random() < 0.8 or p[1]]
+    opening, closing = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-content'>", "</div>"), ("<div>", "</div>")])
+    tails = rng.sample(TAILS, 2)
+    page = "<html><head><title>t</title></head><body>" + "".join(m for m, _ in head) + opening + "".join(m for m, _ in body) + closing + "".join(m for m, _ in tails) + "</body></html>"
+    assert main_text(page) == [t for _, t in body if t]
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "c"), (2, None, None, "c"), (None, "u", "", "c"), (1, "u", PAGE, "c"), (4, "u", "<nav><a>x</a></nav>", "c"), (5, "u", "<article>" + "<p>Some words stand here.</p>" * 20_000 + "</article>", "c")]
     got = extract_main(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

@@ -38,6 +38,8 @@ APART = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "fieldset": -
 ROLE = {"navigation": -9.0, "banner": -9.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "dialog": -9.0, "alertdialog": -9.0, "alert": -6.0, "menu": -9.0, "menubar": -9.0, "form": -9.0, "main": 3.0, "article": 3.0}
 NAMED_AGAINST = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar sidebar side rail aside footer foot cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login signin register social share sharing related recommended recommendations trending popular comment comments commentlist disqus reply replies respond discussion breadcrumb breadcrumbs pagination pager popup modal overlay toolbar widget widgets copyright legal disclaimer masthead skip paywall donate download".split())
 NAMED_FOR = frozenset("article content entry post story main text body prose".split())
+#: Names that begin so tell what a page is about, not what a part of it is for.
+ABOUT = frozenset(("category", "tag"))
 HEADER = frozenset(("header", "head", "top", "topbar", "site"))
 SMALL_PRINT = re.compile(r"©|\ball rights reserved\b|\bcopyright\b", re.I)
 BIAS, LINKS, LONG, SENTENCE, SHORT, PRINT = -1.2, -5.0, 0.9, 0.6, -0.8, -2.0
@@ -80,8 +82,10 @@ def _element(name: str, attributes: str, number: int, parent: Element | None) ->
         if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in style:
             out.hidden = True
         if name not in ("html", "body"):
-            named = {p.lower() for p in PART.findall(values.get("class", "") + " " + values.get("id", ""))}
-            if named & NAMED_AGAINST or (named & HEADER and not out.inside and name not in ("h1", "h2")):
+            names = [[p.lower() for p in PART.findall(n)] for n in (values.get("class", "") + " " + values.get("id", "")).split()]
+            named = {p for parts in names if parts and parts[0] not in ABOUT for p in parts}
+            whole = name in ("article", "main") or role in ("main", "article")  # what it is says more than what it is called
+            if not whole and (named & NAMED_AGAINST or named & HEADER and not out.inside and name not in ("h1", "h2")):
                 odds -= 9.0
             elif named & NAMED_FOR:
                 odds += 1.5
