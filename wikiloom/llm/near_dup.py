@@ -30,9 +30,9 @@ BINS = BANDS * ROWS
 #: Bits of the filter of ids (1 MB), in maps of the size that Spark's bitmap functions have.
 FILTER_BITS, MAP_BITS = 1 << 23, 1 << 15
 #: A block of a bucket's members has about so many bytes of shingles, and members, at most.
-BLOCK_BYTES, BLOCK_MEMBERS = 1 << 20, 512
+BLOCK_BYTES, BLOCK_MEMBERS = 1 << 18, 128
 #: So many of a bucket's blocks meet all its blocks in one task; a bucket with more is dealt over several.
-BLOCKS_A_PART = 4
+BLOCKS_A_PART = 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a Python worker keeps.
 WORD_CACHE = 100_000
