@@ -26,16 +26,20 @@ LONGEST_CACHED = 48
 
 
 class PieceEncoder:
-    """Encodes texts with one tokenizer file. ``cache_size`` bounds the cached pieces, ``batch_bytes`` a library call."""
+    """Encodes texts with one tokenizer file. ``cache_size`` bounds the cached pieces, ``batch_bytes`` a library call.
 
-    def __init__(self, path: str, cache_size: int = 100_000, batch_bytes: int = 1 << 20):
+    Half of the cache holds the pieces seen last; when it is full it becomes the other half, from which a piece that is
+    seen again comes back. So words stay and pieces that occur once go.
+    """
+
+    def __init__(self, path: str, cache_size: int = 160_000, batch_bytes: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[str, bytes] = {}
+        self.halves: dict[str, dict[str, bytes]] = {"new": {}, "old": {}}
         self.cache_size, self.batch_bytes = cache_size, batch_bytes
 
     def _library(self, texts: Iterable[str]) -> Iterator[tuple[str, bytes]]:
@@ -52,15 +56,23 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        own_cache(self.cache, self.cache_size)
+        own_cache(self.halves, 2)
+        if not self.halves:
+            self.halves |= {"new": {}, "old": {}}
         waiting: list[tuple[list[str], list[bytes | None]]] = []
         missing: set[str] = set()
         held = 0
         for text in texts:
             pieces = [text] if OTHER_SPACE.search(text) else PIECE.findall(text)
-            ids = list(map(self.cache.get, pieces))
+            new, old = self.halves["new"], self.halves["old"]
+            ids = list(map(new.get, pieces))
             if None in ids:
-                missing.update(p for p, x in zip(pieces, ids, strict=True) if x is None)
+                for i, x in enumerate(ids):
+                    if x is None:
+                        if (x := old.get(pieces[i])) is None:
+                            missing.add(pieces[i])
+                        else:
+                            ids[i] = new[pieces[i]] = x
             waiting.append((pieces, ids))
             held += len(text)
             if held > 4 * self.batch_bytes:
@@ -72,7 +84,9 @@ class PieceEncoder:
         new = dict(self._library(missing))
         for pieces, ids in waiting:
             yield b"".join([new[p] if x is None else x for p, x in zip(pieces, ids, strict=True)] if None in ids else ids)
-        self.cache.update((p, x) for p, x in new.items() if len(p) <= LONGEST_CACHED)
+        self.halves["new"].update((p, x) for p, x in new.items() if len(p) <= LONGEST_CACHED)
+        if len(self.halves["new"]) > self.cache_size // 2:
+            self.halves |= {"new": {}, "old": self.halves["new"]}
 
 
 @lru_cache(maxsize=2)
