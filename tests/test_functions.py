@@ -2,7 +2,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from wikiloom.functions import lexemes, text, vectors
+from wikiloom.functions import english, lexemes, text, vectors
+from wikiloom.operators import retrieval
 
 
 def one(spark, column, value=None, kind="string"):
@@ -106,3 +107,28 @@ def test_hard_split_of_a_long_text(spark):
     start = time.time()
     assert len(one(spark, lambda c: text.hard_pieces(c, 300), "word " * 80_000)) == 534
     assert time.time() - start < 10
+
+
+STEMS = """consigned consign consistency consist consolatory consolatori consolingly consol conspicuously conspicu
+conspirators conspir constables constabl knackeries knackeri kneaded knead knightly knight knitting knit knives knive
+generously generous generate generat communication communic ties tie cries cri gas gas this this kiwis kiwi hoping hope
+hopping hop luxuriated luxuri say say happy happi rational ration relational relat agreed agre feed feed skies sky
+proceeds proceed inning inning controlled control geology geolog dying die by by youth youth a a""".split()
+
+
+def test_stems(spark):
+    pairs = list(zip(STEMS[::2], STEMS[1::2], strict=True))
+    df = spark.createDataFrame([*pairs, (None, None)], "word string, want string")
+    assert [r["word"] for r in df.where(~english.stems("word").eqNullSafe(F.col("want"))).collect()] == []
+    assert english.question_stems("Do the Knights' knives knit, knitting?") == ["knight", "knive", "knit"]
+
+
+def test_search_by_stems(spark):
+    texts = ["The knights hoped; a KNIGHT hopes", "knight", "hoping knights, hopping", None, "", "the of and"]
+    pages = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(2, None, "x")], "page_id long, content string, stem string")
+    rank = lambda n: sum(0.1 / j**2 for j in range(1, n + 1)) / 1.64493406685
+    got = [(r["page_id"], round(r["rank"], 9)) for r in retrieval.search_english(pages, "the hope of knights").collect()]
+    assert got == [(0, round(2 * rank(2), 9)), (2, round(2 * rank(1), 9))]
+    for nothing in ("of the", ""):
+        assert retrieval.search_english(pages, nothing).count() == 0
+    assert retrieval.search_english(pages.limit(0), "knights").count() == 0

@@ -10,6 +10,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wikiloom.functions.english import meaningful, question_stems, stems
 from wikiloom.functions.lexemes import WEIGHT_A, WEIGHT_B, WEIGHT_D, ilike_any, lexemes, like_patterns, query_prefixes, rank_of_count, term_count, text_hits
 from wikiloom.functions.text import excerpt, slugify
 from wikiloom.functions.vectors import cosine
@@ -82,6 +83,21 @@ def search_pages(pages: DataFrame, question: str, id_col: str = "page_id") -> Da
     return counted.where(every | F.col("held")).select(id_col, "title", rank.alias("rank")).orderBy(F.col("rank").desc(), id_col)
 
 
+def search_english(pages: DataFrame, question: str, id_col: str = "page_id", text_col: str = "content") -> DataFrame:
+    """(id, rank): pages that hold the stem of every word of the question, stop words aside, by frequency rank.
+
+    Only lexemes that begin like one of the stems are kept, and each is stemmed once for a page. A question of stop words
+    finds nothing; null texts hold no words.
+    """
+    wanted = question_stems(question)
+    first = sorted({w[0] for w in wanted})
+    words = pages.select(id_col, F.explode(lexemes(F.col(text_col))).alias("word")).where(F.substring("word", 1, 1).isin(*first) & meaningful(F.col("word")))
+    counted = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n")).withColumn("stem", stems(F.col("word")))
+    held = counted.where(F.col("stem").isin(*wanted)).groupBy(id_col, "stem").agg(F.sum("n").cast("int").alias("n"))
+    ranked = held.groupBy(id_col).agg(F.count(F.lit(1)).alias("stems"), F.sum(rank_of_count(F.col("n"))).alias("rank"))
+    return ranked.where(F.col("stems") == len(wanted)).select(id_col, "rank").orderBy(F.col("rank").desc(), id_col)
+
+
 def _ranked(branch: DataFrame, id_col: str, weight: float, name: str) -> DataFrame:
     rank = F.row_number().over(Window.orderBy(F.col("score").desc(), id_col))
     ranked = branch.withColumn(name, rank)  # the branch has its limit: these are CANDIDATES rows

@@ -26,6 +26,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: The question of the retrieval queries; its vector is that of the first row of embeddings.
 QUESTION = "the and"
+ENGLISH_QUESTION = "of these things"
 
 _TITLE = r"regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')".replace('\\"', '"')
 _WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
@@ -322,6 +323,11 @@ def ft10_search_pages(spark, d):
     return retrieval.search_pages(canonical.text_pages(spark, d), QUESTION).select("page_id", "title", F.round("rank", 5).alias("rank"))
 
 
+@query()
+def ft2_english_search(spark, d):
+    return retrieval.search_english(canonical.text_pages(spark, d), ENGLISH_QUESTION).select("page_id", F.round("rank", 6).alias("rank"))
+
+
 @query(f"WITH {T} SELECT page_id, 0.1::DOUBLE AS score FROM t WHERE title ILIKE '%of%' OR content ILIKE '%of%' ORDER BY page_id DESC LIMIT 20")
 def ft11_substring_fallback(spark, d):
     return retrieval.substring_fallback(canonical.text_pages(spark, d), "of")
