@@ -6,8 +6,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from wikiloom.llm.packing import SEQUENCE, conversation_examples, document_pieces, fill_bins, pack, pack_documents
+from wikiloom.llm.packing import INSTRUCTION_LOSS, SEQUENCE, conversation_examples, document_pieces, fill_bins, pack, pack_documents
 from wikiloom.llm.pieces import PieceEncoder
+from wikiloom.llm.queries import QUERIES
 from wikiloom.llm.token_counts import token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,6 +84,30 @@ def test_conversations_respect_loss_limit(spark):
     assert len(packed) == 41 and (by.length <= 1024).all() and (by.loss <= 200).all() and (by.n <= 3).all()
 
 
+def test_conversations_query(spark, library, tmp_path):
+    rng = random.Random(4)
+    turns = [(c, t, rng.choices(["assistant", "user", "system", None], [7, 1, 1, 1])[0], " ".join(rng.choices(["the", "tion", "öst"], k=rng.randint(0, 600))), "clash") for c in range(120) for t in range(rng.randint(1, 5))]
+    turns += [(500, 0, "assistant", "word " * 5000, "clash"), (501, 0, "user", "word " * 3000, "clash"), (502, 0, None, None, "clash"), (None, 0, "assistant", "a", None), (0, 0, "assistant", "again", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, length string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["packing_conversations"](spark, str(tmp_path)).toPandas()
+    want = {}
+    for conv, _, role, text, _ in turns:
+        n = len(ids(library, text)) + 1
+        length, loss = want.get(conv, (0, 0))
+        want[conv] = (length + n, loss + n * (role == "assistant"))
+    have = {None if np.isnan(c) else int(c): (n, loss) for c, n, loss in zip(got.conv_id, got.length, got.loss, strict=True)}
+    assert have == want and len(got) == len(want)
+    by_loss = 0
+    for _, rows in got.groupby("sequence_id"):
+        rows = rows.sort_values("offset")
+        assert rows.offset.tolist() == (rows.length.cumsum() - rows.length).tolist()
+        assert len(rows) == 1 or rows.length.sum() <= SEQUENCE and rows.loss.sum() <= INSTRUCTION_LOSS
+        by_loss += len(rows) > 1 and rows.loss.sum() > INSTRUCTION_LOSS - 200 and rows.length.sum() < SEQUENCE - 200
+    assert by_loss  # some sequences are full by loss, with room for tokens
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert QUERIES["packing_conversations"](spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pieces_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "same text")] * 3, "doc_id long, text string")
     assert document_pieces(df, PATH).count() == 3

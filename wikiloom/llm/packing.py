@@ -23,6 +23,8 @@ from wikiloom.llm.token_counts import slices
 
 SEQUENCE = 2048
 SEGMENTS = 256
+#: Loss-bearing tokens of a sequence of instruction data.
+INSTRUCTION_LOSS = 1536
 #: Examples that a task places against each other at once.
 BLOCK = 4096
 #: A bin with at least this share of its tokens filled is not opened again.
@@ -167,3 +169,12 @@ def conversation_examples(turns: DataFrame, path: str, roles: tuple[str, ...] =
     loss = F.when(F.col("key.role").isin(*roles), F.col("length")).otherwise(0)
     summed = counted.groupBy(F.col("key.conv_id").alias("conv_id")).agg(F.sum("length").alias("length"), F.sum(loss).alias("loss"))
     return summed.withColumn("deal", F.xxhash64("conv_id"))
+
+
+def pack_conversations(turns: DataFrame, path: str, size: int = SEQUENCE, max_loss: int = INSTRUCTION_LOSS, max_segments: int = SEGMENTS) -> DataFrame:
+    """Pack whole conversations under all three limits: conv_id, length, loss, sequence_id, offset.
+
+    Conversations aren't cut: one beyond ``size`` or ``max_loss`` has a sequence of its own. A null conv_id is a
+    conversation; repeated turns count each; an empty table gives no rows; other columns are not read.
+    """
+    return pack(conversation_examples(turns, path), {"length": size, "loss": max_loss}, "length", max_segments)

@@ -12,7 +12,7 @@ from wikiloom.llm.ann import nearest
 from wikiloom.llm.html_main import extract_main
 from wikiloom.llm.mixing import mix
 from wikiloom.llm.near_dup import near_duplicates
-from wikiloom.llm.packing import pack_documents
+from wikiloom.llm.packing import pack_conversations, pack_documents
 from wikiloom.llm.pii import KINDS as PII_KINDS
 from wikiloom.llm.pii import pii_counts, pseudonymous
 from wikiloom.llm.quality import score_quality
@@ -34,6 +34,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 on instruction data, where the limit of loss-bearing tokens binds."""
+    return pack_conversations(read_table(spark, sf_dir, "conversations"), public_tokenizers.path(TOKENIZER))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_top_k": op10_top_k,
+    "packing_conversations": packing_conversations,
 }
 
 _FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
