@@ -70,6 +70,32 @@ def test_large_mixed_buckets_in_parts(spark, monkeypatch):
     assert got == brute(rows, 85)
 
 
+def test_large_mixed_buckets_by_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LARGE_BUCKET", 3)
+    for seed, numerator in ((9, 85), (10, 80)):
+        rows = corpus(seed)
+        rows += [(rows[i][0], rows[i + 1][1], "", "") for i in range(0, 20, 5)]  # ids of two texts
+        once = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), numerator=numerator, bands=60, rows=1).select("doc_id", "component_id").distinct().collect()
+        monkeypatch.setattr(near_dup, "LARGE_BUCKET", 1 << 40)
+        whole = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), numerator=numerator, bands=60, rows=1).select("doc_id", "component_id").distinct().collect()
+        monkeypatch.setattr(near_dup, "LARGE_BUCKET", 3)
+        assert sorted(once) == sorted(whole)
+        plain = corpus(seed)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(plain, SCHEMA).repartition(3), numerator=numerator, bands=60, rows=1).collect()}
+        assert got == brute(plain, numerator)
+
+
+def test_rare_keys_split_a_common_passage(spark):
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 2**63, 60).astype(np.uint64)
+    held = [np.unique(np.r_[passage, rng.integers(0, 2**63, 40).astype(np.uint64)]) for _ in range(80)]
+    held[7] = np.unique(np.r_[held[6][:97], held[6][97:] + np.uint64(1)])
+    rows = [(i, bytearray(x.tobytes())) for i, x in enumerate(held)]
+    members = spark.createDataFrame([(i, i) for i in range(80)], "id long, component long")
+    got = near_dup.rare_keys(members, spark.createDataFrame(rows, "id long, shingles binary"), 85).collect()
+    assert {r["id"] for r in got} == {6, 7}  # the others share the passage alone, which is frequent
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "a b c d e f", "", ""), (7, "x y", "", ""), (7, "x y", "", ""), (6, "x y", "", ""), (8, None, "", "")]
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())

@@ -5,7 +5,9 @@ class's signature comes from one pass over its shingles: a shingle's hash picks
 value, an empty bin borrows from the full bin that a universal hash of (bin, attempt) hits first. Bands of the
 signature are buckets; in each, every member is compared with the bucket's least member only, so pairs grow with the
 members. All links are confirmed on full shingle sets. Where a bucket still holds members of different components,
-these meet in blocks inside tasks: no pair that shares a bucket goes unseen, and no pairs are emitted but links.
+these meet in blocks inside tasks: no pair that shares a bucket goes unseen, and no pairs are emitted but links. A large
+bucket, as a passage that many documents share fills it, is first split by its members' rare shingles: two sets as similar
+as wanted share one of the least frequent shingles of each.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ FILTER_BITS, MAP_BITS = 1 << 23, 1 << 15
 BLOCK_BYTES, BLOCK_MEMBERS = 1 << 18, 128
 #: So many of a bucket's blocks meet all its blocks in one task; a bucket with more is dealt over several.
 BLOCKS_A_PART = 16
+#: A mixed bucket of more members is compared by their rare shingles instead of as a whole.
+LARGE_BUCKET = 256
+#: Slots of the table of shingle frequencies, a byte each whatever the corpus.
+SLOT_BITS = 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a Python worker keeps.
 WORD_CACHE = 100_000
@@ -179,6 +185,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def shingle_levels(own: DataFrame) -> np.ndarray:
+    """For each slot, by a shingle's first SLOT_BITS bits, the binary logarithm of how often its shingles occur in ``own``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 0):
+                values = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+                slot, n = np.unique(values >> np.uint64(64 - SLOT_BITS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+    counted = own.select("shingles").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = counted.select("slot", F.floor(F.log2("n")).cast("byte").alias("level")).toArrow()  # a row a slot at most
+    levels = np.zeros(1 << SLOT_BITS, np.uint8)
+    levels[table["slot"].to_numpy()] = table["level"].to_numpy()
+    return levels
+
+
+def rare_keys(members: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
+    """(key, id, component): groups of members (id, component) such that any two that are to be linked share a group.
+
+    A member's keys are its least frequent shingles, by one order for all: of n shingles so many that a set with
+    numerator / 100 of them in common has one of these among its own keys. Groups of one component go, and of groups with
+    the same members one stays.
+    """
+    own = shared_table(sets.join(members, "id").select("id", "component", "shingles"), "near-wide")
+    levels = shingle_levels(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 2):
+                keys = []
+                for packed in batch.column(2).to_pylist():
+                    values = np.frombuffer(packed, np.uint64)
+                    n = len(values)
+                    order = np.argsort(levels[values >> np.uint64(64 - SLOT_BITS)], kind="stable")  # values are sorted
+                    keys.append(values[order[: n + 1 - -(-numerator * n // 100)]].view(np.int64))
+                row = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(row), batch.column(1).take(row)], names=["key", "id", "component"])
+
+    posted = shared_table(own.mapInArrow(run, "key long, id long, component long"), "near-rare")
+    marks = []
+    for seed in (1, 2):  # sums that tell multisets of ids apart
+        mark = F.xxhash64("id", F.lit(seed))
+        marks += [F.sum(F.shiftrightunsigned(mark, 32)).alias(f"high{seed}"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias(f"low{seed}")]
+    groups = posted.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"), *marks).where("least != most")
+    once = shared_table(groups.groupBy("n", "high1", "low1", "high2", "low2").agg(F.min("key").alias("key")).select("key"), "near-groups")
+    drop_shared(own)
+    return posted.join(once, "key").distinct()
+
+
 def block_links(open_: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     """Links between members (key, id, component) of a bucket that are of different components.
 
@@ -276,6 +332,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = shared_table(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"), "near-mixed")
     open_ = shared_table(placed.join(mixed, "key"), "near-open")
     if not open_.isEmpty():
+        large = shared_table(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_BUCKET).select("key"), "near-large")
+        if not large.isEmpty():
+            wide = open_.join(large, "key", "left_semi").select("id", "component").distinct()
+            open_ = open_.join(large, "key", "left_anti").select("key", "id", "component").union(rare_keys(wide, sets, numerator).select("key", "id", "component"))
+            open_ = shared_table(open_, "near-open")
         links = links.union(block_links(open_, sets, numerator))
         found = shared_table(components(copies.union(links)), "near-components")
     out = sketched.select("id", "n_shingles").join(found.withColumnRenamed("node", "id"), "id", "left")
