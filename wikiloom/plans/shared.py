@@ -29,15 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, for files that no table holds; removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/wikiloom/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_all)
+    _written.append((spark, path))
+    return path
+
+
 def shared_table(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back; removed when the driver's Python ends. ``by``: columns that
     partition the files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wikiloom/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy(*(by or [])).parquet(path)
-    if not _written:
-        atexit.register(_remove_all)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
