@@ -1,15 +1,18 @@
 """Main text, quality, secrets and personal values."""
 
 import hashlib
+import ipaddress
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
 from wikiloom.llm.html_main import blocks, extract_main, main_text, min_cut
-from wikiloom.llm.pii import ALL, luhn, permute, pii_counts, pseudonym, pseudonymise, pseudonymous
+from wikiloom.llm.pii import luhn, permute, pii_counts, pseudonym, pseudonymise, pseudonymous
 from wikiloom.llm import quality
 from wikiloom.llm.quality import DIMS, HIDDEN, SLOTS, Network, context_sums, of_quality, pool, score_quality, slots, sparse_index
 from wikiloom.llm.queries import QUERIES
@@ -262,7 +265,7 @@ def test_values_keep_their_format():
         assert text[a:b] not in new, kind
     again, same = pseudonymise(new, KEY)
     assert [k for k, *_ in same] == [k for k, *_ in found] and again != new
-    parts = [m[0] for m in ALL.finditer(new)]
+    parts = [new[a:b] for _, a, b in same]
     assert luhn(parts[1][:-1]) == int(parts[1][-1]) and parts[2].replace("-", "") == parts[1]
     assert re.fullmatch(r"[A-Z]{2}\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", parts[3])
     assert parts[8].split("-") == parts[9].split(".")[::-1]
@@ -297,6 +300,74 @@ def test_values_before_another_number(value, kind, after, next_kinds):
     assert next_kinds or new[4 + len(value) :] == f"{after} there"
 
 
+BEFORE = ("12 ", "Order 7 ", "2024 ", "1999 ", "12-", "4000 ", "123 45 6789 ", "(555) 123-4567 ", "+1 ", "no.", "DE89 ", "")
+AFTER = ("", " 123", " 12/26", " 1226", " 4000", " 192.168.0.1", "-9", ".", ".5", " 2024-05-01")
+
+
+def cards_like(seed, n):
+    rnd = random.Random(seed)
+    for _ in range(n):
+        body = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        yield body + str(luhn(body))
+
+
+@pytest.mark.parametrize("before", BEFORE)
+def test_no_digit_of_a_card_stays(before):
+    """Whatever stands beside a card, each of its digits is in a replaced value; where that isn't a group of four digits
+    that could begin or end a card itself, the card has its own pseudonym."""
+    for after in AFTER:
+        for bare in cards_like(len(before) * 31 + len(after), 60):
+            for card in (bare, " ".join(bare[i : i + 4] for i in range(0, 16, 4)), "-".join(bare[i : i + 4] for i in range(0, 16, 4))):
+                new, found = pseudonymise(f"{before}{card}{after} x", KEY)
+                covered = {i for _, a, b in found for i in range(a, b)}
+                assert covered >= {len(before) + i for i, c in enumerate(card) if c.isdigit()}, (before, card, after)
+                assert before in ("4000 ", "123 45 6789 ", "(555) 123-4567 ", "DE89 ") or after in (" 1226", " 4000") or pseudonym("card", card, KEY) in new, (before, card, after)
+
+
+def plain_detector(text):
+    """Card numbers in fours or unbroken, social security numbers and addresses, by patterns of their own."""
+    out = []
+    for m in re.finditer(r"(?<![\w.+-])(?=(\d{4} \d{4} \d{4} \d{4}|\d{16}|\d{3}-\d{2}-\d{4})(?![\w-]|\.\d))", text):
+        digits = [int(c) for c in m[1] if c.isdigit()]
+        if len(digits) == 9:
+            out += [m.span(1)] * (0 < int(m[1][:3]) < 900 and m[1][:3] != "666" and m[1][4:6] != "00" and m[1][7:] != "0000")
+        elif digits[0] == 4 and sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0:
+            out.append(m.span(1))
+    return out
+
+
+def test_against_a_plain_detector():
+    rnd = random.Random(8)
+    bits = [*cards_like(5, 30), *(" ".join(c[i : i + 4] for i in range(0, 16, 4)) for c in cards_like(6, 30)), "123-45-6789", "078-05-1120", "2024", "12", "4000", "words", "7.5", "x-1", "1.2.3.4", ", ", "ann@x.org", "12:30", "2020-01-01"]
+    for _ in range(3000):
+        text = " ".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 9)))
+        _, found = pseudonymise(text, KEY)
+        covered = {i for _, a, b in found for i in range(a, b)}
+        assert all(b1 <= a2 for (_, _, b1), (_, a2, _) in itertools.pairwise(found))
+        for a, b in plain_detector(text):
+            assert covered >= {i for i in range(a, b) if text[i].isdigit()}, text[a:b] + " in " + text
+
+
+def test_other_spellings():
+    for text, kinds in {
+        "SSN: 123 45 6789 or 123 45 6789": ["ssn"], "Social Security Number 123 45 6789.": ["ssn"], "at 2001:db8::8a2e:370:7334, 12:30:45": ["ip"], "mac 00:1a:2b:3c:4d:5e ::1": [],
+        "4111 11 1111 11 1111 11": [], "41 11 11 11 11 11 11 11": ["card"], "12 34 56 78 90 12 34 56 78 90 12 34": [], "4111111111111111x 4111111111111111_": [], "ref-4111111111111111": ["card"],
+    }.items():
+        assert [k for k, *_ in pseudonymise(text, KEY)[1]] == kinds, text
+    six = ["2001:db8::8a2e:370:7334", "FE80:0:0:0:202:B3FF:FE1E:8329"]
+    for v in six:
+        n = pseudonym("ip", v, KEY)
+        assert n != v and ipaddress.IPv6Address(n) and pseudonym("ip", n, KEY, back=True) == v
+    assert pseudonym("rest", pseudonym("rest", "0123", KEY), KEY, back=True) == "0123"
+
+
+@pytest.mark.parametrize("text", ["1 ", "12 ", "1234 ", "1234567890123456 ", "1", "1.2.3.", "1:2:", "+1 2 3 ", "AA11 AAAA ", "a.b", "12-"])
+def test_numbers_take_linear_time(text):
+    start = time.process_time()
+    pseudonymise(text * (200_000 // len(text)), KEY)
+    assert time.process_time() - start < 3
+
+
 def test_card_before_any_address():
     for first in range(1, 256):
         found = pseudonymise(f"{CARD} {first}.168.0.1", KEY)[1]

@@ -5,6 +5,9 @@ numbers, addresses of machines, social security numbers, dates, mail addresses)
 format: a keyed Feistel network permutes the value within the numbers of its format. So the replacement is valid again,
 equal values stay linked across documents, different ones stay different, and who holds the key can turn them back
 (``pseudonym`` with back=True).
+
+A text is read three times: for values that their signs, letters or check digits tell apart; then for cards, among the
+digit groups that these left, by the way cards are grouped; then for telephone numbers in what remains.
 """
 
 from __future__ import annotations
@@ -12,9 +15,12 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import ipaddress
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,19 +36,30 @@ DAY_ZERO, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to the end of 2
 
 MAIL = r"(?P<email>(?<![\w.+-])[\w.+-]*\w@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))"
 IBAN = r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-CARD = r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 SSN = r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
+#: With blanks only where it is named.
+SSN_NAMED = r"(?<!\w)(?:[Ss][Ss][Nn]|[Ss]ocial [Ss]ecurity(?: [Nn]umber)?)(?: is)?[ :#]{1,3}(?P<named>\d{3} \d{2} \d{4}(?![\w-]))"
 DATE = r"(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d))"
 IP = r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
+IP6 = r"(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d))"
 PHONE = r"(?P<phone>(?<![\w+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-]))"
 INTERNATIONAL = r"(?P<abroad>(?<![\w+])\+\d{1,3}(?:[ .-]?\d){7,12}(?![\w-]))"
-PATTERNS = (MAIL, IBAN, SSN, DATE, IP, INTERNATIONAL, CARD, PHONE)
-#: One pass over a text; where two could start, the one listed first.
-ALL = re.compile("|".join(PATTERNS))
-EACH = tuple(map(re.compile, PATTERNS))
+#: What is looked for first, and last; where two of the first could start, the one listed first.
+FIRST, LAST = (MAIL, IBAN, SSN, SSN_NAMED, DATE, IP, IP6), (INTERNATIONAL, PHONE)
+FIRST_ANY, LAST_ANY = re.compile("|".join(FIRST)), re.compile("|".join(LAST))
+EACH = {FIRST_ANY: tuple(map(re.compile, FIRST)), LAST_ANY: tuple(map(re.compile, LAST))}
+KIND_OF = {"abroad": "phone", "named": "ssn", "ip6": "ip"}
+#: Digit groups that blanks or hyphens join, and how the digits of a card are grouped, the commonest first.
+RUN, GROUP = re.compile(r"(?<!\w)[0-9]+(?:[ -][0-9]+)*"), re.compile(r"[0-9]+")
+SHAPES = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (4, 4, 4, 1), (4, 3, 3, 3), (4, 4, 5), (6, 13), (6, 10), (8, 8), (4, 12), (4, 4, 8), (4, 8, 4), (8, 4, 4))
+CARD_DIGITS = range(13, 20)
+#: First digits that card issuers have.
+ISSUED = re.compile(r"[346]|5[0-8]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720")
 #: Characters of an account number by country.
 _SIZES = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
 IBAN_SIZES = {x[:2]: int(x[2:]) for x in _SIZES.split()}
+#: The digit sum of twice a digit.
+DOUBLED = {str(d): d * 2 - 9 * (d > 4) for d in range(10)}
 DECIMALS = re.compile(r"\.\d")
 
 
@@ -72,7 +89,7 @@ def _mask(half: int, r: int, key: bytes, name: str, size: int) -> int:
 
 def luhn(digits: str) -> int:
     """The check digit that makes ``digits`` + it valid."""
-    total = sum(d * 2 - 9 * (d > 4) if i % 2 == 0 else d for i, d in enumerate(int(c) for c in reversed(digits)))
+    total = sum(map(DOUBLED.__getitem__, digits[::-2])) + sum(map(int, digits[-2::-2]))
     return -total % 10
 
 
@@ -123,6 +140,8 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
         size = 10 ** (len(digits) - 1)
         body = f"{permute(int(digits[:-1]), size, key, 'card', back, bool):0{len(digits) - 1}d}"
         return spread(value, body + str(luhn(body)))
+    if kind == "rest":
+        return f"{permute(int(value), 10 ** len(value), key, 'rest', back):0{len(value)}d}"
     if kind == "iban":
         bare = value.replace(" ", "")
         if not 15 <= len(bare) <= 34 or int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 != 1:
@@ -130,15 +149,16 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
         account = mixed(bare[4:], key, "iban", back)
         return spread(value, bare[:2] + iban_check(bare[:2], account) + account)
     if kind == "ssn":
-        area, group, serial = (int(x) for x in value.split("-"))
+        sign = value[3]
+        area, group, serial = (int(x) for x in value.split(sign))
         if not 0 < area < 900 or area == 666 or not group or not serial:
             return None
         number = permute(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key, "ssn", back)
         rest, serial = divmod(number, 9999)
         area, group = divmod(rest, 99)
-        return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+        return f"{area + 1 + (area >= 665):03d}{sign}{group + 1:02d}{sign}{serial + 1:04d}"
     if kind == "ip":
-        return _address(value, key, back)
+        return _address6(value, key, back) if ":" in value else _address(value, key, back)
     if kind == "date":
         return _date(value, key, back)
     if not 7 <= len(digits) <= 15:
@@ -172,6 +192,21 @@ def _address(value: str, key: bytes, back: bool) -> str | None:
     return ".".join(reversed(out))
 
 
+def _address6(value: str, key: bytes, back: bool) -> str | None:
+    """The hexadecimal digits of an address of machines are permuted where they stand; in small letters, unless it has
+    capitals."""
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    digits = value.replace(":", "")
+    if len([x for x in value.split(":") if x]) < 3:
+        return None
+    number = permute(int(digits, 16), 16 ** len(digits), key, "ip6", back)
+    new = f"{number:0{len(digits)}x}"
+    return spread(value, new.upper() if digits != digits.lower() else new)
+
+
 def _date(value: str, key: bytes, back: bool) -> str | None:
     """Dates are permuted among those that can be written the same way: day or month of one digit or two, and, where
     the month comes first because no month is above 12, days above 12."""
@@ -208,53 +243,148 @@ def _date(value: str, key: bytes, back: bool) -> str | None:
 
 
 def stops(kind: str, text: str, start: int, stop: int) -> list[int]:
-    """Where a value that was matched from start to stop may end, the likeliest first.
-
-    Blanks and hyphens inside card and account numbers let a match run on into the number or word after the value, so
-    that these may end at each of them: a card at the last that validates (one before a point and a digit last, as an
-    address or amount begins there), an account where its country's length is reached.
-    """
-    if kind not in ("card", "iban"):
+    """Where a value that was matched from start to stop may end. Blanks let the match of an account number run on into
+    the number or word after it: it ends where its country's length is reached."""
+    if kind != "iban":
         return [stop]
-    inner = [i for i in range(stop - 1, start, -1) if text[i] in " -"]
-    if kind == "card":
-        return [*inner, stop] if DECIMALS.match(text, stop) else [stop, *inner]
     size = IBAN_SIZES.get(text[start : start + 2])
-    if size is None:
-        return [stop, *inner]
-    return [*(i for i in (stop, *inner) if i - start - text.count(" ", start, i) == size), stop]
-
-
-def value_at(text: str, start: int, key: bytes) -> tuple[str, int, str] | None:
-    """(kind, end, replacement) of the first valid value that starts there."""
-    for pattern in EACH:
-        if m := pattern.match(text, start):
-            kind = {"abroad": "phone"}.get(m.lastgroup, m.lastgroup)
-            for stop in stops(kind, text, start, m.end()):
-                new = pseudonym(kind, text[start:stop], key)
+    return [i for i in (stop, *(i for i in range(stop - 1, start, -1) if text[i] == " ")) if i - start - text.count(" ", start, i) == size]
+
+
+def value_at(patterns: re.Pattern, text: str, start: int, stop: int, key: bytes) -> tuple[str, int, int, str] | None:
+    """(kind, start, end, replacement) of the first valid value that a pattern finds there."""
+    for pattern in EACH[patterns]:
+        if m := pattern.match(text, start, stop):
+            kind = KIND_OF.get(m.lastgroup, m.lastgroup)
+            begin, end = m.span(m.lastgroup)
+            for last in stops(kind, text, begin, end):
+                new = pseudonym(kind, text[begin:last], key)
                 if new is not None:
-                    return kind, stop, new
+                    return kind, begin, last, new
     return None
 
 
+def values(patterns: re.Pattern, text: str, start: int, stop: int, key: bytes) -> Iterator[tuple[str, int, int, str]]:
+    """The values of some kinds between start and stop, from left to right."""
+    while m := patterns.search(text, start, stop):
+        found = value_at(patterns, text, m.start(), stop, key)
+        if found:
+            yield found
+            start = found[2]
+            continue
+        start = m.start() + 1
+        while start < m.end() and text[start - 1].isalnum():
+            start += 1  # on to the next part of an invalid value
+
+
+@dataclass(frozen=True, order=True)
+class Grouping:
+    """Digit groups that may be a card, the likelier ones less: those with an issuer's first digits and a usual shape
+    before those without, before even stretches; then those that tear no number that hyphens join; then the commoner shapes;
+    then the first."""
+
+    tier: int
+    torn: int
+    shape: int
+    first: int
+    last: int
+    issued: bool
+
+
+def groupings(text: str, groups: list[tuple[int, int]]) -> list[Grouping]:
+    """The valid cards among the digit groups of a run, each from the start of a group to the end of one.
+
+    A short group before a decimal point isn't the likely end of a card, and one after a plus sign isn't the start of one. Other groupings than the
+    usual ones count where groups of one size, the last one shorter perhaps, make up a card with an issuer's first digits
+    and no such group stands beside them.
+    """
+    sizes = [b - a for a, b in groups]
+    plus = text[groups[0][0] - 1 : groups[0][0]] == "+"
+    found = []
+
+    def add(first: int, last: int, shape: int, even: bool = False) -> None:
+        digits = "".join(text[a:b] for a, b in groups[first:last])
+        issued = bool(ISSUED.match(digits))
+        if not (issued or not (plus or even)) or plus and first == 0 or luhn(digits[:-1]) != int(digits[-1]) or not int(digits):
+            return
+        doubtful = not issued or sizes[last - 1] < 4 and bool(DECIMALS.match(text, groups[last - 1][1]))
+        signs = {text[groups[i][1]] for i in range(first, last - 1)}
+        torn = len(signs) > 1 or "-" not in signs and (first > 0 and text[groups[first][0] - 1] == "-" or last < len(groups) and text[groups[last - 1][1]] == "-")
+        found.append(Grouping(2 if even else int(doubtful), int(torn), shape, first, last, issued))
+
+    for i, size in enumerate(sizes):
+        if size in CARD_DIGITS:
+            add(i, i + 1, 0)
+        elif size in (4, 6, 8):
+            for n, shape in enumerate(SHAPES):
+                if shape[0] == size and tuple(sizes[i : i + len(shape)]) == shape:
+                    add(i, i + len(shape), n)
+    i = 0
+    while i < len(sizes):
+        stop = i + 1
+        while stop < len(sizes) and sizes[stop] == sizes[i]:
+            stop += 1
+        if sizes[i] != 4:
+            for last in (stop, stop + 1):
+                if last <= len(sizes) and (last == stop or sizes[stop] < sizes[i]) and last - i > 2 and sum(sizes[i:last]) in CARD_DIGITS:
+                    add(i, last, 0, even=True)
+        i = stop
+    return found
+
+
+def cards(text: str, taken: list[tuple[str, int, int, str]], key: bytes) -> Iterator[tuple[str, int, int, str]]:
+    """The cards outside the values that are taken, in order of place.
+
+    Of valid cards that share digit groups the likeliest is one. The groups that only another one with an issuer's first
+    digits has are replaced by themselves, so that no digit of either stays; a number beside a card that makes a card of
+    other groups by chance, without an issuer's first digits, stays.
+    """
+    starts = [v[1] for v in taken]
+
+    def free(a: int, b: int) -> bool:
+        """Whether a group is a number of its own: no part of a word, a decimal or another value."""
+        at = bisect_right(starts, a) - 1
+        inside = at >= 0 and taken[at][2] > a or at + 1 < len(taken) and starts[at + 1] < b
+        return not inside and not (text[b : b + 1].isalnum() or text[b : b + 1] == "_") and not (text[a - 1 : a] == "." and text[a - 2 : a - 1].isdigit())
+
+    for run in RUN.finditer(text):
+        if run.end() - run.start() < CARD_DIGITS[0]:
+            continue
+        parts: list[list[tuple[int, int]]] = [[]]
+        for m in GROUP.finditer(text, run.start(), run.end()):
+            if free(*m.span()):
+                parts[-1].append(m.span())
+            elif parts[-1]:
+                parts.append([])
+        for groups in filter(None, parts):
+            used = bytearray(len(groups))
+            chosen, over = [], []
+            for g in sorted(groupings(text, groups)):
+                if any(used[g.first : g.last]):
+                    over.append(g)
+                    continue
+                used[g.first : g.last] = b"\1" * (g.last - g.first)
+                chosen.append((groups[g.first][0], groups[g.last - 1][1], "card"))
+            for i in {i for g in over if g.issued and g.tier < 2 for i in range(g.first, g.last) if not used[i]}:
+                chosen.append((*groups[i], "rest"))
+            for a, b, kind in sorted(chosen):
+                yield "card", a, b, pseudonym(kind, text[a:b], key)
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its values replaced, and (kind, start, end) of each in the old text."""
-    if not re.search(r"[0-9@]", text):
+    if not re.search(r"[0-9@:]", text):
         return text, []
-    found: list[tuple[str, int, int]] = []
-    out, at, search = [], 0, 0
-    while m := ALL.search(text, search):
-        value = value_at(text, m.start(), key)
-        if value is None:
-            search = m.start() + 1
-            while search < m.end() and text[search - 1].isalnum():
-                search += 1  # on to the next part of an invalid value
-            continue
-        kind, stop, new = value
-        out += [text[at : m.start()], new]
-        found.append((kind, m.start(), stop))
-        at = search = stop
-    return "".join([*out, text[at:]]), found
+    taken = list(values(FIRST_ANY, text, 0, len(text), key))
+    taken = sorted([*taken, *cards(text, taken, key)], key=lambda v: v[1])
+    bounds = [0, *(x for v in taken for x in v[1:3]), len(text)]
+    for a, b in zip(bounds[::2], bounds[1::2], strict=True):
+        taken += values(LAST_ANY, text, a, b, key)
+    out, at = [], 0
+    for _, start, stop, new in sorted(taken, key=lambda v: v[1]):
+        out += [text[at:start], new]
+        at = stop
+    return "".join([*out, text[at:]]), sorted(((k, a, b) for k, a, b, _ in taken), key=lambda v: v[1])
 
 
 def pseudonymous(df: DataFrame, key: str, text_col: str = "text", spans: bool = True) -> DataFrame:
@@ -262,8 +392,8 @@ def pseudonymous(df: DataFrame, key: str, text_col: str = "text", spans: bool =
 
     key: any string; the same key gives the same pseudonyms. A null text stays null and has no spans, an empty one
     stays empty; nulls in other columns, repeated rows and empty tables pass as they are. With ``spans`` a column named
-    pii_spans is replaced; without, it stays like all others. Values that fail validation (a card number with a wrong check digit, the 31st of June) stay; a value that
-    another number or word follows is found by its shorter matches. Every match is taken from the whole text.
+    pii_spans is replaced; without, it stays like all others. Values that fail validation (a card number with a wrong check digit, the 31st of June) stay; whatever numbers
+    stand before or after a value, it is found. Every match is taken from the whole text.
     """
     secret = hmac.new(b"wikiloom-pii", key.encode(), "sha256").digest()
     at = df.columns.index(text_col)
