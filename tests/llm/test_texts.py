@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from wikiloom.llm.html_main import blocks, extract_main, main_text, min_cut
+from wikiloom.llm.html_main import apart, blocks, extract_main, main_text, min_cut
 from wikiloom.llm.pii import luhn, permute, pii_counts, pseudonym, pseudonymise, pseudonymous
 from wikiloom.llm import quality
 from wikiloom.llm.quality import DIMS, HIDDEN, SLOTS, Network, context_sums, of_quality, pool, score_quality, slots, sparse_index
@@ -411,3 +411,42 @@ def test_documents(spark):
     assert sum(r["n_card"] for r in counted) == 3 and sum(r["n_email"] for r in counted) == 1
     assert pseudonymous(df.where("false"), "key").count() == 0
     assert pseudonymous(df, "key", spans=False).columns == df.columns
+
+
+# Pages of broken markup
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 330_000, "<div>x" * 50_000, "<div>x" * 50_000 + "</div>" * 50_000, "<b>x" * 50_000 + "<p>y" * 1000, "<a x=\"> <a y='> " * 50_000, '<a "' * 200_000, "<ul>" + "<div>" * 25_000 + "<li>x</li>" * 25_000, "<" * 500_000, "<!--" * 200_000, "<script>" * 100_000, "<a " + " b" * 200_000 + ">x", "<td>x" * 50_000, "</ " * 200_000],
+    ids=range(13),
+)
+def test_broken_markup_takes_linear_time(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 8
+
+
+def test_tags_and_quotes():
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts('<p title="a > b">one</p><p title=\'x\'>two</p>') == ["one", "two"]
+    assert texts('<p title="never closed>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<p it's>one</p> 3 < 4 <!-- <p>no --> end </") == ["one", "3 < 4 end"]
+    assert texts("a <!doctype html> b <? x > c <!-- open") == ["a b c"]
+    assert texts("<p>one<script>if (a < b) '<p>'</script>two<textarea><p>x</textarea>") == ["onetwo"]
+    assert texts("<ul><li>a<ul><li>b</ul><li>c</ul>") == ["a", "b", "c"]
+
+
+def test_deep_nesting_keeps_its_edges():
+    """The steps between two blocks are those of their paths."""
+    rnd = random.Random(4)
+    page = "".join(rnd.choice(("<div>", "</div>", "<p>", "</p>", "<ul><li>", "</ul>", "<b>", "</b>")) + f"t{i}" for i in range(2000))
+    found = blocks(page)
+
+    def path(e):
+        return [*path(e.parent), id(e)] if e.parent is not None else [id(e)]
+
+    for a, b in itertools.pairwise(found):
+        x, y = path(a.home), path(b.home)
+        common = next((i for i, (s, t) in enumerate(zip(x, y, strict=False)) if s != t), min(len(x), len(y)))
+        assert apart(a.home, b.home) == len(x) + len(y) - 2 * common

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from wikiloom.llm.token_counts import slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+ENDING = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -49,25 +50,104 @@ UNIT = 1000
 
 @dataclass
 class Element:
+    """An open element. ``block``: itself, if it is one of BLOCK or the root, or else the nearest one around it; blocks have
+    the block around them as ``parent`` and their depth among blocks."""
+
     name: str
-    number: int
-    depth: int
+    parent: Element | None = None
+    depth: int = 0
     odds: float = 0.0
     inside: bool = False
     hidden: bool = False
+    block: Element | None = None
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]
+    home: Element
     tag: str
     odds: float
     linked: float
 
 
-def _element(name: str, attributes: str, number: int, parent: Element | None) -> Element:
-    out = Element(name, number, parent.depth + 1 if parent else 0, parent.odds if parent else 0.0, bool(parent and parent.inside), name in UNSEEN or bool(parent and parent.hidden))
+class Stack:
+    """The open elements, with the places of each name, so that none is searched for."""
+
+    def __init__(self, root: Element):
+        self.open, self.places = [root], {}
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self.open))
+        self.open.append(element)
+
+    def pop(self) -> Element:
+        last = self.open.pop()
+        self.places[last.name].pop()
+        return last
+
+    def cut(self, size: int) -> None:
+        while len(self.open) > size:
+            self.pop()
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of some names; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, stop, name, closes, attributes) of each tag, in order; comments and declarations have no name.
+
+    A quote after an equals sign hides what it holds up to the next one of its kind. A tag that such quotes keep open to the
+    page's end ends at its first >, and from there on quotes hide nothing; without any > the page's end cuts it off. Every
+    character is looked at a bounded number of times.
+    """
+    at, quoted, end = 0, True, page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        sign = page[start + 1 : start + 2]
+        if start > end and (sign in ("/", "!", "?") and sign or sign.isascii() and sign.isalpha()):
+            yield start, len(page), "", False, ""
+            return
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            at = stop + 3 if stop >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        m = NAME.match(page, start)
+        if m is None:
+            at = start + 1
+            if sign in ("!", "?") and sign:
+                at = page.find(">", start) + 1
+                yield start, at, "", False, ""
+            continue
+        stop = _tag_end(page, m.end()) if quoted else page.find(">", m.end())
+        if stop < 0 and quoted:
+            quoted = False
+            stop = page.find(">", m.end())
+        at = stop + 1
+        more = yield start, at, m[2].lower(), bool(m[1]), page[m.end() : stop]
+        if more is not None:
+            at = more
+            yield None
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the > of a tag stands that no quote hides; -1 if there is none."""
+    while m := ENDING.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        if page[: m.start()].endswith("=") if m.start() < 64 else page[m.start() - 64 : m.start()].rstrip().endswith("="):
+            at = page.find(m[0], m.end()) + 1
+            if not at:
+                return -1
+        else:
+            at = m.end()
+    return -1
+
+
+def _element(name: str, attributes: str, parent: Element) -> Element:
+    out = Element(name, parent.block, parent.block.depth + 1, parent.odds, parent.inside, name in UNSEEN or parent.hidden)
+    out.block = out if name in BLOCK else parent.block
     odds = APART.get(name, 0.0)
     if name in ("article", "main"):
         odds, out.inside = 3.0, True
@@ -95,41 +175,40 @@ def _element(name: str, attributes: str, number: int, parent: Element | None) ->
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order, with white space made plain and character references decoded."""
-    root = Element("", 0, 0)
-    stack, found = [root], []
+    root = Element("")
+    root.block = root
+    stack, found = Stack(root), []
     held: list[str] = []
-    linked = 0
-    count = at = 0
+    linked = at = 0
 
     def close() -> None:
         nonlocal linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                own = next((e for e in reversed(stack) if e.name in BLOCK), root)
-                found.append(Block(text, tuple(e.number for e in stack if e is root or e.name in BLOCK), own.name, stack[-1].odds, min(1.0, linked / max(1, len(text)))))
+                top = stack.open[-1]
+                found.append(Block(text, top.block, top.block.name, top.odds, min(1.0, linked / max(1, len(text)))))
         held.clear()
         linked = 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw and not stack[-1].hidden:
+        if raw and not stack.open[-1].hidden:
             held.append(raw)
-            if any(e.name == "a" for e in stack[-4:]):
+            if any(e.name == "a" for e in stack.open[-4:]):
                 linked += len(" ".join(raw.split()))
 
-    while m := TOKEN.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+    found_tags = tokens(page)
+    for start, stop, name, closes, attributes in found_tags:
+        say(page[at:start])
+        at = stop
         if not name:
             continue
-        if m[1]:
-            if any(e.name == name for e in stack[1:]):
+        if closes:
+            if place := stack.last((name,)):
                 if name in BLOCK:
                     close()
-                while stack.pop().name != name:
-                    pass
+                stack.cut(place)
             elif name in ("p", "br"):
                 close() if name == "p" else held.append(" ")
             continue
@@ -138,27 +217,21 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             close()
-            while stack[-1].name == "p" or (stack[-1].name not in BLOCK and len(stack) > 1 and any(e.name == "p" for e in stack)):
+            while stack.open[-1].name == "p" or stack.open[-1].name not in BLOCK and len(stack.open) > 1 and stack.last(("p",)):
                 stack.pop()  # a block ends an open paragraph
             kinds, bounds = ENDS.get(name, ((), ()))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in bounds:
-                    break
-                if stack[i].name in kinds:
-                    del stack[i:]
+            if (place := stack.last(kinds)) > stack.last(bounds):
+                stack.cut(place)
         if name in VOID:
             continue
-        count += 1
-        stack.append(_element(name, m[3], count, stack[-1]))
+        element = _element(name, attributes, stack.open[-1])
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            stack.pop()
-        elif m[3].endswith("/") and name in ("svg", "path"):
-            stack.pop()
-    tail = page[at:]
-    cut = re.search(r"<[A-Za-z/!?]", tail)  # a tag that the page's end cuts off
-    say(tail[: cut.start()] if cut else tail)
+            found_tags.send(at)
+        elif not (attributes.endswith("/") and name in ("svg", "path")):
+            stack.push(element)
+    say(page[at:])
     close()
     return found
 
@@ -176,6 +249,18 @@ def gain(block: Block) -> float:
     return out
 
 
+def apart(a: Element, b: Element) -> int:
+    """The steps from one block element to another by way of the tree: no more than tags stand between them."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
 def edges(found: list[Block]) -> list[tuple[int, int, int]]:
     """Smoothness: each block with the one before it, weaker the farther apart in the tree, and with the last one before
     it under the same parent, or else the same grandparent."""
@@ -183,16 +268,14 @@ def edges(found: list[Block]) -> list[tuple[int, int, int]]:
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1].path
-            common = next((k for k, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            apart = len(a) + len(b.path) - 2 * common
-            out.append((i - 1, i, round(UNIT * ADJACENT / (1 + apart))))
-        for above in b.path[-2:-4:-1]:
-            if (j := last.get(above, i - 1)) < i - 1:
+            out.append((i - 1, i, round(UNIT * ADJACENT / (1 + apart(found[i - 1].home, b.home)))))
+        above = [id(e) for e in (b.home, b.home.parent) if e is not None]
+        for e in above:
+            if (j := last.get(e, i - 1)) < i - 1:
                 out.append((j, i, round(UNIT * NEAR)))
                 break
-        for above in b.path[-2:-4:-1]:
-            last[above] = i
+        for e in above:
+            last[e] = i
     return out
 
 
