@@ -27,6 +27,8 @@ ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW]
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: A hash that many documents hold meets its counts in so many parts.
+SALT = 8
 #: Kinds in the order in which spans with one start are listed: the base kinds, then those of this method.
 BASE_KINDS = ("assign", "access", "hex")
 #: Public formats of issued credentials.
@@ -138,8 +140,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = F.monotonically_increasing_id()
     found = shared_table(candidates(df, text_col, keep).withColumn("__row", row), "secret-candidates")
     counted = shared_table(ownership(found, F.col(repository_col), F.col(owner_col)), "secret-owners")
-    spans = found.select("__row", F.explode(F.concat("base", "further")).alias("s")).withColumn("hash", F.col("s.hash"))
-    judged = spans.join(counted, "hash").groupBy("__row").agg(F.collect_list(F.struct("s", "owners", "repositories")).alias("all"))
+    spans = found.select("__row", F.explode(F.concat("base", "further")).alias("s"), F.pmod("__row", F.lit(SALT)).cast("int").alias("salt")).withColumn("hash", F.col("s.hash"))
+    judged = spans.join(counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["hash", "salt"]).groupBy("__row").agg(F.collect_list(F.struct("s", "owners", "repositories")).alias("all"))
     none = F.array().cast(f"array<struct<s: {SPAN_FIELDS}, owners: bigint, repositories: bigint>>")
     out = found.join(judged, "__row", "left").withColumn("all", F.coalesce("all", none))
     pick = lambda test: F.transform(F.filter("all", test), lambda x: x["s"])
