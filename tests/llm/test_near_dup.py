@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from wikiloom.llm import near_dup
 from wikiloom.llm.components import components
@@ -153,3 +154,12 @@ def test_components_of_paths_and_stars(spark):
     for part in (names[:100], names[100:200], names[200:203]):
         assert {got[n] for n in part} == {min(part)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 23, 4])
+def test_filter_of_ids_keeps_all(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dup, "MOST_BITS", most)
+    docs = spark.range(3000).selectExpr("id", "cast(id as string) text")
+    ids = spark.range(0, 3000, 7)
+    got = {r["id"] for r in near_dup.likely_among(docs, ids).collect()}
+    assert got >= set(range(0, 3000, 7)) and (len(got) == 3000) == (most == 4)

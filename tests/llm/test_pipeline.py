@@ -4,6 +4,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+import pytest
 from tests.llm.test_near_dup import brute
 
 FOLDER = "/root/testdata/sf0.001"
@@ -75,5 +76,14 @@ def test_texts_that_share_an_id(spark):
     assert got == [(1, "a b c d e f g"), (1, "h i j k l m n"), (5, "o p q r s")]
 
 
+@pytest.mark.parametrize("ends", [(-(1 << 63), 5), (-(1 << 63), (1 << 63) - 1), (-(1 << 63) + 10, 0)])
+def test_texts_that_share_the_least_id(spark, ends):
+    low, high = ends
+    rows = [(low, "a b c d e f g"), (low, "h i j k l m n"), (high, "h i j k l m n"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, "o p q r s"), (high, "o p q r s")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, docs.repartition(4), FOLDER).collect())
+    assert len(got) == 3 and {t for _, t in got} == {t for _, t in rows} and got[0][0] == low
+
+
 def test_run(spark):
     assert cp.run(spark, FOLDER).columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] and cp.ORACLE_SQL is None

@@ -29,8 +29,10 @@ from wikiloom.plans.shared import drop_shared, shared_table
 #: At a similarity of 0.85 a pair shares no bucket with probability (1 - 0.85**5)**24 < 1e-6; above, far less.
 BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
-#: Bits of the filter of ids (1 MB), in maps of the size that Spark's bitmap functions have.
-FILTER_BITS, MAP_BITS = 1 << 23, 1 << 15
+#: Bits of the filter of ids, at least (1 MB) and at most (32 MB), in maps of the size that Spark's bitmap functions have.
+LEAST_BITS, MOST_BITS, MAP_BITS = 1 << 23, 1 << 28, 1 << 15
+#: Ids that rows may need which get new ones: 2^20 partitions of 2^33.
+NEW_IDS = 1 << 53
 #: A block of a bucket's members has about so many bytes of shingles, and members, at most.
 BLOCK_BYTES, BLOCK_MEMBERS = 1 << 18, 128
 #: So many of a bucket's blocks meet all its blocks in one task; a bucket with more is dealt over several.
@@ -154,9 +156,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def likely_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id may be among ``ids``, by a bitmap of id hashes: FILTER_BITS bits, whatever the corpus,
-    so that it can be broadcast. It spares the shuffle of most texts; the exact join follows."""
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    """The rows of ``docs`` whose id may be among ``ids``, by a bitmap of id hashes with eight bits an id, LEAST_BITS to
+    MOST_BITS, so that it can be broadcast. It spares the shuffle of most texts; the exact join follows. Where there are so
+    many ids that most bits of the largest map were set, all rows go to that join."""
+    count = ids.count()
+    if count > MOST_BITS:
+        return docs
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * count).bit_length()))
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
     maps = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / MAP_BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % MAP_BITS).alias("map"))
     placed = docs.withColumn("at", at).withColumn("part", F.floor(F.col("at") / MAP_BITS))
     tested = placed.join(F.broadcast(shared_table(maps, "near-filter")), "part")
@@ -359,12 +366,17 @@ def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
     held = named.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high")).where("n > 1")
     repeated = shared_table(held.select("id", (F.col("low") != F.col("high")).alias("clash")), "near-repeated")
     if not repeated.isEmpty():
-        # One row of each id and text, and for texts that share an id new ids below all others.
+        # One row of each id and text, and for texts that share an id new ids below all others, if there is room.
         known = named.join(repeated, "id", "left")
         several = known.where("clash IS NOT NULL").groupBy("id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"), F.first("clash").alias("clash"))
         below = named.agg(F.min("id")).first()[0] - 1
-        renamed = several.select("row", F.when(F.col("clash"), F.lit(below) - F.monotonically_increasing_id()).otherwise(F.col("id")).alias("id"))
-        once = known.where("clash IS NULL").select("row", "id").unionByName(shared_table(renamed, "near-renamed"))
+        others = known.where("clash IS NULL").select("row", "id")
+        if below - NEW_IDS >= -(1 << 63):
+            renamed = several.select("row", F.when(F.col("clash"), F.lit(below) - F.monotonically_increasing_id()).otherwise(F.col("id")).alias("id"))
+            once = others.unionByName(shared_table(renamed, "near-renamed"))
+        else:  # all rows get new ids, in the order that they would have
+            ordered = several.select("row", "id", "clash").unionByName(others.withColumn("clash", F.lit(False))).orderBy(F.col("clash").desc(), "id")
+            once = shared_table(ordered.select("row", F.monotonically_increasing_id().alias("id")), "near-renamed")
         named = once.withColumn("text", F.col("row").getField(text_col).cast("string"))
     kept = near_duplicates(named.select("id", "text"), "id", "text", **settings).where("kept").select("id")
     stay = named.join(kept, "id", "left_semi").select("row.*")
