@@ -78,7 +78,7 @@ def test_bins_hold_all_limits():
 
 def test_conversations_respect_loss_limit(spark):
     turns = [(c, t, ("user", "assistant", None)[t % 3], "word " * (30 * (t + 1))) for c in range(40) for t in range(4)] + [(50, 0, "assistant", None)]
-    examples = conversation_examples(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"), PATH)
+    examples = conversation_examples(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"), PATH, 1024, 200)
     packed = pack(examples, {"length": 1024, "loss": 200}, "length", 3).toPandas()
     by = packed.groupby("sequence_id").agg(length=("length", "sum"), loss=("loss", "sum"), n=("conv_id", "count"))
     assert len(packed) == 41 and (by.length <= 1024).all() and (by.loss <= 200).all() and (by.n <= 3).all()
@@ -95,13 +95,19 @@ def test_conversations_query(spark, library, tmp_path):
         n = len(ids(library, text)) + 1
         length, loss = want.get(conv, (0, 0))
         want[conv] = (length + n, loss + n * (role == "assistant"))
-    have = {None if np.isnan(c) else int(c): (n, loss) for c, n, loss in zip(got.conv_id, got.length, got.loss, strict=True)}
-    assert have == want and len(got) == len(want)
+    have, parts = {}, {}
+    for c, part, n, loss in zip(got.conv_id, got.part, got.length, got.loss, strict=True):
+        key = None if np.isnan(c) else int(c)
+        length, sum_ = have.get(key, (0, 0))
+        have[key] = (length + n, sum_ + loss)
+        parts.setdefault(key, []).append(part)
+    assert have == want and all(sorted(p) == list(range(len(p))) for p in parts.values())
+    assert {c for c, p in parts.items() if len(p) > 1} == {c for c, (n, loss) in want.items() if n > SEQUENCE or loss > INSTRUCTION_LOSS} >= {500, 501}
     by_loss = 0
     for _, rows in got.groupby("sequence_id"):
         rows = rows.sort_values("offset")
         assert rows.offset.tolist() == (rows.length.cumsum() - rows.length).tolist()
-        assert len(rows) == 1 or rows.length.sum() <= SEQUENCE and rows.loss.sum() <= INSTRUCTION_LOSS
+        assert rows.length.sum() <= SEQUENCE and rows.loss.sum() <= INSTRUCTION_LOSS
         by_loss += len(rows) > 1 and rows.loss.sum() > INSTRUCTION_LOSS - 200 and rows.length.sum() < SEQUENCE - 200
     assert by_loss  # some sequences are full by loss, with room for tokens
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/none/conversations.parquet")

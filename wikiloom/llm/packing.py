@@ -15,11 +15,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wikiloom.llm.pieces import piece_encoder
 from wikiloom.llm.token_counts import slices
+from wikiloom.plans.shared import shared_table
 
 SEQUENCE = 2048
 SEGMENTS = 256
@@ -160,21 +161,34 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return pack(pieces, {"length": size, "loss": size}, "length", max_segments).drop("loss")
 
 
-def conversation_examples(turns: DataFrame, path: str, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Instruction examples of a table (conv_id, turn, role, text): tokens, and those of ``roles``, which bear loss.
+def conversation_examples(turns: DataFrame, path: str, size: int, max_loss: int, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Instruction examples of a table (conv_id, turn, role, text): conv_id, part, length (tokens) and loss (tokens of turns of
+    ``roles``), within both limits.
 
-    A null text is empty, a null role bears no loss; every turn ends with END_OF_TEXT.
+    A conversation within the limits is one example, part 0. Another is cut into parts: runs of its turns in order, and
+    turns of more than a quarter of the smaller limit may be cut inside, at multiples of it. A null text is empty, a null
+    role bears no loss; every turn ends with END_OF_TEXT. A null conv_id is a conversation; repeated turns count each,
+    null turns come first; an empty table gives no rows; other columns are not read.
     """
-    counted = document_pieces(turns.select(F.struct("conv_id", "role").alias("key"), "text"), path, "key", "text", 1 << 40)
+    cut = max(1, min(size, max_loss) // 4)
+    pieces = document_pieces(turns.select(F.struct("conv_id", "role", "turn").alias("key"), "text"), path, "key", "text", cut)
     loss = F.when(F.col("key.role").isin(*roles), F.col("length")).otherwise(0)
-    summed = counted.groupBy(F.col("key.conv_id").alias("conv_id")).agg(F.sum("length").alias("length"), F.sum(loss).alias("loss"))
-    return summed.withColumn("deal", F.xxhash64("conv_id"))
+    counted = shared_table(pieces.select(F.col("key.conv_id").alias("conv_id"), F.col("key.turn").alias("turn"), "length", loss.alias("loss"), "deal"), "turn-pieces")
+    summed = counted.groupBy("conv_id").agg(F.sum("length").alias("length"), F.sum("loss").alias("loss"))
+    fits = (F.col("length") <= size) & (F.col("loss") <= max_loss)
+    whole = summed.where(fits).select("conv_id", F.lit(0).alias("part"), "length", "loss")
+    long = summed.where(~fits).select(F.col("conv_id").alias("long_id"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "deal").rowsBetween(Window.unboundedPreceding, -1)
+    # What starts in one stretch of size - cut tokens ends within size: and so for loss.
+    at = lambda c, limit: F.floor(F.coalesce(F.sum(c).over(before), F.lit(0)) / (limit - cut))
+    placed = counted.join(long, F.col("conv_id").eqNullSafe(F.col("long_id"))).select("conv_id", "length", "loss", F.struct(at("length", size), at("loss", max_loss)).alias("at"))
+    runs = placed.groupBy("conv_id", "at").agg(F.sum("length").alias("length"), F.sum("loss").alias("loss"))
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("at")) - 1
+    parts = runs.select("conv_id", number.alias("part"), "length", "loss")
+    return whole.unionByName(parts).withColumn("deal", F.xxhash64("conv_id", "part"))
 
 
 def pack_conversations(turns: DataFrame, path: str, size: int = SEQUENCE, max_loss: int = INSTRUCTION_LOSS, max_segments: int = SEGMENTS) -> DataFrame:
-    """Pack whole conversations under all three limits: conv_id, length, loss, sequence_id, offset.
-
-    Conversations aren't cut: one beyond ``size`` or ``max_loss`` has a sequence of its own. A null conv_id is a
-    conversation; repeated turns count each; an empty table gives no rows; other columns are not read.
-    """
-    return pack(conversation_examples(turns, path), {"length": size, "loss": max_loss}, "length", max_segments)
+    """Pack conversations under all three limits: conv_id, part, length, loss, sequence_id, offset. Every sequence keeps
+    them; for conversations beyond a limit, nulls and repeats see conversation_examples."""
+    return pack(conversation_examples(turns, path, size, max_loss), {"length": size, "loss": max_loss}, "length", max_segments)
