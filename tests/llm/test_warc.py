@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wikiloom.llm.queries import op13_warc
-from wikiloom.llm.warc import archive, read_archives, record_chunks, record_kinds, write_archives
+from wikiloom.llm.warc import archive, read_archives, record_chunks, record_kinds, unpacked, write_archives
 from wikiloom.plans.shared import shared_table
 
 SCHEMA = "page_id long, url string, html string, chunk int, body string, record string"
@@ -81,7 +81,8 @@ def test_archives_are_warc(spark, tmp_path):
 def test_chunks_carry_digests(spark):
     text = "é" * 1250
     rows = sorted(record_chunks(table(spark, [(1, "u", text, 0, "", ""), (2, "u", "", 0, "", ""), (3, "u", "x" * 1000, 0, "", "")], 1), "page_id", "html", "url", 1000).collect(), key=lambda r: (r["id"], r["chunk"]))
-    assert [(r["id"], r["chunk"], len(r["body"]), r["bytes"], r["last"]) for r in rows] == [("1", 0, 1000, 1000, False), ("1", 1, 1000, 2000, False), ("1", 2, 500, 2500, True), ("2", 0, 0, 0, True), ("3", 0, 1000, 1000, True)]
+    assert b"".join(unpacked(bytes(r["packed"]), r["size"]) for r in rows[:3]).decode() == text
+    assert [(r["id"], r["chunk"], r["size"], r["bytes"], r["last"]) for r in rows] == [("1", 0, 1000, 1000, False), ("1", 1, 1000, 2000, False), ("1", 2, 500, 2500, True), ("2", 0, 0, 0, True), ("3", 0, 1000, 1000, True)]
     for r in rows[:3]:
         assert bytes(r["sha1"]) == hashlib.sha1(text.encode()[: r["bytes"]]).digest()
 

@@ -1,7 +1,7 @@
 """WARC archives (operator 13) by way of a chunked record table.
 
-A payload is a run of rows (record, chunk, body) of a bounded size, each with the length and the digests of the payload so
-far; the last one has those of the whole. From this table on no step holds a whole record: duplicates are found by the
+A payload is a run of rows (record, chunk, packed) of a bounded size, compressed, each with the length and the digests of
+the payload so far; the last one has those of the whole. From this table on no step holds a whole record: duplicates are found by the
 digests of last chunks, archives are written and read chunk by chunk.
 
 ``spark.read.format("warc")`` and ``df.write.format("warc")`` are a Python data source. Archives are gzip files with a
@@ -54,9 +54,9 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def record_chunks(df: DataFrame, id_col: str, payload_col: str, uri_col: str | None = None, size: int = CHUNK_BYTES) -> DataFrame:
-    """(record, id, uri, chunk, body, bytes, sha1, sha256, last): a row for each ``size`` bytes of each row's payload.
+    """(record, id, uri, chunk, packed, size, bytes, sha1, sha256, last): a row for each ``size`` bytes of each row's payload.
 
-    record numbers the rows of ``df``; bytes and the digests are those of the payload up to and with this chunk. A string
+    packed holds ``size`` bytes, compressed; record numbers the rows of ``df``; bytes and the digests are those of the payload up to and with this chunk. A string
     is its UTF-8; a null or empty payload is one empty chunk; null ids and uris stay null. Repeated rows are records each;
     an empty table gives no rows; other columns aren't read.
     """
@@ -71,7 +71,7 @@ def record_chunks(df: DataFrame, id_col: str, payload_col: str, uri_col: str | N
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         record, held, one, two = None, 0, None, None
         for batch in batches:
-            so_far = []
+            so_far, packed = [], []
             for r, body in zip(batch.column(0).to_pylist(), batch.column(5), strict=True):
                 if r != record:
                     record, held, one, two = r, 0, hashlib.sha1(), hashlib.sha256()
@@ -79,13 +79,19 @@ def record_chunks(df: DataFrame, id_col: str, payload_col: str, uri_col: str | N
                 one.update(data)
                 two.update(data)
                 held += data.size
-                so_far.append((held, one.digest(), two.digest()))
-            bytes_, sha1, sha256 = zip(*so_far, strict=True) if so_far else ((), (), ())
+                packed.append(pa.compress(data, "zstd", asbytes=True))
+                so_far.append((data.size, held, one.digest(), two.digest()))
+            sizes, bytes_, sha1, sha256 = zip(*so_far, strict=True) if so_far else ((), (), (), ())
             last = [a == b for a, b in zip(bytes_, batch.column(3).to_pylist(), strict=True)]
-            columns = [*batch.columns[:3], *batch.columns[4:], pa.array(bytes_, pa.int64()), pa.array(sha1, pa.binary()), pa.array(sha256, pa.binary()), pa.array(last, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["record", "id", "uri", "chunk", "body", "bytes", "sha1", "sha256", "last"])
+            columns = [*batch.columns[:3], batch.column(4), pa.array(packed, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bytes_, pa.int64()), pa.array(sha1, pa.binary()), pa.array(sha256, pa.binary()), pa.array(last, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["record", "id", "uri", "chunk", "packed", "size", "bytes", "sha1", "sha256", "last"])
 
-    return cut.mapInArrow(digest, "record long, id string, uri string, chunk int, body binary, bytes long, sha1 binary, sha256 binary, last boolean")
+    return cut.mapInArrow(digest, "record long, id string, uri string, chunk int, packed binary, size int, bytes long, sha1 binary, sha256 binary, last boolean")
+
+
+def unpacked(packed: bytes, size: int) -> bytes:
+    """A chunk's bytes."""
+    return pa.decompress(packed, size, "zstd", asbytes=True)
 
 
 def record_kinds(chunks: DataFrame, least: int = 0, id_type: str = "long") -> DataFrame:
@@ -102,14 +108,11 @@ def record_kinds(chunks: DataFrame, least: int = 0, id_type: str = "long") -> Da
     return met.select("record", "id", "uri", "bytes", "sha1", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first.id")).alias("refers_to"), F.when(again, F.col("first.record")).alias("refers_record"))
 
 
-FIELDS = "record long, chunk int, body binary, kind string, id string, uri string, bytes long, sha1 binary, refers_to string, refers_record long"
-
-
 def write_archives(chunks: DataFrame, kinds: DataFrame, path: str) -> None:
     """Write the records of a chunk table to archives below ``path``: each record's kind comes before its chunks in one
     shuffle by record, and a task writes what it reads."""
-    heads = kinds.select("record", F.lit(-1).alias("chunk"), F.lit(None).cast("binary").alias("body"), "kind", "id", "uri", "bytes", "sha1", "refers_to", "refers_record")
-    both = heads.unionByName(chunks.select("record", "chunk", "body"), allowMissingColumns=True)
+    heads = kinds.select("record", F.lit(-1).alias("chunk"), "kind", "id", "uri", "bytes", "sha1", "refers_to", "refers_record")
+    both = heads.unionByName(chunks.select("record", "chunk", "packed", "size"), allowMissingColumns=True)
     chunks.sparkSession.dataSource.register(WarcSource)
     both.repartition("record").sortWithinPartitions("record", "chunk").write.format("warc").mode("append").save(path)
 
@@ -165,7 +168,7 @@ class WarcWriter(DataSourceArrowWriter):
                             archive = Archive(where.open_output_stream(f"{root}/_attempts/{names[-1]}", compression=None), names[-1])
                         archive.begin(row)
                     else:
-                        archive.body(row["body"])
+                        archive.body(unpacked(row["packed"], row["size"]))
         finally:
             if archive:
                 archive.close()
