@@ -160,29 +160,6 @@ def test_prompt_with_history(spark):
     assert retrieval.prompt(found, "q").first()["prompt"].startswith("Fråga: q\n\nUnderlag:")
 
 
-def test_vector_index(spark):
-    import numpy as np
-
-    from wikiloom.operators import vector_index
-
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(20, 24))
-    m = centres[rng.integers(0, 20, 3000)] + 0.4 * rng.normal(size=(3000, 24))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(9000, None), (9001, [1.0, 2.0]), (9002, [0.0] * 24)], "id int, embedding array<double>")
-    index = vector_index.build(df)
-    assert index.cells.count() == 3002
-    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    hits = 0
-    for q in range(0, 10):
-        got = [r["id"] for r in vector_index.top_k(index, m[q].tolist()).collect()]
-        hits += len(set(got) & set(np.argsort(-(unit @ unit[q]))[:20].tolist()))
-    assert hits >= 0.9 * 200
-    every = vector_index.top_k(index, m[0].tolist(), probes=64).collect()
-    assert [r["id"] for r in every] == [r["id"] for r in retrieval.vector_top_k(df, m[0].tolist(), "id").collect()]
-    read = vector_index.top_k(index, m[0].tolist(), probes=2)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in read and "cell#" in read.split("PartitionFilters: [")[1].split("]")[0]
-    assert vector_index.top_k(vector_index.build(df.where("false")), [1.0] * 24).count() == 0
-
 
 def test_statistics_tell_the_last_sync(spark):
     pages = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-02-01")], "page_id int, last_synced string")

@@ -36,9 +36,9 @@ def once(df: DataFrame, keep: tuple[str, ...], **values: Column) -> DataFrame:
 
 
 def vector_top_k(vectors: DataFrame, query: list[float], id_col: str, vector_col: str = "embedding", k: int = CANDIDATES, least: float | None = None, known: DataFrame | None = None) -> DataFrame:
-    """(id, score): the k rows most like the query by cosine; null vectors take no part, nor, with ``known`` (ids, each
+    """(id, score): the k rows most like the query by cosine; vectors that are null or give no number take no part, nor, with ``known`` (ids, each
     once), vectors of other ids. Scores are joined with the ids, not vectors."""
-    scored = vectors.where(F.col(vector_col).isNotNull()).select(id_col, cosine(F.col(vector_col).cast("array<double>"), literal_vector(query)).alias("score"))
+    scored = vectors.where(F.col(vector_col).isNotNull()).select(id_col, cosine(F.col(vector_col).cast("array<double>"), literal_vector(query)).alias("score")).where(~F.isnan("score"))
     if least is not None:
         scored = scored.where(F.col("score") >= least)
     if known is not None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wikiloom.functions import text as tx
 from wikiloom.functions.lexemes import ilike_any, query_prefixes, rank_of_count, term_count, text_hits
 from wikiloom.functions.vectors import cosine, dummy_embedding, l2_distance, l2_normalize, norm, sql_cosine, string_hash
-from wikiloom.operators import context, links, retrieval, tables, vector_index
+from wikiloom.operators import clustering, context, links, retrieval, tables, vector_index
 from wikiloom.operators.blocks import plain_text
 from wikiloom.operators.chunker import chunks as cut_chunks
 from wikiloom.sources import canonical, wiki
@@ -371,12 +371,28 @@ def vc7_dummy_embedding(spark, d):
 
 @query()
 def vc11_index_top_k(spark, d):
-    """The vector index, written and asked; tests/test_tables.py measures its recall."""
+    """The vector index, written and asked; tests/test_vector_index.py measures its recall."""
     own = canonical.embeddings(spark, d)
     index = vector_index.build(own.withColumnRenamed("chunk_id", "id"))
     return vector_index.top_k(index, first_vector(spark, d)).select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {E}, {V} SELECT chunk_id, round(score, 6) AS score FROM v")
+def vc11_index_exact_top_k(spark, d):
+    """The same index, asked for exact results: cells are left out by their bounds alone."""
+    index = vector_index.build(canonical.embeddings(spark, d).withColumnRenamed("chunk_id", "id"))
+    return vector_index.exact_top_k(index, first_vector(spark, d)).select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
+
+
+@query()
+def vc12_clusters(spark, d):
+    """Sixteen clusters of the embeddings: rows and mean distance of each; tests/test_vector_index.py holds them against
+    Lloyd's iteration in one place."""
+    own = canonical.embeddings(spark, d).withColumnRenamed("chunk_id", "id")
+    found = clustering.kmeans(own, 16, len(first_vector(spark, d)), rounds=8)
+    return clustering.assigned(own, found).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("distance"), 4).alias("distance"))
+
+
 @query(f"WITH {E} SELECT chunk_id, round(list_distance(embedding, {_COS}), 6) AS distance FROM e ORDER BY list_distance(embedding, {_COS}), chunk_id LIMIT 20")
 def vc12_l2_top_k(spark, d):
     q = retrieval.literal_vector(first_vector(spark, d))

@@ -32,7 +32,8 @@ def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, check
 
     The sink is partitioned by a bucket of page ids; a batch rewrites the buckets it touches, so a page's chunks change
     together. A batch's buckets are written beside the sink first: if replacing them breaks off, the batch that is tried
-    again starts from what was written, not from a sink that is half replaced. ``buckets`` stays the same for a sink: so
+    again starts from what was written, not from a sink that is half replaced. A bucket whose pages have all become empty
+    is removed. ``buckets`` stays the same for a sink: so
     many that one fits a task. ``checkpoint`` makes each file count once; ``after(chunks, batch)`` is a hook for
     embedding. ``log``: a table to which each batch adds its row of the sync log, one that fails too.
 
@@ -56,9 +57,10 @@ def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, check
         if version:
             new = new.join(pages.select("id", version), "id")
         out = new = new.withColumn("bucket", bucket)
+        touched = pages.select(bucket.alias("bucket")).distinct()
+        touched.write.mode("overwrite").parquet(f"{pending}-touched")
         if there:
             old = spark.read.schema(new.schema).parquet(sink)
-            touched = pages.select(bucket.alias("bucket")).distinct()
             out = new.unionByName(old.join(touched, "bucket", "left_semi").join(pages.select("id"), "id", "left_anti"))
         out.write.mode("overwrite").parquet(pending)
 
@@ -69,6 +71,10 @@ def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, check
                 prepare(batch, pending)
             staged = spark.read.parquet(pending)
             staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(sink)
+            # An overwrite leaves partitions without new rows as they are.
+            emptied = spark.read.parquet(f"{pending}-touched").join(staged.select("bucket").distinct(), "bucket", "left_anti")
+            for row in emptied.collect():  # a row a bucket at most
+                _delete(spark, f"{sink.rstrip('/')}/bucket={row['bucket']}")
             if after:
                 after(staged.drop("bucket"), number)
             _note("completed", batch.select("id").distinct().count(), 0)
@@ -76,6 +82,7 @@ def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, check
             _note("failed", 0, batch.select("id").distinct().count(), str(e)[:1000])
             raise
         _delete(spark, pending)
+        _delete(spark, f"{pending}-touched")
 
     def _note(status: str, processed: int, failed: int, error: str | None = None) -> None:
         if log:
