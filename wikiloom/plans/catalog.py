@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wikiloom.functions import text as tx
 from wikiloom.functions.lexemes import ilike_any, query_prefixes, rank_of_count, term_count, text_hits
 from wikiloom.functions.vectors import cosine, dummy_embedding, l2_distance, l2_normalize, norm, sql_cosine, string_hash
-from wikiloom.operators import clustering, context, links, retrieval, tables, vector_index
+from wikiloom.operators import clustering, context, links, retrieval, tables, text_index, text_query, vector_index
 from wikiloom.operators.blocks import plain_text
 from wikiloom.operators.chunker import chunks as cut_chunks
 from wikiloom.sources import canonical, wiki
@@ -338,6 +338,44 @@ def ft_postings_top_k(spark, d):
     return retrieval.postings_top_k(retrieval.postings(canonical.chunks(spark, d)), QUESTION).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+# The kept index of texts: written, then asked.
+
+
+def _chunk_index(spark, d):
+    return text_index.build(canonical.chunks(spark, d), ("content",))
+
+
+def _page_index(spark, d):
+    return text_index.build(canonical.text_pages(spark, d), ("title", "content"), "page_id")
+
+
+@query(f"WITH {C}, {L} SELECT chunk_id, round(score, 6) AS score FROM l")
+def ft_index_top_k(spark, d):
+    return text_index.lexical_top_k(_chunk_index(spark, d), QUESTION).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(ORACLE_SQL["ft8_weighted_rank"])
+def ft8_index_weighted_rank(spark, d):
+    return text_index.weighted_top_k(_page_index(spark, d), QUESTION, k=None).select("page_id", F.round("score", 6).alias("score"))
+
+
+_PLACES = f"x AS (SELECT chunk_id, unnest(range(1, len(k) + 1)) AS place, unnest(k) AS term FROM (SELECT chunk_id, {_LEX.format('content')} AS k FROM c))"
+
+
+@query(f"WITH {C}, {_PLACES}, e AS (SELECT chunk_id, place - lag(place) OVER w AS gap, term <> lag(term) OVER w AS other FROM x WHERE term IN ('of', 'is') WINDOW w AS (PARTITION BY chunk_id ORDER BY place)) SELECT chunk_id, round(sum(0.1::DOUBLE / gap), 6) AS rank FROM e WHERE other GROUP BY chunk_id")
+def ft7_cover_density(spark, d):
+    """Texts with both words; the covers of two words are the neighbours among their places that differ."""
+    found = text_query.cover_ranked(_chunk_index(spark, d), text_query.every(text_query.word("of"), text_query.word("is")))
+    return found.select(F.col("id").alias("chunk_id"), F.round("rank", 6).alias("rank"))
+
+
+@query(f"WITH {C}, {_PLACES}, p AS (SELECT DISTINCT a.chunk_id FROM x a JOIN x b ON a.chunk_id = b.chunk_id AND b.place = a.place + 1 AND a.term = 'of' AND b.term = 'the'), q AS (SELECT DISTINCT chunk_id FROM x WHERE starts_with(term, 'th')), n AS (SELECT DISTINCT chunk_id FROM x WHERE term = 'is') SELECT chunk_id FROM q WHERE (chunk_id IN (SELECT chunk_id FROM p) OR chunk_id IN (SELECT chunk_id FROM x WHERE term = 'mail')) AND chunk_id NOT IN (SELECT chunk_id FROM n)")
+def ft13_condition(spark, d):
+    """A prefix, and a phrase or a word, without another word."""
+    wanted = text_query.every(text_query.prefix("th"), text_query.some(text_query.phrase("of the"), text_query.word("mail")), text_query.without(text_query.word("is")))
+    return text_query.matching(_chunk_index(spark, d), wanted).select(F.col("id").alias("chunk_id"))
+
+
 # Vectors
 
 
@@ -419,6 +457,26 @@ def hy2_hybrid_pages(spark, d):
     return retrieval.hybrid_pages(pages, QUESTION, first_vector(spark, d), retrieval.SEARCH_PAGES).select("page_id", F.round("rrf", 9).alias("rrf"))
 
 
+@query(ORACLE_SQL["hy1_hybrid_chunks"])
+def hy1_index_hybrid_chunks(spark, d):
+    """Both branches from kept indexes, the vectors by their exact search."""
+    chunks, pages, q = canonical.chunks(spark, d), canonical.pages(spark, d), first_vector(spark, d)
+    placed = chunks.join(pages.select("page_id"), "page_id", "left_semi")
+    vectors = canonical.embeddings(spark, d).join(placed.select("chunk_id"), "chunk_id", "left_semi")
+    near = vector_index.exact_top_k(vector_index.build(vectors.withColumnRenamed("chunk_id", "id")), q).withColumnRenamed("id", "chunk_id")
+    best = retrieval.fuse(near, text_index.lexical_top_k(text_index.build(placed), QUESTION), "chunk_id", retrieval.FINAL_CHUNKS)
+    return best.join(chunks, "chunk_id").join(pages, "page_id").select("chunk_id", "page_id", "title", F.round("rrf", 9).alias("rrf"))
+
+
+@query(ORACLE_SQL["hy2_hybrid_pages"])
+def hy2_index_hybrid_pages(spark, d):
+    pages = canonical.text_pages(spark, d)
+    vectors = canonical.embeddings(spark, d).withColumnRenamed("chunk_id", "id").join(pages.select(F.col("page_id").alias("id")), "id", "left_semi")
+    near = vector_index.exact_top_k(vector_index.build(vectors), first_vector(spark, d)).withColumnRenamed("id", "page_id")
+    best = retrieval.fuse(near, text_index.weighted_top_k(_page_index(spark, d), QUESTION), "page_id", retrieval.SEARCH_PAGES)
+    return best.select("page_id", F.round("rrf", 9).alias("rrf"))
+
+
 _BEST = f"WITH {P}, {C}, {E}, {HV}, {HL}, {R}, b AS (SELECT c.page_id, title, r.chunk_id, CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS excerpt, rrf FROM r JOIN c USING (chunk_id) JOIN p ON p.page_id = c.page_id QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY rrf DESC, r.chunk_id) = 1)"
 
 
