@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from wikiloom.operators.blocks import page_text
 
@@ -35,11 +36,15 @@ class WikiPages(DataSource):
         return "wiki_pages"
 
     def schema(self) -> str:
-        return "external_id string, title string, space string, url string, html string"
+        own = "external_id string, title string, space string, url string, html string"
+        return f"{own}, modified long" if "changes" in self.options else own
 
     def reader(self, schema) -> DataSourceReader:
         return WikiReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return WikiChanges(self.options)
+
 
 def follow(fetch: Callable[[int, int], list], offset: int, limit: int) -> Iterator[tuple]:
     """The rows of a listing from ``offset`` on, up to a page of it that isn't full."""
@@ -72,6 +77,46 @@ class WikiReader(DataSourceReader):
         yield from follow(fetch, offset, self.limit) if last else fetch(offset, self.limit)
 
 
+class WikiChanges(DataSourceStreamReader):
+    """The pages that a wiki changed: each batch those from the time where the batch before ended up to the newest change.
+
+    Times are whole numbers that never go down (milliseconds, say). newest: "module:function" of (), the time of the newest
+    change, None without any; changes: "module:function" of (from, before, offset, limit), the changed pages (with their
+    time last) of that span in a fixed order. ``settle``: so much before the newest change a batch ends, where a wiki may
+    still add changes of times that have been; ``tasks``: a batch's span is cut into so many. A batch that is tried again
+    asks for its span again; Spark's checkpoint holds where it ended.
+    """
+
+    def __init__(self, options: dict):
+        self.changes, self.newest, self.limit = options["changes"], options["newest"], int(options.get("limit", PAGE_LIMIT))
+        self.start, self.settle, self.tasks = int(options.get("from", 0)), int(options.get("settle", 0)), int(options.get("tasks", 4))
+
+    def initialOffset(self) -> dict:
+        return {"before": self.start}
+
+    def latestOffset(self) -> dict:
+        newest = imported(self.newest)()
+        return {"before": self.start if newest is None else max(self.start, newest + 1 - self.settle)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        first, stop = start["before"], end["before"]
+        cuts = sorted({first + (stop - first) * i // self.tasks for i in range(self.tasks + 1)})
+        return [InputPartition(span) for span in pairwise(cuts)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        changes = imported(self.changes)
+        yield from follow(lambda offset, limit: changes(*partition.value, offset, limit), 0, self.limit)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for a batch."""
+
+
+def follow_wiki(spark: SparkSession, changes: str, newest: str, **options: int) -> DataFrame:
+    """A stream of (external_id, title, space, url, html, modified); see WikiChanges for the options."""
+    spark.dataSource.register(WikiPages)
+    return spark.readStream.format("wiki_pages").options(changes=changes, newest=newest, **{k: str(v) for k, v in options.items()}).load()
+
+
 def read_wiki(spark: SparkSession, fetch: str, total: int = 0, limit: int = PAGE_LIMIT) -> DataFrame:
     spark.dataSource.register(WikiPages)
     return spark.read.format("wiki_pages").options(fetch=fetch, total=str(total), limit=str(limit)).load()

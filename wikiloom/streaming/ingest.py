@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wikiloom.operators.chunker import ChunkOptions, chunks
 from wikiloom.operators.tables import sync_log
@@ -27,6 +29,37 @@ def latest_in_stream(changes: DataFrame, key: str, time: str = "ts", late: str =
     return changes.withWatermark(time, late).dropDuplicatesWithinWatermark([key, time])
 
 
+def newer_versions(changes: DataFrame, key: str = "id", version: str = "version", forget_ms: int | None = None) -> DataFrame:
+    """Of a stream's rows those whose version is above every version of their key that went before, whatever batch it was
+    in; of several in a batch the newest, of equals one.
+
+    The state of a key is its version, a whole number; null is the least. ``forget_ms``: a key without news for so long is
+    forgotten, and its next row counts whatever its version. Rows without a key are dropped.
+    """
+    least = -(1 << 63)
+    names = changes.columns
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get[0] if state.exists else None
+        best, row = None, None
+        for frame in frames:
+            own = [least if pd.isna(v) else int(v) for v in frame[version]]
+            at = max(range(len(own)), key=own.__getitem__)
+            if best is None or own[at] > best:
+                best, row = own[at], frame.iloc[[at]]
+        if row is not None and (held is None or best > held):
+            state.update((best,))
+            yield row[names]
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return changes.where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(step, changes.schema, "version long", "append", timeout)
+
+
 def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, options: ChunkOptions | None = None, after: Callable[[DataFrame, int], None] | None = None, version: str | None = None, buckets: int = BUCKETS, log: str | None = None) -> StreamingQuery:
     """Chunk the pages (id, title, text) of files that weren't seen before and replace these pages' chunks in ``sink``.
 
@@ -42,12 +75,23 @@ def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, check
     being the least; the chunks keep that column, and a page older than its chunks in the sink is left out. A page
     whose text gives no chunks leaves no version there.
     """
-    order = [F.col(c).desc_nulls_last() for c in ([version] if version else []) + ["__written"]]
+    written = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index").alias("__written")
+    stream = spark.readStream.schema(schema).parquet(source).select("*", written)
+    return ingest(stream, sink, checkpoint, options, after, version, buckets, log)
+
+
+def ingest(stream: DataFrame, sink: str, checkpoint: str, options: ChunkOptions | None = None, after: Callable[[DataFrame, int], None] | None = None, version: str | None = None, buckets: int = BUCKETS, log: str | None = None) -> StreamingQuery:
+    """start_ingest for any stream of pages (id, title, text). Of several rows of a page in a batch that of the greatest
+    version counts, or else of the greatest __written, if the stream has that column. Where ``newer_versions`` has gone
+    over the stream, no version is needed here, and the sink isn't read for the versions that it has."""
+    spark = stream.sparkSession
+    order = [F.col(c).desc_nulls_last() for c in ([version] if version else []) + [c for c in ("__written",) if c in stream.columns]]
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets))
 
     def prepare(batch: DataFrame, pending: str) -> None:
-        numbered = batch.withColumn("__number", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
-        pages = numbered.where("__number = 1").drop("__number", "__written")
+        pages = batch.where("id IS NOT NULL")
+        pages = pages.withColumn("__number", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("__number = 1").drop("__number") if order else pages.dropDuplicates(["id"])
+        pages = pages.drop("__written")
         there = _exists(spark, sink)
         if version and there:
             held = spark.read.schema(f"id {pages.schema['id'].dataType.simpleString()}, {version} {pages.schema[version].dataType.simpleString()}").parquet(sink)
@@ -57,11 +101,12 @@ def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, check
         if version:
             new = new.join(pages.select("id", version), "id")
         out = new = new.withColumn("bucket", bucket)
-        touched = pages.select(bucket.alias("bucket")).distinct()
+        # The buckets that the batch touches, and how many pages it has in each: written once, for the log too.
+        touched = pages.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("pages"))
         touched.write.mode("overwrite").parquet(f"{pending}-touched")
         if there:
             old = spark.read.schema(new.schema).parquet(sink)
-            out = new.unionByName(old.join(touched, "bucket", "left_semi").join(pages.select("id"), "id", "left_anti"))
+            out = new.unionByName(old.join(touched.select("bucket"), "bucket", "left_semi").join(pages.select("id"), "id", "left_anti"))
         out.write.mode("overwrite").parquet(pending)
 
     def replace(batch: DataFrame, number: int) -> None:
@@ -77,19 +122,22 @@ def start_ingest(spark: SparkSession, source: str, schema: str, sink: str, check
                 _delete(spark, f"{sink.rstrip('/')}/bucket={row['bucket']}")
             if after:
                 after(staged.drop("bucket"), number)
-            _note("completed", batch.select("id").distinct().count(), 0)
+            _note("completed", _pages(pending), 0)
         except Exception as e:
-            _note("failed", 0, batch.select("id").distinct().count(), str(e)[:1000])
+            _note("failed", 0, _pages(pending), str(e)[:1000])
             raise
         _delete(spark, pending)
         _delete(spark, f"{pending}-touched")
 
+    def _pages(pending: str) -> int:
+        """How many pages a batch has, of the table that it wrote first; 0 if it didn't come that far."""
+        there = _exists(spark, f"{pending}-touched/_SUCCESS")
+        return (spark.read.parquet(f"{pending}-touched").agg(F.sum("pages")).first()[0] or 0) if there else 0
+
     def _note(status: str, processed: int, failed: int, error: str | None = None) -> None:
         if log:
             sync_log(spark, "incremental", status, processed, failed, error).write.mode("append").parquet(log)
 
-    written = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index").alias("__written")
-    stream = spark.readStream.schema(schema).parquet(source).select("*", written)
     return stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
