@@ -22,10 +22,12 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], version: Colu
     return last.where("__rank = 1").drop("__rank", "__new")
 
 
-def replace_children(old: DataFrame, new: DataFrame, parent: str, order: str) -> DataFrame:
-    """All children of the parents in ``new`` give way to the new ones, whose ordinals start at 0 again."""
+def replace_children(old: DataFrame, new: DataFrame, parent: str, order: str, parents: DataFrame | None = None) -> DataFrame:
+    """All children of the parents in ``new`` give way to the new ones, whose ordinals start at 0 again. ``parents``: the
+    parents that were written again, those without children among them, whose old ones go."""
     renumbered = new.withColumn(order, F.row_number().over(Window.partitionBy(parent).orderBy(order)) - 1)
-    return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(renumbered)
+    written = new.select(parent) if parents is None else new.select(parent).union(parents.select(parent))
+    return old.join(written.distinct(), parent, "left_anti").unionByName(renumbered)
 
 
 def upsert_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as tx
-from wikiloom.functions.lexemes import ilike_any, query_prefixes, rank_of_count, term_count, text_hits
+from wikiloom.functions.lexemes import STOPWORDS, ilike_any, query_prefixes, rank_of_count, term_count, text_hits
 from wikiloom.functions.vectors import cosine, dummy_embedding, l2_distance, l2_normalize, norm, sql_cosine, string_hash
-from wikiloom.operators import clustering, context, links, retrieval, tables, text_index, text_query, vector_index
+from wikiloom.operators import clustering, context, links, questions, retrieval, tables, text_index, text_query, vector_index
 from wikiloom.operators.blocks import plain_text
 from wikiloom.operators.chunker import chunks as cut_chunks
-from wikiloom.sources import canonical, wiki
+from wikiloom.plans.shared import shared_path
+from wikiloom.sources import canonical, keyed, wiki
 from wikiloom.sources.tables import read_table
 from wikiloom.streaming.ingest import hourly
 
@@ -122,6 +123,23 @@ def tk6_paged_chunks(spark, d):
     return rows.where("n BETWEEN 2 AND 3").drop("n")
 
 
+def _keyed_pages(spark, d):
+    """Pages in order of page_id, with Bloom filters on slugs."""
+    own = canonical.pages(spark, d).select("page_id", "title", tx.slugify(F.col("title")).alias("slug"), "url")
+    return keyed.write_keyed(own, shared_path(spark, "keyed-pages"), "page_id", ("slug",))
+
+
+@query(f"WITH {P} SELECT page_id, title, url FROM p WHERE page_id = 7")
+def sc2_keyed_lookup(spark, d):
+    return keyed.lookup(_keyed_pages(spark, d), page_id=7).select("page_id", "title", "url")
+
+
+@query(f"WITH {P}, s AS (SELECT page_id, title, {_SLUG} AS slug FROM p) SELECT page_id, title, slug FROM s WHERE slug = (SELECT slug FROM s WHERE page_id = 7)")
+def pf13_keyed_slug(spark, d):
+    pages = _keyed_pages(spark, d)
+    return keyed.lookup(pages, slug=keyed.lookup(pages, page_id=7).first()["slug"]).select("page_id", "title", "slug")
+
+
 # Aggregates
 
 
@@ -501,6 +519,37 @@ def hy8_prompt(spark, d):
     return retrieval.prompt(_hybrid(spark, d))
 
 
+# Many questions in one plan
+
+
+@query(f"WITH {E}, q AS (SELECT chunk_id AS question_id, embedding AS v FROM e WHERE chunk_id % 20 = 0), s AS (SELECT question_id, chunk_id, coalesce(list_cosine_similarity(embedding, v), 0) AS score FROM q, e) SELECT question_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 20")
+def jn8_questions_by_vector(spark, d):
+    """Every twentieth embedding asks."""
+    own = canonical.embeddings(spark, d)
+    asked = own.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "question_id")
+    return questions.vectors_top_k(own, asked).select("question_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+
+
+@query(rf"WITH {C}, q AS (SELECT DISTINCT item_id AS question_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) >= 3)) AS prefix FROM benchmark), f AS (SELECT question_id, prefix, substring(prefix, 1, 3) AS head FROM q WHERE prefix NOT IN ({_STOP})), x AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({_LEX.format('content')}) AS term FROM c) GROUP BY ALL), t AS (SELECT DISTINCT term, substring(term, 1, 3) AS head FROM x), m AS (SELECT DISTINCT question_id, term FROM t JOIN f USING (head) WHERE starts_with(term, prefix)), s AS (SELECT question_id, chunk_id, sum(tf) * 0.1::DOUBLE AS score FROM m JOIN x USING (term) GROUP BY ALL) SELECT question_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 20")
+def tk3_questions_by_words(spark, d):
+    """Every passage of benchmark asks."""
+    asked = read_table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return questions.lexical_top_k(canonical.chunks(spark, d), asked).select("question_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def hy1_questions_hybrid(spark, d):
+    """Both branches for every passage of benchmark, with an embedding for its vector; tests/test_questions.py holds it
+    against one question at a time."""
+    vectors = canonical.embeddings(spark, d).withColumnRenamed("chunk_id", "question_id")
+    asked = read_table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")).join(vectors, "question_id", "left")
+    found = questions.hybrid_chunks(canonical.chunks(spark, d), canonical.embeddings(spark, d), canonical.pages(spark, d), asked)
+    return found.select("question_id", "rank", "chunk_id", "page_id", "title", F.round("rrf", 9).alias("rrf"))
+
+
 # Context
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from wikiloom.operators.blocks import page_text
+from wikiloom.sources.docx import docx_text
 
 # Fixed values.
 PAGE_LIMIT, ATTACHMENT_LIMIT, LARGEST_FILE, LEAST_TEXT = 50, 100, 26_214_400, 20
@@ -168,12 +169,12 @@ def is_extractable(media_type: Column, name: Column) -> Column:
 
 
 def extract_text(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """``files`` (media_type, file_name, content) with text and kind. Text is decoded in the JVM, markup read by the page
-    parser; readers for pdf and docx (or others) are the caller's, run in batches; a kind without a reader, or a file that
+    """``files`` (media_type, file_name, content) with text and kind. Text is decoded in the JVM; markup and docx are read in
+    batches; readers for pdf, or in place of these, are the caller's; a kind without a reader, or a file that
     its reader can't read, gives ''."""
     kind = media_class(F.col("media_type"), F.col("file_name"))
     known = files.withColumn("kind", kind).withColumn("text", F.when(kind == "text", F.decode("content", "UTF-8")).otherwise(""))
-    own = {"html": lambda data: page_text(data.decode("utf-8", "replace"))} | (readers or {})
+    own = {"html": lambda data: page_text(data.decode("utf-8", "replace")), "docx": docx_text} | (readers or {})
 
     @F.pandas_udf("string")
     def read(kinds: pd.Series, contents: pd.Series) -> pd.Series:
