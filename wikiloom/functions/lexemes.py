@@ -63,17 +63,29 @@ def hits(tokens: Column, prefixes: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda t: starts_with_any(t, prefixes)))
 
 
-def text_hits(c: Column, prefixes: list[str]) -> Column:
-    """``hits`` of a text's lexemes, counted in the text: starts of lexemes at which one of the prefixes stands."""
+def lowered(c: Column) -> Column:
+    """A text in small letters, an empty one for null."""
+    return F.lower(F.coalesce(c, F.lit("")))
+
+
+def text_hits(low: Column, prefixes: list[str]) -> Column:
+    """``hits`` of the lexemes of a text in small letters, counted in the text: starts of lexemes at which one of the prefixes
+    stands. What stands before a prefix is looked at last, as few places have the prefix."""
     if not prefixes:
         return F.lit(0)
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return F.regexp_count(low, F.lit(f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(map(re.escape, prefixes))})"))
+    each = (f"{p}(?<![\\p{{L}}\\p{{N}}]{p})" for p in map(re.escape, prefixes))
+    return F.regexp_count(low, F.lit("|".join(each)))
+
+
+def holds_any(low: Column, patterns: list[str]) -> Column:
+    """Whether a text in small letters is like one of some patterns of like_patterns."""
+    return reduce(lambda a, b: a | b, (low.contains(p.strip("%")) if p else low == "" for p in patterns), F.lit(False))
 
 
 def term_count(c: Column, term: str) -> Column:
     """How many of a text's lexemes are ``term``."""
-    return F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"(?<![\\p{{L}}\\p{{N}}]){re.escape(term)}(?![\\p{{L}}\\p{{N}}])"))
+    own = re.escape(term)
+    return F.regexp_count(lowered(c), F.lit(f"{own}(?<![\\p{{L}}\\p{{N}}]{own})(?![\\p{{L}}\\p{{N}}])"))
 
 
 def cover_rank(tokens: Column, prefixes: list[str], weight: float = WEIGHT_D) -> Column:

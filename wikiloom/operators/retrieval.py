@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wikiloom.functions.english import meaningful, question_stems, stems
-from wikiloom.functions.lexemes import WEIGHT_A, WEIGHT_B, WEIGHT_D, ilike_any, lexemes, like_patterns, query_prefixes, rank_of_count, term_count, text_hits
+from wikiloom.functions.lexemes import WEIGHT_A, WEIGHT_B, WEIGHT_D, holds_any, lexemes, like_patterns, lowered, query_prefixes, rank_of_count, term_count, text_hits
 from wikiloom.functions.text import excerpt, slugify
 from wikiloom.functions.vectors import cosine
 
@@ -48,7 +48,7 @@ def vector_top_k(vectors: DataFrame, query: list[float], id_col: str, vector_col
 
 def lexical_top_k(texts: DataFrame, question: str, id_col: str, text_col: str = "content", k: int = CANDIDATES) -> DataFrame:
     """(id, score): the k texts of the highest cover rank among those that match."""
-    scored = once(texts, (id_col,), hits=text_hits(F.col(text_col), query_prefixes(question))).where("hits > 0")
+    scored = once(texts, (id_col,), hits=text_hits(lowered(F.col(text_col)), query_prefixes(question))).where("hits > 0")
     return scored.select(id_col, (F.col("hits") * F.lit(WEIGHT_D)).alias("score")).orderBy(F.col("score").desc(), id_col).limit(k)
 
 
@@ -56,11 +56,11 @@ def weighted_top_k(pages: DataFrame, question: str, id_col: str = "page_id", k:
     """(id, score): pages by title (weight A) and content (weight B) hits, with bonuses for focus terms as substrings."""
     prefixes = query_prefixes(question)
     wide, focus = like_patterns(question)
-    title, content = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
-    counted = once(pages.select(id_col, title.alias("title"), content.alias("content")), (id_col, "title", "content"), in_title=text_hits(F.col("title"), prefixes), in_content=text_hits(F.col("content"), prefixes))
-    found = counted.where((F.col("in_title") > 0) | (F.col("in_content") > 0) | ilike_any(F.col("title"), wide) | ilike_any(F.col("content"), wide))
-    bonus = F.when(ilike_any(F.col("title"), focus), TITLE_BONUS).otherwise(0.0) + F.when(ilike_any(F.col("content"), focus), CONTENT_BONUS).otherwise(0.0)
-    scored = found.select(id_col, (F.col("in_title") * F.lit(WEIGHT_A) + F.col("in_content") * F.lit(WEIGHT_B) + bonus).alias("score"))
+    low = once(pages, (id_col,), title=lowered(F.col("title")), content=lowered(F.col("content")))
+    tests = {"in_title": text_hits(F.col("title"), prefixes), "in_content": text_hits(F.col("content"), prefixes), "wide": holds_any(F.col("title"), wide) | holds_any(F.col("content"), wide)}
+    bonus = F.when(holds_any(F.col("title"), focus), TITLE_BONUS).otherwise(0.0) + F.when(holds_any(F.col("content"), focus), CONTENT_BONUS).otherwise(0.0)
+    found = once(low, (id_col,), **tests, bonus=bonus).where("in_title > 0 OR in_content > 0 OR wide")
+    scored = found.select(id_col, (F.col("in_title") * F.lit(WEIGHT_A) + F.col("in_content") * F.lit(WEIGHT_B) + F.col("bonus")).alias("score"))
     ordered = scored.orderBy(F.col("score").desc(), id_col)
     return ordered.limit(k) if k else ordered
 
@@ -92,7 +92,7 @@ def search_english(pages: DataFrame, question: str, id_col: str = "page_id", tex
     wanted = question_stems(question)
     first = sorted({w[0] for w in wanted})
     words = pages.select(id_col, F.explode(lexemes(F.col(text_col))).alias("word")).where(F.substring("word", 1, 1).isin(*first) & meaningful(F.col("word")))
-    counted = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n")).withColumn("stem", stems(F.col("word")))
+    counted = once(words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n")), (id_col, "n"), stem=stems(F.col("word")))
     held = counted.where(F.col("stem").isin(*wanted)).groupBy(id_col, "stem").agg(F.sum("n").cast("int").alias("n"))
     ranked = held.groupBy(id_col).agg(F.count(F.lit(1)).alias("stems"), F.sum(rank_of_count(F.col("n"))).alias("rank"))
     return ranked.where(F.col("stems") == len(wanted)).select(id_col, "rank").orderBy(F.col("rank").desc(), id_col)

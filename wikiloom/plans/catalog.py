@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as tx
-from wikiloom.functions.lexemes import STOPWORDS, ilike_any, query_prefixes, rank_of_count, term_count, text_hits
+from wikiloom.functions.lexemes import STOPWORDS, ilike_any, lowered, query_prefixes, rank_of_count, term_count, text_hits
 from wikiloom.functions.vectors import cosine, dummy_embedding, l2_distance, l2_normalize, norm, sql_cosine, string_hash
 from wikiloom.operators import clustering, context, links, questions, retrieval, tables, text_index, text_query, vector_index
 from wikiloom.operators.blocks import plain_text
@@ -321,7 +321,7 @@ def sc6_media_class(spark, d):
 
 @query(f"WITH {C} SELECT chunk_id, hits, round(hits * 0.1::DOUBLE, 6) AS score FROM (SELECT chunk_id, {_HITS.format('content')}::INT AS hits FROM c) WHERE hits > 0")
 def ft7_cover_rank(spark, d):
-    ranked = retrieval.once(canonical.chunks(spark, d), ("chunk_id",), hits=text_hits(F.col("content"), query_prefixes(QUESTION))).where("hits > 0")
+    ranked = retrieval.once(canonical.chunks(spark, d), ("chunk_id",), hits=text_hits(lowered(F.col("content")), query_prefixes(QUESTION))).where("hits > 0")
     return ranked.select("chunk_id", "hits", F.round(F.col("hits") * 0.1, 6).alias("score"))
 
 

@@ -14,6 +14,8 @@ from wikiloom.functions.text import host, plain_title, token_estimate
 from wikiloom.sources.tables import read_table
 
 CHUNKS_PER_PAGE = 4
+#: Page ids of a run of a host's pages.
+EDGE_RUN = 4096
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,9 +47,14 @@ def embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
-    own = read_table(spark, folder, "pages").select("page_id", host(F.col("url")).alias("space"))
-    target = F.lead("page_id").over(Window.partitionBy("space").orderBy("page_id"))
-    return own.select(F.col("page_id").alias("source_page_id"), target.alias("target_page_id"), F.lit("references").alias("relationship_type")).where("target_page_id IS NOT NULL")
+    """Each page of a host refers to the host's next page. A host's pages are ordered run by run of EDGE_RUN ids, and only the
+    runs' first pages all together, so that a large host isn't sorted in one task."""
+    own = read_table(spark, folder, "pages").select("page_id", host(F.col("url")).alias("space")).withColumn("run", F.floor(F.col("page_id") / EDGE_RUN))
+    inside = own.withColumn("next", F.lead("page_id").over(Window.partitionBy("space", "run").orderBy("page_id")))
+    firsts = own.groupBy("space", "run").agg(F.min("page_id").alias("first"))
+    after = firsts.select("space", "run", F.lead("first").over(Window.partitionBy("space").orderBy("run")).alias("after"))
+    linked = inside.join(after, ["space", "run"]).withColumn("target_page_id", F.coalesce("next", "after"))
+    return linked.select(F.col("page_id").alias("source_page_id"), "target_page_id", F.lit("references").alias("relationship_type")).where("target_page_id IS NOT NULL")
 
 
 def attachments(spark: SparkSession, folder: str) -> DataFrame:
