@@ -72,10 +72,10 @@ def sections(found: DataFrame) -> DataFrame:
     heading = F.col("type") == "heading"
     out = found.withColumn("section", F.coalesce(F.sum(heading.cast("int")).over(upto), F.lit(0)))
     for n in range(1, 7):
-        own = F.when(heading & (F.col("level") == n), F.struct("block", "content"))
-        above = F.when(heading & (F.col("level") < n), F.col("block"))
-        out = out.withColumn(f"h{n}", F.max(own).over(upto)).withColumn(f"a{n}", F.coalesce(F.max(above).over(upto), F.lit(-1)))
-    path = F.concat_ws(" > ", *(F.when(F.col(f"h{n}.block") > F.col(f"a{n}"), F.col(f"h{n}.content")) for n in range(1, 7)))
+        out = out.withColumn(f"h{n}", F.max(F.when(heading & (F.col("level") == n), F.struct("block", "content"))).over(upto))
+    # A heading counts until one of a higher level comes after it.
+    since = lambda n: F.greatest(F.lit(-1), F.lit(-1), *(F.coalesce(f"h{m}.block", F.lit(-1)) for m in range(1, n)))
+    path = F.concat_ws(" > ", *(F.when(F.col(f"h{n}.block") > since(n), F.col(f"h{n}.content")) for n in range(1, 7)))
     placed = out.select("id", "section", path.alias("path"), F.struct("block", "type", "level", "content").alias("b"))
     return placed.groupBy("id", "section").agg(F.first("path").alias("path"), F.array_sort(F.collect_list("b")).alias("blocks"))
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Vectors, and bytes of their components, from which the first centres are drawn: those with the smallest hashes.
 SAMPLE, SAMPLE_BYTES = 16384, 16 << 20
+#: Distances that a task computes at once.
+DISTANCES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -47,10 +49,20 @@ def matrix_of(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def sample_of(vectors: DataFrame, dims: int, count: int = SAMPLE, seed: int = 5) -> np.ndarray:
-    """Distinct vectors of a length: those with the smallest hashes, bounded by ``count`` and SAMPLE_BYTES."""
-    some = of_length(vectors, dims).select("vector", F.xxhash64("vector", F.lit(seed)).alias("h")).groupBy("h").agg(F.min("vector").alias("vector"))
-    rows = some.orderBy("h").limit(max(1, min(count, SAMPLE_BYTES // (8 * dims)))).select("vector").collect()
-    return np.array([r[0] for r in rows], float).reshape(-1, dims)
+    """Distinct vectors of a length: those with the smallest hashes, bounded by ``count`` and SAMPLE_BYTES.
+
+    On a large table only hashes below a threshold are told apart, so that the table isn't shuffled; where copies leave too
+    few of these, all are.
+    """
+    wanted = max(1, min(count, SAMPLE_BYTES // (8 * dims)))
+    hashed = of_length(vectors, dims).select("vector", F.xxhash64("vector", F.lit(seed)).alias("h"))
+    some = lambda rows: [r[0] for r in rows.groupBy("h").agg(F.min("vector").alias("vector")).orderBy("h").limit(wanted).select("vector").collect()]
+    total, found = vectors.count(), []
+    if total > 16 * wanted:
+        found = some(hashed.where(F.col("h") < -(1 << 63) + (1 << 64) * 8 * wanted // total))
+    if len(found) < wanted:
+        found = some(hashed)
+    return np.array(found, float).reshape(-1, dims)
 
 
 def spread_centres(sample: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
@@ -69,9 +81,12 @@ def spread_centres(sample: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
 
 
 def nearest_centre(matrix: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's nearest centre, the first of equals, and the distance to it."""
-    square = (centres**2).sum(axis=1)[None, :] - 2 * matrix @ centres.T
-    own = square.argmin(axis=1)
+    """Each row's nearest centre, the first of equals, and the distance to it; so many rows at once that their distances to
+    all centres have DISTANCES numbers at most."""
+    own, step = np.zeros(len(matrix), np.int64), max(1, DISTANCES // len(centres))
+    squares = (centres**2).sum(axis=1)[None, :]
+    for start in range(0, len(matrix), step):
+        own[start : start + step] = (squares - 2 * matrix[start : start + step] @ centres.T).argmin(axis=1)
     return own, np.sqrt(np.maximum(0.0, ((matrix - centres[own]) ** 2).sum(axis=1)))
 
 

@@ -28,8 +28,8 @@ from wikiloom.operators.clustering import SAMPLE, kmeans, matrix_of, nearest_cen
 from wikiloom.operators.retrieval import CANDIDATES, literal_vector, vector_top_k
 from wikiloom.plans.shared import shared_path
 
-#: Cells: the square root of the vectors' number, within these bounds.
-LEAST_CELLS, MOST_CELLS = 16, 4096
+#: Cells: the square root of the vectors' number, within these bounds; bytes of all centres, which every task holds.
+LEAST_CELLS, MOST_CELLS, CENTRE_BYTES = 16, 4096, 16 << 20
 CODE_BITS, CODE_WORDS = 256, 4
 #: What the fit asks for, of how many neighbours, and with how many of the sample's vectors as questions.
 RECALL, NEIGHBOURS, QUESTIONS = 0.97, 20, 256
@@ -136,7 +136,7 @@ def build(vectors: DataFrame, path: str | None = None, cells: int | None = None,
         dims, count = r["dims"], r["count"]
         if dims < 1 or count * SAMPLE < total:
             continue
-        wanted = cells or min(MOST_CELLS, max(LEAST_CELLS, int(count**0.5)))
+        wanted = cells or min(MOST_CELLS, max(LEAST_CELLS, int(count**0.5)), max(1, CENTRE_BYTES // (8 * dims)))
         found = kmeans(known, wanted, dims, rounds, 1e-4, unit=True)
         if len(found.centres):
             first = 1 + max((s.cells.max() for s in spaces.values()), default=-1)
