@@ -50,18 +50,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal values replaced by pseudonyms; null texts, repeated rows and extra columns stay."""
+    """Every document, personal values replaced by pseudonyms; null and empty texts, repeated rows and extra columns stay; an
+    empty table gives no rows."""
     return _measured(pseudonymous(docs, PII_KEY, spans=False)).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of the mix: each document, whole, as often as its source's target asks; those without words are in it
-    by their source's rate. A null source is a source; repeated rows share their copies; extra columns stay."""
+    by their source's rate. A null source is a source; repeated rows share their copies; extra columns stay; a long text is
+    in it whole or not at all; an empty table gives no rows."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of 2048 tokens, a row for each piece of a document; a null or empty text has one token."""
+    """Training sequences of 2048 tokens, a row for each piece of a document; a null or empty text has one token. Repeated rows
+    are packed each; the columns of documents but doc_id go; an empty table gives no rows."""
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
