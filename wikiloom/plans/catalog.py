@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from wikiloom.functions import text as tx
 from wikiloom.functions.lexemes import STOPWORDS, ilike_any, lowered, query_prefixes, rank_of_count, term_count, text_hits
-from wikiloom.functions.vectors import cosine, dummy_embedding, l2_distance, l2_normalize, norm, sql_cosine, string_hash
+from wikiloom.functions.vectors import cosine, dummy_embedding, l2_distance, l2_normalize, norm, sql_cosine, stored_vector, strict_cosine, string_hash
 from wikiloom.operators import clustering, context, links, questions, retrieval, tables, text_index, text_query, vector_index
-from wikiloom.operators.blocks import plain_text
+from wikiloom.operators.blocks import MARKUP, plain_text
 from wikiloom.operators.chunker import chunks as cut_chunks
 from wikiloom.plans.shared import shared_path
 from wikiloom.sources import canonical, keyed, wiki
@@ -223,9 +223,49 @@ def sk6_upsert_attachments(spark, d):
     return again.select("external_id", "page_id", "version")
 
 
+@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'old' END AS model, len(embedding)::INT AS dims FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 <> 0")
+def sk4_upsert_embeddings(spark, d):
+    own = canonical.embeddings(spark, d)
+    old = own.where("chunk_id % 3 != 0").select("chunk_id", "embedding", F.lit("old").alias("model"), F.current_timestamp().alias("created_at"))
+    new = own.where("chunk_id % 2 = 0").select("chunk_id", "embedding", F.lit("new").alias("model"))
+    return tables.upsert_embeddings(old, new).select("chunk_id", "model", F.size("embedding").alias("dims"))
+
+
+@query("SELECT 'att:' || doc_id AS external_id, CASE WHEN doc_id % 3 = 0 THEN 3 WHEN doc_id % 2 = 0 THEN octet_length(encode(text)) ELSE 0 END::BIGINT AS bytes FROM documents")
+def sk7_set_bytes(spark, d):
+    files = canonical.attachments(spark, d)
+    stored = files.select("external_id", F.when(F.substring_index("external_id", ":", -1).cast("long") % 2 == 0, F.encode("text", "UTF-8")).alias("file_data"))
+    fresh = files.select("external_id", F.when(F.substring_index("external_id", ":", -1).cast("long") % 3 == 0, F.encode(F.lit("new"), "UTF-8")).alias("file_data"))
+    return tables.set_bytes(stored, fresh, "external_id").select("external_id", F.coalesce(F.octet_length("file_data"), F.lit(0)).cast("long").alias("bytes"))
+
+
+@query(f"WITH {T} SELECT page_id, vec_id IS NOT NULL AS embedded FROM t LEFT JOIN embeddings ON vec_id = page_id")
+def sk9_page_embeddings(spark, d):
+    vectors = canonical.embeddings(spark, d).withColumnRenamed("chunk_id", "page_id")
+    return tables.set_page_embeddings(canonical.text_pages(spark, d), vectors).select("page_id", F.col("embedding").isNotNull().alias("embedded"))
+
+
+@query(f"WITH w AS (SELECT doc_id, lang, len({_WORDS.format('text')}) AS n FROM documents) SELECT doc_id AS id, CASE WHEN lang = 'en' THEN ceil(n / 150)::BIGINT ELSE 1 END AS chunks FROM w WHERE lang <> 'en' OR n > 0")
+def hy15_reprocess(spark, d):
+    """The pages of one language are cut anew."""
+    docs = read_table(spark, d, "documents")
+    stored = docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("chunk_index"), F.lit("old").alias("content"))
+    cut = lambda pages: pages.select("id", F.posexplode(tx.hard_pieces(F.col("text"), 300)).alias("chunk_index", "content"))
+    pages = docs.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), "text")
+    return tables.reprocess(pages, stored, cut).groupBy("id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 # Links
 
 
+@query(f"WITH {P}, {G}, k AS (SELECT space, lower(title) AS key, min(page_id) AS page_id FROM p GROUP BY ALL) SELECT DISTINCT source_page_id AS source_id, k.page_id FROM g JOIN p ON p.page_id = target_page_id JOIN k ON k.space = p.space AND k.key = lower(p.title)")
+def jn7_resolved_titles(spark, d):
+    """Every link of the graph written as a reference by space and title."""
+    pages = canonical.pages(spark, d)
+    refs = canonical.edges(spark, d).join(pages.withColumnRenamed("page_id", "target_page_id"), "target_page_id").select(F.col("source_page_id").alias("source_id"), "space", "title")
+    return links.resolve_titles(refs, pages)
+
+
 @query(f"WITH {P}, {G} SELECT source_page_id, relationship_type, target_page_id, title FROM g JOIN p ON page_id = target_page_id")
 def jn3_related_pages(spark, d):
     return context.related_pages(canonical.edges(spark, d), canonical.pages(spark, d))
@@ -316,9 +356,51 @@ def sc6_media_class(spark, d):
     return canonical.attachments(spark, d).select("file_name", kind.alias("kind"), (F.col("file_size") <= wiki.LARGEST_FILE).alias("stored"))
 
 
+@query("SELECT 'att:' || doc_id AS external_id, doc_id % 3 <> 2 AS extractable FROM documents")
+def sc7_extractable(spark, d):
+    return canonical.attachments(spark, d).select("external_id", wiki.is_extractable(F.lit(None).cast("string"), F.col("file_name")).alias("extractable"))
+
+
+@query("SELECT octet_length(encode(text)) AS bytes, 'text/plain' AS media_type, NULL::VARCHAR AS redirect FROM documents WHERE doc_id = 5")
+def sc10_stored_bytes(spark, d):
+    files = canonical.attachments(spark, d).select("external_id", F.encode("text", "UTF-8").alias("file_data"), F.lit("text/plain").alias("media_type"), F.concat(F.lit("/d/"), "external_id").alias("download_url"), F.lit(None).cast("string").alias("web_url"))
+    return wiki.stored_bytes(files, "att:5").select(F.octet_length("file_data").cast("long").alias("bytes"), "media_type", "redirect")
+
+
+@query("SELECT doc_id, regexp_matches(text, '<[a-zA-Z][^>]*>') AS is_markup FROM documents UNION ALL SELECT -1 - page_id, regexp_matches(html, '<[a-zA-Z][^>]*>') FROM pages")
+def tx5_markup(spark, d):
+    texts = read_table(spark, d, "documents").select("doc_id", "text").union(read_table(spark, d, "pages").select(-1 - F.col("page_id"), "html"))
+    return texts.select("doc_id", F.col("text").rlike(MARKUP).alias("is_markup"))
+
+
+@query(f"WITH {P} SELECT page_id, regexp_replace(title, '[^\\x20-\\x7E]', '_', 'g') AS file_name, printf('%.1f kB', floor(length(html) / 1024::DOUBLE * 10 + 0.5) / 10) AS size FROM p".replace("\\\\", "\\"))
+def tx25_file_names(spark, d):
+    return canonical.pages(spark, d).select("page_id", tx.ascii_file_name(F.col("title")).alias("file_name"), tx.kilobytes(F.length("html")).alias("size"))
+
+
+@query("SELECT doc_id, length(text || ' end.') AS n_chars, true AS grounded FROM documents")
+def tx26_answers(spark, d):
+    """Answers as models write them: marks of sources, and JSON within other text."""
+    own = read_table(spark, d, "documents").select("doc_id", "text")
+    marked = tx.without_citations(F.concat(F.regexp_replace("text", "\\[", "("), F.lit(" [1] [2, 3] end.")))
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.lit(True).alias("grounded"), marked.alias("answer"))), F.lit("\n```"))
+    return own.select("doc_id", tx.answer_fields(reply).alias("a")).select("doc_id", F.length("a.answer").cast("long").alias("n_chars"), "a.grounded")
+
+
 # Lexical search
 
 
+_PREFIXES = query_prefixes("Kontaktuppgifter till epost, tor")
+_ANY = " OR ".join(f"starts_with(t, '{x}')" for x in _PREFIXES)
+
+
+@query(f"WITH {C} SELECT chunk_id, hits FROM (SELECT chunk_id, len(list_filter({_LEX.format('content')}, lambda t: {_ANY}))::INT AS hits FROM c) WHERE hits > 0")
+def ft6_synonyms(spark, d):
+    """A question's terms and their synonyms."""
+    counted = retrieval.once(canonical.chunks(spark, d), ("chunk_id",), hits=text_hits(lowered(F.col("content")), _PREFIXES))
+    return counted.where("hits > 0")
+
+
 @query(f"WITH {C} SELECT chunk_id, hits, round(hits * 0.1::DOUBLE, 6) AS score FROM (SELECT chunk_id, {_HITS.format('content')}::INT AS hits FROM c) WHERE hits > 0")
 def ft7_cover_rank(spark, d):
     ranked = retrieval.once(canonical.chunks(spark, d), ("chunk_id",), hits=text_hits(lowered(F.col("content")), query_prefixes(QUESTION))).where("hits > 0")
@@ -425,6 +507,19 @@ def vc7_dummy_embedding(spark, d):
     return own.select("page_id", F.round(norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dims"))
 
 
+@query(f"WITH {E} SELECT chunk_id, round(list_cosine_similarity(embedding, {_COS}), 6) AS similarity FROM e")
+def vc4_strict_cosine(spark, d):
+    q = retrieval.literal_vector(first_vector(spark, d))
+    return canonical.embeddings(spark, d).select("chunk_id", F.round(strict_cosine(F.col("embedding"), q), 6).alias("similarity"))
+
+
+@query(f"WITH {E} SELECT chunk_id, round(list_sum(list_transform(list_transform(embedding, lambda x: (x / 3)::FLOAT), lambda x: x::DOUBLE)), 9) AS total FROM e")
+def vc10_stored_vectors(spark, d):
+    """Vectors in the precision that tables hold."""
+    stored = stored_vector(F.transform("embedding", lambda x: x / 3)).cast("array<double>")
+    return canonical.embeddings(spark, d).select("chunk_id", F.round(F.aggregate(stored, F.lit(0.0).cast("double"), lambda a, x: a + x), 9).alias("total"))
+
+
 @query()
 def vc11_index_top_k(spark, d):
     """The vector index, written and asked; tests/test_vector_index.py measures its recall."""
