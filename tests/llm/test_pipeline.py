@@ -1,5 +1,8 @@
 """Each stage of the pipeline on its own input, and the whole."""
 
+import zlib
+from collections import Counter
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -86,4 +89,31 @@ def test_texts_that_share_the_least_id(spark, ends):
 
 
 def test_run(spark):
-    assert cp.run(spark, FOLDER).columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] and cp.ORACLE_SQL is None
+    """The whole run gives the rows of its stages, one after another; every document's ids are covered as often as the mix
+    takes it, and every sequence is gapless and within its size."""
+    found = cp.run(spark, FOLDER)
+    assert found.columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] and cp.ORACLE_SQL is None
+    rows = found.collect()
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER).cache()
+    library = Tokenizer.from_file(public_tokenizers.path(cp.TOKENIZER))
+    wanted, sizes = Counter(), {}
+    for r in docs.collect():
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        sizes[r["doc_id"]] = len(ids)
+        for start in range(0, len(ids), 2048):
+            part = ids[start : start + 2048]
+            wanted[r["doc_id"], start, len(part), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part)), len(ids)] += 1
+    assert Counter(tuple(r)[:5] for r in rows) == wanted
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    ids = {r["doc_id"] for r in rows}
+    assert {i: sum(r["length"] for r in rows if r["doc_id"] == i) % sizes[i] for i in ids} == dict.fromkeys(ids, 0)
