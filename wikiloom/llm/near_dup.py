@@ -77,8 +77,8 @@ def shingles(text: str, size: int = 5) -> np.ndarray:
 
 def _attempts(bins: int, tries: int) -> np.ndarray:
     """Which bin an empty bin asks in each attempt, by a hash of (bin, attempt) alone."""
-    j, t = np.meshgrid(np.arange(bins, dtype=np.uint64), np.arange(tries, dtype=np.uint64), indexing="ij")
-    return (mix64(j * np.uint64(1_000_003) + t) % np.uint64(bins)).astype(np.int64)
+    t = np.arange(tries, dtype=np.uint64)
+    return np.stack([(mix64(np.uint64(j * 1_000_003) + t) % np.uint64(bins)).astype(np.int16) for j in range(bins)])
 
 
 _ATTEMPTS: dict[int, np.ndarray] = {}
