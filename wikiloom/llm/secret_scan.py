@@ -141,7 +141,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = shared_table(candidates(df, text_col, keep).withColumn("__row", row), "secret-candidates")
     counted = shared_table(ownership(found, F.col(repository_col), F.col(owner_col)), "secret-owners")
     spans = found.select("__row", F.explode(F.concat("base", "further")).alias("s"), F.pmod("__row", F.lit(SALT)).cast("int").alias("salt")).withColumn("hash", F.col("s.hash"))
-    judged = spans.join(counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["hash", "salt"]).groupBy("__row").agg(F.collect_list(F.struct("s", "owners", "repositories")).alias("all"))
+    # The counts grow with the corpus: they are merged, never broadcast.
+    judged = spans.join(counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge"), ["hash", "salt"]).groupBy("__row").agg(F.collect_list(F.struct("s", "owners", "repositories")).alias("all"))
     none = F.array().cast(f"array<struct<s: {SPAN_FIELDS}, owners: bigint, repositories: bigint>>")
     out = found.join(judged, "__row", "left").withColumn("all", F.coalesce("all", none))
     pick = lambda test: F.transform(F.filter("all", test), lambda x: x["s"])
