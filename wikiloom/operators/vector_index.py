@@ -211,7 +211,7 @@ def candidates(index: VectorIndex, query: list[float]) -> DataFrame:
     """(id, embedding) of the vectors that a question compares exactly: they can stand for all embeddings in a search."""
     asked = np.asarray(query, float)
     space = index.spaces.get(len(query))
-    if space is None or not np.isfinite(asked).all():
+    if space is None or not np.isfinite(asked).all() or not asked.any():
         return index.cells.select("id", "embedding")
     own = unit_rows(asked[None, :])
     alike = differing_bits(F.col("code"), codes_of(own, space.planes)[0].tolist()) <= space.bits
@@ -220,7 +220,7 @@ def candidates(index: VectorIndex, query: list[float]) -> DataFrame:
 
 def top_k(index: VectorIndex, query: list[float], k: int = CANDIDATES, known: DataFrame | None = None) -> DataFrame:
     """(id, score): the k vectors most like the query of those compared, ties to smaller ids; with ``known`` (ids, each once),
-    of these. A query of another length than all vectors, or that isn't finite, is compared with every vector."""
+    of these. A query of another length than all vectors, a zero one, or one that isn't finite is compared with every vector."""
     return vector_top_k(candidates(index, query), query, "id", k=k, known=known)
 
 
