@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from wikiloom.operators import questions, retrieval
 from wikiloom.sources import canonical, keyed
 
+from .measures import shuffled
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -81,3 +83,25 @@ def test_lookups_leave_row_groups_out(spark, tmp_path, name, value):
     for i in range(leaves.size()):
         rows.append(leaves.apply(i).metrics().apply("numOutputRows").value())
     assert 0 < sum(rows) < 50_000
+
+
+def test_words_meet_in_blocks(spark, monkeypatch):
+    """No row for each word is shuffled; blocks of any size, and rows of one id, give what one question gives."""
+    rng = np.random.default_rng(3)
+    made = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 200)) for _ in range(1500)]
+    texts = spark.createDataFrame(list(enumerate(made)), "chunk_id long, content string").localCheckpoint()
+    asked = spark.createDataFrame([(i, f"w{i} w{i}1 w{i}2") for i in range(100, 160)], "question_id int, question string")
+    before = shuffled(spark)
+    whole = sorted(map(tuple, questions.lexical_top_k(texts, asked, k=5).collect()))
+    assert len(whole) == 300 and shuffled(spark) - before < 1.5 * sum(map(len, made))
+    monkeypatch.setattr(questions, "TEXT_ROWS", 7)
+    monkeypatch.setattr(questions, "QUESTION_ROWS", 9)
+    monkeypatch.setattr(questions, "KEPT_COUNTS", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert sorted(map(tuple, questions.lexical_top_k(texts, asked, k=5).collect())) == whole
+        halves = texts.selectExpr("chunk_id", "explode(array(substring(content, 1, 300), substring(content, 301, 9999))) AS content")
+        joined = halves.groupBy("chunk_id").agg(F.array_join(F.collect_list("content"), " ").alias("content"))
+        assert sorted(map(tuple, questions.lexical_top_k(halves, asked, k=5).collect())) == sorted(map(tuple, questions.lexical_top_k(joined, asked, k=5).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
