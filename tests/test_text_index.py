@@ -8,6 +8,8 @@ from wikiloom.functions.lexemes import query_prefixes
 from wikiloom.operators import retrieval, text_index, text_query
 from wikiloom.operators.text_query import Every, Phrase, Some, Without, cover_density, cover_ranked, covers, every, matching, phrase, prefix, some, web_condition, without, word
 
+from .measures import shuffled
+
 VOCABULARY = ["löner", "lön", "semester", "semesterdagar", "the", "other", "of", "is", "a1", "dag", "mail", "info"]
 
 
@@ -134,3 +136,26 @@ def test_what_people_write():
     assert web_condition("or a or b or c") == every(word("or"), some(word("a"), word("b"), word("c")))
     assert web_condition('e-mail -"x y"') == every(phrase("e mail"), without(phrase("x y")))
     assert web_condition("?? -") == every()
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Postings are made where their block is; parts of a block, and rows of one id, change no rank."""
+    rnd = random.Random(5)
+    made = [(i, "", " ".join(f"w{rnd.randrange(3000)}" for _ in range(200))) for i in range(1500)]
+    df = spark.createDataFrame(made, "page_id long, title string, content string").localCheckpoint()
+    before = shuffled(spark)
+    text_index.build(df, ("content",), "page_id")
+    assert shuffled(spark) - before < 1.5 * sum(len(r[2]) for r in made)
+    monkeypatch.setattr(text_index, "HELD_WORDS", 30)
+    monkeypatch.setattr(text_index, "BLOCK_IDS", 20)
+    _, few = texts(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        index = text_index.build(few, ("title", "content"), "page_id")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert index.postings.groupBy("term", "field", "block").count().where("count > 1").count()
+    for k in (None, 4):
+        assert scores(text_index.weighted_top_k(index, "löner semester", k=k)) == scores(retrieval.weighted_top_k(few, "löner semester", k=k))
+    twice = spark.createDataFrame([(1, "", "the other"), (1, "", "the"), (2, "", "other"), (2, "", "")], few.schema)
+    assert [(r["id"], sorted(r["places"])) for r in text_index.live(text_index.build(twice, ("content",), "page_id"), text_index.F.col("term") == "the").collect()] == [(1, [1, 1])]

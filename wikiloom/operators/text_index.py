@@ -1,32 +1,41 @@
-"""A stored inverted index of texts: postings with positions, in files of term ranges.
+"""A stored inverted index of texts: postings with positions, in files of whole blocks, each in order of terms.
 
 A row of ``postings`` holds, for a term and a field, the ids of one block and the term's places in each of them; blocks are
 parts of the ids by their hash, the same for all terms. ``best``, the most places that one of these ids has, bounds what the
 row can add to a score: a search for the k best sums the bounds of its terms by block, scores the blocks of the highest
 sums, and reads of the others only those whose sum reaches the k-th score.
 
+Texts are shuffled once, by block, and inverted where their block is: no row for each word leaves a task, and postings are
+written where they are made.
+
 Texts that are written again, or deleted, leave what was written before as it is: each write is a segment, and ``dead`` lists
-the ids that a segment no longer speaks for. ``merge`` writes one segment of all that is left. Rows are in order of terms, so
-that a prefix reads the row groups of its range.
+the ids that a segment no longer speaks for. ``merge`` writes one segment of all that is left. A file's rows are in order of
+terms, so that a prefix reads the pages of its range.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions.lexemes import WEIGHT_A, WEIGHT_B, WEIGHT_D, lexemes, like_patterns, query_prefixes, starts_with_any
 from wikiloom.operators.retrieval import CANDIDATES, CONTENT_BONUS, TITLE_BONUS
+from wikiloom.plans.session import bound_arrow_batches
 from wikiloom.plans.shared import shared_path, shared_table
 
 #: Ids of a block, about.
 BLOCK_IDS = 1024
 #: Blocks of the highest sums that give the first k-th score.
 FIRST_BLOCKS = 8
-ROW_GROUP_BYTES = 8 << 20
+ROW_GROUP_BYTES, PAGE_BYTES = 8 << 20, 128 << 10
+#: Bytes of texts that a task inverts, about; words that it holds at once, of a block or of a part of a large one.
+TASK_BYTES, HELD_WORDS = 32 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -53,28 +62,95 @@ class TextIndex:
         return self.spark.read.schema(f"id {self.id_type}, segment int, written int").parquet(f"{self.path}/dead").where(F.col("segment").isin(list(self.segments))).select("id", "segment")
 
 
-def _postings(index: TextIndex, texts: DataFrame, id_col: str) -> DataFrame:
+def _inverted(block: int, batch: pa.RecordBatch, fields: int) -> Iterator[pa.RecordBatch]:
+    """The postings of some texts of a block, in order of ids: columns id, block, then the lexemes of each field, then whether
+    each field is empty. A record batch for each field that has any."""
+    ids, before = batch.column(0), np.zeros(batch.num_rows, np.int64)
+    one = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)  # rows that repeat an id are one text
+    first = np.searchsorted(one, one)
+    for n in range(fields):
+        own, void = batch.column(2 + n), np.flatnonzero(batch.column(2 + fields + n).to_numpy(zero_copy_only=False))
+        sizes = own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        words = own.flatten().dictionary_encode()
+        code, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.cast(pa.string())
+        text = np.repeat(first, sizes)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes - before, sizes) + 1
+        before = before + sizes
+        order = np.lexsort((place, text, code))
+        code, text, place = code[order], text[order], place[order]
+        entry = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (text[1:] != text[:-1])]) if len(code) else np.zeros(0, np.int64)
+        term = np.searchsorted(code[entry], np.arange(len(names)))  # the first entry of each term
+        count = np.diff(np.r_[entry, len(code)])
+        best = np.maximum.reduceat(count, term) if len(term) else np.zeros(0, np.int64)
+        of, holds = text[entry], np.r_[term, len(entry)]
+        if len(void):  # the term '' of empty texts, at no place
+            names, of, count = pa.concat_arrays([names, pa.array([""])]), np.r_[of, void], np.r_[count, np.zeros(len(void), np.int64)]
+            best, holds = np.r_[best, 0], np.r_[holds, len(of)]
+        if len(names):
+            offsets = np.r_[0, np.cumsum(count)]
+            starts = offsets[:-1] - np.repeat(offsets[holds[:-1]], np.diff(holds))
+            ints = lambda values: pa.array(values.astype(np.int32))
+            lists = lambda bounds, values: pa.ListArray.from_arrays(ints(bounds), values)
+            columns = [names, ints(np.full(len(names), n)), ints(np.full(len(names), block)), ints(best), lists(holds, ids.take(pa.array(of))), lists(holds, ints(starts)), lists(holds, ints(count)), lists(offsets[holds], ints(place))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "field", "block", "best", "ids", "starts", "sizes", "places"])
+
+
+def _dealt(index: TextIndex, rows: DataFrame) -> DataFrame:
+    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(index.blocks)).cast("int"))
+
+
+def _postings(index: TextIndex, texts: DataFrame, id_col: str, tasks: int) -> DataFrame:
     """(term, field, block, best, entries) of texts. A field's places begin after those of the fields before it, as if the
-    fields were one text. An empty or null text has the term '' at no place."""
-    tokens = [lexemes(F.col(f)) for f in index.fields]
-    empty = [F.coalesce(F.col(f), F.lit("")) == "" for f in index.fields]
-    named = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *(t.alias(f"t{n}") for n, t in enumerate(tokens)), *(e.alias(f"e{n}") for n, e in enumerate(empty)))
-
-    def placed(n: int) -> Column:
-        before = sum((F.size(f"t{m}") for m in range(n)), F.lit(0))
-        at = lambda term, place: F.struct(term.alias("term"), F.lit(n).alias("field"), place.alias("place"))
-        return F.when(F.col(f"e{n}"), F.array(at(F.lit(""), F.lit(None).cast("int")))).otherwise(F.transform(f"t{n}", lambda t, i: at(t, i + 1 + before)))
-
-    each = [placed(n) for n in range(len(tokens))]
-    exploded = named.select("id", F.inline(F.concat(*each)))
-    by_id = exploded.groupBy("id", "term", "field").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    dealt = by_id.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(index.blocks)).cast("int"))
-    return dealt.groupBy("term", "field", "block").agg(F.max(F.size("places")).alias("best"), F.array_sort(F.collect_list(F.struct("id", "places"))).alias("entries"))
+    fields were one text. An empty or null text has the term '' at no place. A block of more than HELD_WORDS words has several
+    rows for a term, of different ids; entries are in order of ids."""
+    fields = len(index.fields)
+    bound_arrow_batches(index.spark)
+    named = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *(F.col(f).alias(f"f{n}") for n, f in enumerate(index.fields)))
+    placed = _dealt(index, named).repartition(tasks, "block").sortWithinPartitions("block", "id")
+    empty = [(F.coalesce(f"f{n}", F.lit("")) == "").alias(f"e{n}") for n in range(fields)]
+    read = placed.select("id", "block", *(lexemes(F.col(f"f{n}")).alias(f"t{n}") for n in range(fields)), *empty)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        words, now = 0, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from _inverted(now, pa.Table.from_batches(held).combine_chunks().to_batches()[0], fields)
+
+        for batch in batches:
+            blocks = batch.column(1).to_numpy()
+            sizes = sum(batch.column(2 + n).value_lengths().to_numpy(zero_copy_only=False) for n in range(fields))
+            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            for start, end in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(blocks)].tolist(), strict=True):
+                if start == end:
+                    continue
+                own = int(sizes[start:end].sum())
+                if now != blocks[start] or words + own > HELD_WORDS:
+                    yield from close()
+                    held, words, now = [], 0, int(blocks[start])
+                held.append(batch.slice(start, end - start))
+                words += own
+        yield from close()
+
+    flat = read.mapInArrow(run, f"term string, field int, block int, best int, ids array<{index.id_type}>, starts array<int>, sizes array<int>, places array<int>").sortWithinPartitions("term", "field", "block")
+    entry = lambda x, i: F.struct(x.alias("id"), F.slice("places", F.get("starts", i) + 1, F.get("sizes", i)).alias("places"))
+    return flat.select("term", "field", "block", "best", F.transform("ids", entry).alias("entries"))
+
+
+def _tasks(index: TextIndex, size: int) -> int:
+    """How many tasks invert texts of so many bytes."""
+    return max(1, min(index.blocks, max(index.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
+
+
+def _size(texts: DataFrame, fields: tuple[str, ...]) -> tuple[int, int]:
+    """(rows, bytes of the fields)."""
+    row = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.coalesce(F.octet_length(f), F.lit(0)).cast("long") for f in fields), F.lit(0))).alias("size")).first()
+    return row["n"], row["size"] or 0
 
 
 def _store(index: TextIndex, postings: DataFrame, segment: int) -> None:
-    ordered = postings.repartitionByRange("term", "block").sortWithinPartitions("term", "field", "block")
-    ordered.write.option("parquet.block.size", ROW_GROUP_BYTES).mode("overwrite").parquet(f"{index.path}/postings/segment={segment}")
+    postings.write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).mode("overwrite").parquet(f"{index.path}/postings/segment={segment}")
 
 
 def _note(index: TextIndex) -> TextIndex:
@@ -88,10 +164,10 @@ def build(texts: DataFrame, fields: tuple[str, ...] = ("content",), id_col: str
     """Index the columns ``fields`` of texts whose ids are given and different, at ``path`` or in the shared folder. An empty
     table gives an empty index."""
     spark = texts.sparkSession
-    count = texts.count()
+    count, size = _size(texts, fields)
     index = TextIndex(spark, path or shared_path(spark, "text-index"), texts.schema[id_col].dataType.simpleString(), tuple(fields), max(1, -(-count // BLOCK_IDS)), (1,), 1)
     spark.createDataFrame([], f"id {index.id_type}, segment int, written int").write.mode("overwrite").parquet(f"{index.path}/dead/version=0")
-    _store(index, _postings(index, texts, id_col), 1)
+    _store(index, _postings(index, texts, id_col, _tasks(index, size)), 1)
     return _note(index)
 
 
@@ -111,7 +187,7 @@ def upsert(index: TextIndex, texts: DataFrame, id_col: str = "chunk_id") -> Text
     """Texts, new or written again, as a segment of their own. A write that breaks off changes nothing that is seen: the
     version that says so is written last."""
     new = max(index.segments) + 1
-    _store(index, _postings(index, texts, id_col), new)
+    _store(index, _postings(index, texts, id_col, _tasks(index, _size(texts, index.fields)[1])), new)
     _bury(index, texts.select(F.col(id_col).alias("id")), new)
     return _note(replace(index, segments=(*index.segments, new), version=index.version + 1))
 
@@ -126,9 +202,9 @@ def delete(index: TextIndex, ids: DataFrame, id_col: str = "chunk_id") -> TextIn
 def merge(index: TextIndex) -> TextIndex:
     """One segment of all that counts."""
     new = max(index.segments) + 1
-    rows = live(index, F.lit(True)).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(index.blocks)).cast("int"))
+    rows = _dealt(index, live(index, F.lit(True))).repartition("block")
     merged = rows.groupBy("term", "field", "block").agg(F.max(F.size("places")).alias("best"), F.array_sort(F.collect_list(F.struct("id", "places"))).alias("entries"))
-    _store(index, merged, new)
+    _store(index, merged.sortWithinPartitions("term", "field", "block"), new)
     return _note(replace(index, segments=(new,), version=index.version + 1))
 
 
