@@ -78,3 +78,24 @@ def test_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, "t", None), (2, None, ""), (3, "t", " \n ")], "id long, title string, text string")
     assert chunks(df).count() == 0
     assert chunks(df.where(F.lit(False))).count() == 0
+
+
+def test_few_pages_are_held_at_once(monkeypatch):
+    """A tree goes with its page, without waiting for the collector; blocks go back for a few pages at a time."""
+    import gc
+
+    import pyarrow as pa
+
+    from wikiloom.operators import blocks as module
+
+    gc.collect()
+    gc.disable()
+    try:
+        before = sum(isinstance(x, module.Node) for x in gc.get_objects())
+        assert module.page_blocks("<div><p>a</p><ul><li>b</ul></div>" * 50)
+        assert sum(isinstance(x, module.Node) for x in gc.get_objects()) == before
+    finally:
+        gc.enable()
+    monkeypatch.setattr(module, "PAGES_CHARS", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["x" * 6, None, "y" * 6, "z"])], names=["id", "text"])
+    assert [(i.to_pylist(), p) for i, p in module._few(batch)] == [([1, 2, 3], ["x" * 6, None, "y" * 6]), ([4], ["z"])]

@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wikiloom.functions.text import strip
+from wikiloom.plans.session import bound_arrow_batches
 
 MARKUP = "<[a-zA-Z][^>]*>"
 HEADING = "(?U)^(#{1,6})\\s+(.*)$"
 LIST = "(?U)^\\s*([-*+]|\\d+\\.)\\s+"
 BULLET = "• "
+#: Characters of pages whose blocks go back together, about.
+PAGES_CHARS = 1 << 20
 
 SELECTED = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "code", "ul", "ol", "table", "blockquote")
 WHOLE = ("pre", "blockquote", "ul", "ol", "table")
@@ -60,6 +63,8 @@ class Tree(HTMLParser):
         self.root = self.now = Node("", None)
         self.feed(page)
         self.close()
+        for node in self.root.walk():  # without the way back a tree is no cycle, and goes as soon as it isn't needed
+            node.above = None
 
     def _leave(self, name: str, bounds: tuple[str, ...] = ()) -> None:
         at = self.now
@@ -112,6 +117,17 @@ def page_blocks(page: str) -> list[tuple[str, int | None, str]]:
     return out
 
 
+def _few(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """(ids, pages) of a batch, few pages at once."""
+    start, chars, pages = 0, 0, []
+    for n in range(batch.num_rows):
+        pages.append(batch.column(1)[n].as_py())
+        chars += len(pages[-1] or "")
+        if chars >= PAGES_CHARS or n + 1 == batch.num_rows:
+            yield batch.column(0).slice(start, n + 1 - start), pages
+            start, chars, pages = n + 1, 0, []
+
+
 def markup_blocks(df: DataFrame) -> DataFrame:
     """Blocks of (id, text) where text is markup."""
     kind = df.schema["id"].dataType.simpleString()
@@ -119,9 +135,11 @@ def markup_blocks(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"type": t, "level": n, "content": c} for t, n, c in page_blocks(page)] for page in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, struct)], names=["id", "blocks"])
+            for ids, pages in _few(batch):
+                found = [[{"type": t, "level": n, "content": c} for t, n, c in page_blocks(page)] for page in pages]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found, struct)], names=["id", "blocks"])
 
+    bound_arrow_batches(df.sparkSession)
     parsed = df.select("id", "text").mapInArrow(run, f"id {kind}, blocks array<struct<type: string, level: int, content: string>>")
     return parsed.select("id", F.posexplode("blocks").alias("block", "b")).select("id", "block", "b.type", "b.level", "b.content")
 
@@ -137,9 +155,11 @@ def plain_text(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else page_text(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "content"])
+            for ids, pages in _few(batch):
+                texts = [None if t is None else page_text(t) for t in pages]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], names=["id", "content"])
 
+    bound_arrow_batches(df.sparkSession)
     return df.select("id", "text").mapInArrow(run, f"id {kind}, content string")
 
 
