@@ -99,3 +99,13 @@ def test_few_pages_are_held_at_once(monkeypatch):
     monkeypatch.setattr(module, "PAGES_CHARS", 10)
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["x" * 6, None, "y" * 6, "z"])], names=["id", "text"])
     assert [(i.to_pylist(), p) for i, p in module._few(batch)] == [([1, 2, 3], ["x" * 6, None, "y" * 6]), ([4], ["z"])]
+
+
+def test_words_of_a_piece_are_counted_once(spark):
+    from pyspark.sql import functions as F
+
+    from wikiloom.operators.chunker import ChunkOptions, pack
+
+    found = spark.createDataFrame([(["a b", "c d", "", "e"],)], "p array<string>").select(pack(F.col("p"), ChunkOptions(max_tokens=6)).alias("c"))
+    assert found.first()["c"] == ["a b\n\nc d", "e"]
+    assert found._jdf.queryExecution().analyzed().toString().count("\\S+") == 1

@@ -34,7 +34,7 @@ def words(c: Column) -> Column:
 
 def token_estimate(c: Column) -> Column:
     """ceil(words * 1.3); a null or empty text has 0."""
-    return F.coalesce(F.ceil(F.size(words(c)) * F.lit(WORD_TOKENS)), F.lit(0)).cast("int")
+    return F.coalesce(F.ceil(F.regexp_count(c, F.lit("(?U)\\S+")) * F.lit(WORD_TOKENS)), F.lit(0)).cast("int")
 
 
 def paragraphs(c: Column) -> Column:
@@ -50,9 +50,10 @@ def sentences(c: Column) -> Column:
     parts = F.filter(F.transform(F.split(masked, SENTENCE_END), strip), lambda p: p != "")
 
     def unmask(p: Column) -> Column:
+        own = p
         for i, abbreviation in enumerate(ABBREVIATIONS):
-            p = F.replace(p, F.lit(f"\x01{chr(0xE000 + i)}"), F.lit(abbreviation + "."))
-        return p
+            own = F.replace(own, F.lit(f"\x01{chr(0xE000 + i)}"), F.lit(abbreviation + "."))
+        return F.when(p.contains("\x01"), own).otherwise(p)  # few sentences hold one
 
     return F.transform(parts, unmask)
 

@@ -33,22 +33,23 @@ def pack(pieces: Column, o: ChunkOptions) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"), F.lit(0).alias("tokens"))
 
     def flush(acc: Column) -> Column:
-        return F.when(strip(acc["buf"]) == "", acc["done"]).otherwise(F.array_append(acc["done"], strip(acc["buf"])))
+        return let(strip(acc["buf"]), lambda own: F.when(own == "", acc["done"]).otherwise(F.array_append(acc["done"], own)))
 
     def step(acc: Column, p: Column) -> Column:
-        t, full = token_estimate(p), acc["buf"] != ""
-        over = full & ((acc["tokens"] + t > o.max_tokens) | (F.length(acc["buf"]) + len(GAP) + F.length(p) > o.max_characters))
+        full = acc["buf"] != ""
+        over = full & ((acc["tokens"] + p["t"] > o.max_tokens) | (F.length(acc["buf"]) + len(GAP) + p["n"] > o.max_characters))
         return F.struct(
             F.when(over, flush(acc)).otherwise(acc["done"]).alias("done"),
-            F.when(over | ~full, p).otherwise(F.concat(acc["buf"], F.lit(GAP), p)).alias("buf"),
-            F.when(over, t).otherwise(acc["tokens"] + t).alias("tokens"),
+            F.when(over | ~full, p["s"]).otherwise(F.concat(acc["buf"], F.lit(GAP), p["s"])).alias("buf"),
+            F.when(over, p["t"]).otherwise(acc["tokens"] + p["t"]).alias("tokens"),
         )
 
-    return F.aggregate(pieces, start, step, flush)
+    measured = F.transform(pieces, lambda p: F.struct(p.alias("s"), token_estimate(p).alias("t"), F.length(p).alias("n")))  # each piece once
+    return F.aggregate(measured, start, step, flush)
 
 
 def fits(c: Column, o: ChunkOptions) -> Column:
-    return (token_estimate(c) <= o.max_tokens) & (F.length(c) <= o.max_characters)
+    return (F.length(c) <= o.max_characters) & (token_estimate(c) <= o.max_tokens)  # the words of a long text aren't counted
 
 
 def overlap_tail(c: Column, tokens: int) -> Column:
@@ -56,11 +57,11 @@ def overlap_tail(c: Column, tokens: int) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("buf"), F.lit(0).alias("tokens"), F.lit(False).alias("stop"))
 
     def step(acc: Column, s: Column) -> Column:
-        t = token_estimate(s)
-        stop = acc["stop"] | ((acc["tokens"] + t > tokens) & (F.size(acc["buf"]) > 0))
-        return F.struct(F.when(stop, acc["buf"]).otherwise(F.array_prepend(acc["buf"], s)).alias("buf"), F.when(stop, acc["tokens"]).otherwise(acc["tokens"] + t).alias("tokens"), stop.alias("stop"))
+        stop = acc["stop"] | ((acc["tokens"] + s["t"] > tokens) & (F.size(acc["buf"]) > 0))
+        return F.struct(F.when(stop, acc["buf"]).otherwise(F.array_prepend(acc["buf"], s["s"])).alias("buf"), F.when(stop, acc["tokens"]).otherwise(acc["tokens"] + s["t"]).alias("tokens"), stop.alias("stop"))
 
-    several = lambda own: F.aggregate(F.reverse(own), start, step, lambda acc: F.array_join(acc["buf"], " "))
+    measured = lambda own: F.transform(F.reverse(own), lambda s: F.struct(s.alias("s"), token_estimate(s).alias("t")))
+    several = lambda own: F.aggregate(measured(own), start, step, lambda acc: F.array_join(acc["buf"], " "))
     most = max(1, int(tokens / WORD_TOKENS + 0.5))
     last = lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - most, F.lit(0)) + 1, most), " ")
     return let(sentences(c), lambda own: F.when(F.size(own) > 1, several(own)).otherwise(let(words(c), last)))
@@ -101,7 +102,8 @@ def chunks(df: DataFrame, options: ChunkOptions | None = None) -> DataFrame:
     before = F.lag("piece").over(in_order)
     third = third.withColumn("strategy", strategy).withColumn("before", before)
     tail = overlap_tail(F.col("before"), o.overlap_tokens) if o.overlap_tokens > 0 else F.lit("")
-    text = F.when(F.col("before").isNull(), F.col("piece")).otherwise(F.concat(F.when(tail == "", "").otherwise(F.concat(tail, F.lit(GAP))), F.col("piece")))
+    shown_tail = let(tail, lambda t: F.when(t == "", "").otherwise(F.concat(t, F.lit(GAP))))
+    text = F.when(F.col("before").isNull(), F.col("piece")).otherwise(F.concat(shown_tail, F.col("piece")))
     titled = third.withColumn("text", text).join(df.select("id", F.coalesce("title", F.lit("")).alias("title")), "id")
     header = F.concat_ws(" > ", F.when(F.col("title") != "", F.col("title")), F.when(F.col("path") != "", F.col("path")))
     content = F.when(header == "", F.col("text")).otherwise(F.concat(F.lit("["), header, F.lit("]\n"), F.col("text")))
