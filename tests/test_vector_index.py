@@ -137,3 +137,16 @@ def test_hybrid_search_from_the_index(spark):
     found = lambda e: [r["chunk_id"] for r in retrieval.hybrid_chunks(chunks, e, pages, "word7", m[4].tolist()).orderBy("rrf").collect()]
     index = vector_index.build(df)
     assert found(vector_index.candidates(index, m[4].tolist()).withColumnRenamed("id", "chunk_id")) == found(df.withColumnRenamed("id", "chunk_id"))
+
+
+def test_sample_is_of_the_smallest_hashes(spark):
+    """Whatever share of the hashes is looked at first, copies or not."""
+    from pyspark.sql import functions as F
+
+    from wikiloom.operators.clustering import sample_of
+
+    kept = 4000 * 8 * 2
+    for copies in (1, 5):
+        df = spark.range(kept).select(F.array((F.floor(F.col("id") / copies)).cast("double"), F.lit(1.0)).alias("embedding"))
+        hashed = df.distinct().select("embedding", F.xxhash64("embedding", F.lit(5)).alias("h")).orderBy("h").limit(1000)
+        assert sample_of(df, 2, 1000).tolist() == [r["embedding"] for r in hashed.collect()]

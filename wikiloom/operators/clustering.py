@@ -58,8 +58,10 @@ def sample_of(vectors: DataFrame, dims: int, count: int = SAMPLE, seed: int = 5)
     hashed = of_length(vectors, dims).select("vector", F.xxhash64("vector", F.lit(seed)).alias("h"))
     some = lambda rows: [r[0] for r in rows.groupBy("h").agg(F.min("vector").alias("vector")).orderBy("h").limit(wanted).select("vector").collect()]
     total, found = vectors.count(), []
-    if total > 16 * wanted:
-        found = some(hashed.where(F.col("h") < -(1 << 63) + (1 << 64) * 8 * wanted // total))
+    times = 2  # tasks send what they find to the driver: little more than wanted, unless copies leave too few
+    while len(found) < wanted and total > 2 * times * wanted:
+        found = some(hashed.where(F.col("h") < -(1 << 63) + (1 << 64) * times * wanted // total))
+        times *= 4
     if len(found) < wanted:
         found = some(hashed)
     return np.array(found, float).reshape(-1, dims)
