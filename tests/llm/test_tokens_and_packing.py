@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -37,6 +38,35 @@ def test_pieces_give_the_librarys_ids(library):
         assert got == ids(library, text).tobytes(), repr(text)
 
 
+def test_columns_are_cut_as_a_whole(library):
+    texts = [*ODD, "one", "two.", ".three", "", " four", None, "<|endoftext|>", "five\u2028six", "\u00d7a a\u00d7. a\u00f7! \u00c0\u00ff.", "\x7fa \x00b"]
+    column = pa.array([*texts, "cut off"]).slice(0, len(texts))
+    ids_, ends = PieceEncoder(PATH).encode_column(column)
+    assert [bytes(ids_[a:b]) for a, b in zip([0, *ends], ends, strict=False)] == [ids(library, t).tobytes() for t in texts]
+    assert PieceEncoder(PATH).encode_column(column.slice(0, 0))[1].tolist() == []
+
+
+def test_many_new_pieces_are_few_texts_for_the_library(library):
+    class Counted:
+        texts = 0
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, batch, **settings):
+            self.texts += len(batch)
+            return library.encode_batch_fast(batch, **settings)
+
+    encoder = PieceEncoder(PATH)
+    encoder.library = Counted()
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcd\u00e9\u65e5'", k=9)) for _ in range(5000)]
+    assert list(encoder.encode([" ".join(words)])) == [ids(library, " ".join(words)).tobytes()]
+    assert encoder.library.texts < 100  # one for each word before
+    encoder.lengths = encoder.lengths + 1  # ids that can't be told apart: the pieces go one by one
+    assert list(encoder.encode(["".join(f" new{w}" for w in words[:300])])) == [ids(library, "".join(f" new{w}" for w in words[:300])).tobytes()]
+
+
 def test_counts(spark, library):
     rows = [(i if i % 7 else None, t, "clash", "clash") for i, t in enumerate(ODD + ODD[:4])]
     got = token_counts(spark.createDataFrame(rows, SCHEMA), PATH).collect()

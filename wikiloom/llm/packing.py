@@ -52,8 +52,9 @@ def document_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             for batch in slices(whole, 1):
                 out: list[list] = [[] for _ in names]
                 take = []
-                for i, ids in enumerate(encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
-                    ids += end
+                encoded, ends = encoder.encode_column(batch.column(1))
+                for i, (first, last) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
+                    ids = encoded[first:last].tobytes() + end
                     for start in range(0, len(ids), 4 * size):
                         part = ids[start : start + 4 * size]
                         n = len(part) // 4
