@@ -163,3 +163,35 @@ def test_filter_of_ids_keeps_all(spark, monkeypatch, most):
     ids = spark.range(0, 3000, 7)
     got = {r["id"] for r in near_dup.likely_among(docs, ids).collect()}
     assert got >= set(range(0, 3000, 7)) and (len(got) == 3000) == (most == 4)
+
+
+def test_open_buckets_send_each_set_once(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdef", k=6))
+    rows = []
+    for f in range(3):
+        base = [word() for _ in range(200)]
+        for v in range(8):  # unlike enough to be no links, like enough to meet in many bands
+            copy = list(base)
+            for at in rng.sample(range(200), 4):
+                copy[at] = word()
+            rows.append((10 * f + v, " ".join(copy), "", ""))
+    sent, plain = [], near_dup.block_links
+
+    def seen(open_, *args):
+        sent.append((open_.count(), open_.select("id").distinct().count()))
+        return plain(open_, *args)
+
+    monkeypatch.setattr(near_dup, "block_links", seen)
+    for large in (256, 3):  # buckets of more members aren't gathered
+        monkeypatch.setattr(near_dup, "LARGE_BUCKET", large)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got == brute(rows, 85)
+    assert sent[0][0] == sent[0][1] > 10  # before: a row for each band in which an id met others
+
+
+def test_gathered_buckets_stay_together(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LARGE_BUCKET", 4)
+    small, large = [(1, 10), (1, 11), (2, 11), (2, 12), (3, 12), (3, 10)], [(7, i) for i in range(20, 24)] + [(8, 23), (8, 24)]
+    got = near_dup.gathered(spark.createDataFrame([(k, i, i) for k, i in small + large], "key long, id long, component long")).collect()
+    assert sorted((r["key"], r["id"]) for r in got) == sorted(large + [(10, i) for i in (10, 11, 12)])

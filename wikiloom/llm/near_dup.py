@@ -5,7 +5,8 @@ class's signature comes from one pass over its shingles: a shingle's hash picks
 value, an empty bin borrows from the full bin that a universal hash of (bin, attempt) hits first. Bands of the
 signature are buckets; in each, every member is compared with the bucket's least member only, so pairs grow with the
 members. All links are confirmed on full shingle sets. Where a bucket still holds members of different components,
-these meet in blocks inside tasks: no pair that shares a bucket goes unseen, and no pairs are emitted but links. A large
+these meet in blocks inside tasks: no pair that shares a bucket goes unseen, and no pairs are emitted but links. Such
+buckets of the same family of texts share most members, so they are gathered to one and its sets are sent once. A large
 bucket, as a passage that many documents share fills it, is first split by its members' rare shingles: two sets as similar
 as wanted share one of the least frequent shingles of each.
 """
@@ -155,26 +156,43 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles binary")
 
 
-def likely_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id may be among ``ids``, by a bitmap of id hashes with eight bits an id, LEAST_BITS to
-    MOST_BITS, so that it can be broadcast. It spares the shuffle of most texts; the exact join follows. Where there are so
-    many ids that most bits of the largest map were set, all rows go to that join."""
+def marked(docs: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
+    """``docs`` with a column likely: false where the value of ``on`` is not among those of ``ids``, by a bitmap of hashes with
+    eight bits a row of ``ids``, LEAST_BITS to MOST_BITS, so that it can be broadcast. Where there are so many that most bits of
+    the largest map were set, all rows are likely."""
     count = ids.count()
     if count > MOST_BITS:
-        return docs
+        return docs.withColumn("likely", F.lit(True))
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * count).bit_length()))
-    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    at = F.pmod(F.xxhash64(on), F.lit(bits))
     maps = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / MAP_BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % MAP_BITS).alias("map"))
     placed = docs.withColumn("at", at).withColumn("part", F.floor(F.col("at") / MAP_BITS))
-    tested = placed.join(F.broadcast(shared_table(maps, "near-filter")), "part")
+    tested = placed.join(F.broadcast(shared_table(maps, "near-filter")), "part", "left")
     byte = F.conv(F.hex(F.substring(F.col("map"), (F.col("at") % MAP_BITS / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    return tested.withColumn("byte", byte).where("shiftright(byte, cast(at % 8 as int)) & 1 = 1").select(*docs.columns)
+    return tested.withColumn("byte", byte).withColumn("likely", F.expr("coalesce(shiftright(byte, cast(at % 8 as int)) & 1 = 1, false)")).select(*docs.columns, "likely")
+
+
+def likely_among(docs: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
+    """The rows of ``docs`` that may be among ``ids``. It spares the shuffle of most rows; the exact join follows."""
+    return marked(docs, ids, on).where("likely").drop("likely")
+
+
+def gathered(open_: DataFrame) -> DataFrame:
+    """Buckets (key, id, component) that share members become one, in which each member is once, where that has LARGE_BUCKET
+    members at most; the others stay as they are. Members of one bucket stay together."""
+    first = shared_table(open_.groupBy("key").agg(F.min("id").alias("v")), "near-first")
+    edges = shared_table(open_.join(first, "key").select(F.col("id").alias("u"), "v").distinct(), "near-met")
+    groups = shared_table(components(edges).select(F.col("node").alias("id"), F.col("component").alias("group")), "near-gathered")
+    small = shared_table(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= LARGE_BUCKET).select("group"), "near-small")
+    held = groups.join(small, "group", "left_semi")
+    once = open_.select("id", "component").distinct().join(held, "id").select(F.col("group").alias("key"), "id", "component")
+    return shared_table(once.union(open_.join(held.select("id"), "id", "left_anti").select("key", "id", "component")), "near-open")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= numerator * union, on full sets."""
-    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
+    left = likely_among(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), pairs.select("u").distinct(), "u")
+    right = likely_among(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), pairs.select("v").distinct(), "v")
     shorter, longer = F.least(F.octet_length("a"), F.octet_length("b")), F.greatest(F.octet_length("a"), F.octet_length("b"))
     both = pairs.join(left, "u").join(right, "v").where(100 * shorter >= numerator * longer).select("u", "v", "a", "b")
 
@@ -216,7 +234,7 @@ def rare_keys(members: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     numerator / 100 of them in common has one of these among its own keys. Groups of one component go, and of groups with
     the same members one stays.
     """
-    own = shared_table(sets.join(members, "id").select("id", "component", "shingles"), "near-wide")
+    own = shared_table(likely_among(sets, members).join(members, "id").select("id", "component", "shingles"), "near-wide")
     levels = shingle_levels(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +275,7 @@ def block_links(open_: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     many = members.groupBy("key", "rest").agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("blocks"))
     others = F.max(F.when(F.col("rest"), F.col("blocks"))).over(Window.partitionBy("key"))  # two rows a key at most
     sizes = shared_table(many.withColumn("parts", F.ceil(others / BLOCKS_A_PART)), "near-many")
-    dealt = members.join(sizes, ["key", "rest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sets, "id")
+    dealt = members.join(sizes, ["key", "rest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(likely_among(sets, open_.select("id").distinct()), "id")
     # Dealt by block: the joins before may have left a whole bucket together.
     grouped = dealt.repartition("key", "rest", "block").groupBy("key", "rest", "block", "parts").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("m"))
     blocks = shared_table(grouped.select("key", "rest", "block", "parts", F.col("m.id").alias("ids"), F.col("m.component").alias("own"), F.col("m.shingles").alias("sets")), "near-blocks")
@@ -322,11 +340,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = prints.select("id", "fp").join(classes, "fp", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     copies = shared_table(known.where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), "near-copies")
     # Buckets of more than one class.
-    single = prints.select("id", "fp", "keys").join(classes, "fp", "left").where("rep IS NULL OR rep = id").select("id", F.explode("keys").alias("key"))
-    posted = shared_table(single, "near-posted")
+    equal = marked(prints.select("id", "fp", "keys"), classes.select("fp"), "fp")
+    single = equal.where("NOT likely").select("id", "keys").union(equal.where("likely").join(classes, "fp", "left").where("rep IS NULL OR rep = id").select("id", "keys"))
+    posted = shared_table(single.select("id", F.explode("keys").alias("key")), "near-posted")
     # A table of its own has one row a bucket, so that the join with it can split a large bucket.
     shared = shared_table(posted.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last"), "near-shared")
-    buckets = shared_table(posted.join(shared, "key"), "near-buckets")
+    buckets = shared_table(likely_among(posted, shared, "key").join(shared, "key"), "near-buckets")
     pairs = shared_table(buckets.where("id != centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "near-pairs")
     drop_shared(posted)
     members = shared_table(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id"), "near-members")
@@ -339,6 +358,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = shared_table(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"), "near-mixed")
     open_ = shared_table(placed.join(mixed, "key"), "near-open")
     if not open_.isEmpty():
+        open_ = gathered(open_)
         large = shared_table(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_BUCKET).select("key"), "near-large")
         if not large.isEmpty():
             wide = open_.join(large, "key", "left_semi").select("id", "component").distinct()
