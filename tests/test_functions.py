@@ -101,6 +101,12 @@ def test_counts_in_the_text_equal_those_of_lexemes(spark):
     assert [r["a"] for r in rows] == [r["b"] for r in rows]
 
 
+def test_letters_beyond_ffff_stand_before_a_prefix(spark):
+    df = spark.createDataFrame([("\U0001d400the \U00010428and \u00e4the",), ("\U0001f600the the\U0001d400 (and \U0001f600\U0001d400the",)], "x string")
+    rows = df.select(lexemes.text_hits(lexemes.lowered(F.col("x")), ["the", "and"]), lexemes.hits(lexemes.lexemes(F.col("x")), ["the", "and"]), lexemes.term_count(F.col("x"), "the")).collect()
+    assert [tuple(r) for r in rows] == [(0, 0, 0), (3, 3, 1)]
+
+
 def test_hard_split_of_a_long_text(spark):
     import time
 

@@ -24,6 +24,9 @@ SYNONYMS = {
 WEIGHT_D, WEIGHT_B, WEIGHT_A = 0.1, 0.4, 1.0
 RANK_SCALE = 1.64493406685
 LEAST_TERM = 3
+#: A letter or digit that a pattern looks back at. U+10000, a letter itself, is named because Java looks back by code points only in
+#: patterns that name one beyond U+FFFF; in others it sees half of such a letter.
+_BEFORE = "[\\p{L}\\p{N}\U00010000]"
 
 
 def focus_terms(question: str) -> list[str]:
@@ -73,7 +76,7 @@ def text_hits(low: Column, prefixes: list[str]) -> Column:
     stands. What stands before a prefix is looked at last, as few places have the prefix."""
     if not prefixes:
         return F.lit(0)
-    each = (f"{p}(?<![\\p{{L}}\\p{{N}}]{p})" for p in map(re.escape, prefixes))
+    each = (f"{p}(?<!{_BEFORE}{p})" for p in map(re.escape, prefixes))
     return F.regexp_count(low, F.lit("|".join(each)))
 
 
@@ -85,7 +88,7 @@ def holds_any(low: Column, patterns: list[str]) -> Column:
 def term_count(c: Column, term: str) -> Column:
     """How many of a text's lexemes are ``term``."""
     own = re.escape(term)
-    return F.regexp_count(lowered(c), F.lit(f"{own}(?<![\\p{{L}}\\p{{N}}]{own})(?![\\p{{L}}\\p{{N}}])"))
+    return F.regexp_count(lowered(c), F.lit(f"{own}(?<!{_BEFORE}{own})(?![\\p{{L}}\\p{{N}}])"))
 
 
 def cover_rank(tokens: Column, prefixes: list[str], weight: float = WEIGHT_D) -> Column:
